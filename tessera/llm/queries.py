@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_main, importance, media_ts, neardup, packing, quality_rules
+from . import bpe, html_main, importance, media_ts, neardup, packing, quality_rules, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op3_minhash_near_dedup, op4_quality_rules, op6_html_extraction, op8_media_columns, op9_quality_classifier, op10_bpe)
+    f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_minhash_near_dedup, op4_quality_rules, op6_html_extraction, op8_media_columns, op9_quality_classifier, op10_bpe)
 }
 ORACLE_SQL: dict[str, str] = {}
