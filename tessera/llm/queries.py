@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_main, importance, media_ts, neardup, packing, quality_rules, toxicity
+from . import bpe, html_main, importance, media_ts, neardup, packing, pii, quality_rules, secret_scan, toxicity
 from .common import table
 
 
@@ -26,10 +26,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.sample_findings(spark)))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.media_digest(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_minhash_near_dedup, op4_quality_rules, op6_html_extraction, op8_media_columns, op9_quality_classifier, op10_bpe)
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_best_fit_packing,
+        op3_minhash_near_dedup,
+        op4_quality_rules,
+        op5_secret_scans,
+        op6_html_extraction,
+        op7_pii,
+        op8_media_columns,
+        op9_quality_classifier,
+        op10_bpe,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
