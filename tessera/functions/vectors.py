@@ -22,7 +22,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def similarity(distance: Column) -> Column:
     """1 - distance between -1 and 1; 0 for no distance."""
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1.0 - distance)), F.lit(0.0))
+    return F.when(distance.isNull(), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1.0 - distance)))
 
 
 def l2(a: Column, b: Column) -> Column:
