@@ -7,9 +7,9 @@
    sample) and with LEADERS members taken by hash, so candidates stay linear in a bucket.
 3. Candidates whose collision-corrected similarity, from bit counts of the signatures, could reach the threshold
    are confirmed on their full sets; confirmed links make connected components.
-4. Large buckets that still hold several components are refined by a second band key and go through 2 and 3 again;
-   what is large and divided even then is compared in blocks of BLOCK, the members outside the bucket's main
-   component against all, so no link waits on the choice of leaders.
+4. In large buckets that still hold several components, the members outside the main one are compared with all,
+   block against block, by longer signatures; a pair is sent on from the first bucket that it shares, and confirmed
+   on full sets. So no link waits on the choice of leaders.
 
 Nothing but counts reaches the driver. A row with null, empty or wordless text has an empty set and links with
 nothing; a null doc_id is in no component (null) and kept; repeated rows are equal sets; rows of one doc_id with
@@ -29,14 +29,16 @@ from .common import written
 BANDS, ROWS = 28, 5
 K = BANDS * ROWS
 BITS = 2
-SMALL, LEADERS, BLOCK, CONSENSUS = 16, 3, 512, 64
-SIG_BYTES = (K + 7) // 8
+LONG = 1024  # minima of the longer signatures
+SMALL, LEADERS, BLOCK, CONSENSUS = 16, 1, 512, 64
 _CHANCE = 1 / (1 << BITS)
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _rng.integers(0, 2**31, K, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, K, np.uint64).astype(np.uint32)
+_LONG_A = _rng.integers(0, 2**31, LONG, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_LONG_B = _rng.integers(0, 2**32, LONG, np.uint64).astype(np.uint32)
 _BAND = _rng.integers(1, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -78,11 +80,11 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mix((total[ends] - total[starts]) * down[starts]))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    low = np.full(K, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 2048):
-        np.minimum(low, (x[i : i + 2048, None] * _A + _B).min(0), out=low)
+    low = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 1024):
+        np.minimum(low, (x[i : i + 1024, None] * a + b).min(0), out=low)
     return low
 
 
@@ -95,17 +97,22 @@ def packed(low: np.ndarray) -> bytes:
     return np.packbits(bits & 1).tobytes() + np.packbits(bits >> np.uint32(1) & 1).tobytes()
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Collision-corrected similarity of packed signatures, row by row (uint8 matrices)."""
-    x = a ^ b
-    other = np.bitwise_count(x[..., :SIG_BYTES] | x[..., SIG_BYTES:]).sum(-1, dtype=np.int32)
-    return ((1 - other / K) - _CHANCE) / (1 - _CHANCE)
+def unpacked(sigs: list[bytes]) -> np.ndarray:
+    """Signatures as a uint8 matrix, a row for each."""
+    return np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
 
 
-def cut(percent: int) -> float:
+def similarity(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
+    """Collision-corrected similarity of packed signatures of ``k`` minima, row by row."""
+    x, half = a ^ b, (k + 7) // 8
+    other = np.bitwise_count(x[..., :half] | x[..., half:]).sum(-1, dtype=np.int32)
+    return ((1 - other / k) - _CHANCE) / (1 - _CHANCE)
+
+
+def cut(percent: int, k: int = K) -> float:
     """The estimate that a pair at the threshold misses once in about 300,000 times (4.5 standard deviations)."""
     p = percent / 100 * (1 - _CHANCE) + _CHANCE
-    return percent / 100 - 4.5 * (p * (1 - p) / K) ** 0.5 / (1 - _CHANCE)
+    return percent / 100 - 4.5 * (p * (1 - p) / k) ** 0.5 / (1 - _CHANCE)
 
 
 def set_id(hashes: np.ndarray) -> bytes:
@@ -176,7 +183,7 @@ def _candidates(members: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFra
 
     def unlike(batches):
         for b in batches:
-            own, most = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, 2 * SIG_BYTES) for i in (2, 3))
+            own, most = (unpacked(b.column(i).to_pylist()) for i in (2, 3))
             far = np.bitwise_count(own ^ most).sum(1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far, pa.int32())], ["bucket", "sid", "unlike"])
 
@@ -193,8 +200,8 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            a, c = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, 2 * SIG_BYTES) for i in (2, 3))
-            yield b.filter(pa.array(similarity(a, c) >= least)).select(["x", "y"])
+            if b.num_rows:
+                yield b.filter(pa.array(similarity(*(unpacked(b.column(i).to_pylist()) for i in (2, 3))) >= least)).select(["x", "y"])
 
     sig = lambda side: reps.select(F.col("sid").alias(side), F.col("sig").alias(f"sig_{side}"))
     return pairs.join(sig("x"), "x").join(sig("y"), "y").select("x", "y", "sig_x", "sig_y").mapInArrow(run, "x binary, y binary")
@@ -244,27 +251,36 @@ def _divided(members: DataFrame, comps: DataFrame) -> DataFrame:
     return written(own.join(written(main.drop("parts"), "main"), "bucket"), "divided")
 
 
-def _blocks(divided: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unlike components in a bucket that the signatures don't rule out, block against block."""
-    least = cut(percent)
-    rows = divided.join(reps.select("sid", "sig"), "sid").withColumn("block", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / BLOCK).cast("long")))
-    rows = written(rows.select("bucket", "block", "main", "c", "sid", "sig"), "blocks")
-    pack = F.collect_list(F.struct("sid", "sig", "c"))
+def _blocks(divided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of unlike components in a bucket that the longer signatures don't rule out, block against block."""
+    least = cut(percent, LONG)
+
+    def longer(batches):
+        for b in batches:
+            sigs = [packed(minima(np.frombuffer(h.as_buffer(), np.uint64), _LONG_A, _LONG_B)) for h in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sigs, pa.binary())], ["sid", "buckets", "sig"])
+
+    shared = divided.groupBy("sid").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))  # BANDS at most
+    sigs = written(sets.join(shared, "sid").select("sid", "hashes", "buckets").mapInArrow(longer, "sid binary, buckets array<long>, sig binary"), "longer")
+    block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / BLOCK).cast("long"))
+    rows = written(divided.join(sigs, "sid").select("bucket", block.alias("block"), "main", "c", "sid", "sig", "buckets"), "blocks")
+    pack = F.collect_list(F.struct("sid", "sig", "c", "buckets"))
     every = written(rows.groupBy("bucket", "block").agg(pack.alias("rows")), "blocks")
     asked = written(rows.where("c <> main").groupBy("bucket", F.col("block").alias("of")).agg(pack.alias("asked")), "asked")
 
     def run(batches):
         for b in batches:
-            for asked_, rows_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x, y = (np.frombuffer(b"".join(r["sig"] for r in z), np.uint8).reshape(-1, 2 * SIG_BYTES) for z in (asked_, rows_))
-                found = []
-                for i, one in enumerate(asked_):
-                    for j in np.flatnonzero(similarity(x[i], y) >= least):
-                        if rows_[j]["c"] != one["c"]:
-                            found.append(tuple(sorted((one["sid"], rows_[j]["sid"]))))
+            for bucket, some, all_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                x, y = (unpacked([r["sig"] for r in z]) for z in (some, all_))
+                found = set()
+                for i, one in enumerate(some):
+                    for j in np.flatnonzero(similarity(x[i], y, LONG) >= least):
+                        other = all_[j]
+                        if other["c"] != one["c"] and min(set(one["buckets"]) & set(other["buckets"])) == bucket:
+                            found.add(tuple(sorted((one["sid"], other["sid"]))))
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["x", "y"])
 
-    return asked.join(every, "bucket").select("asked", "rows").mapInArrow(run, "x binary, y binary").distinct()
+    return asked.join(every, "bucket").select("bucket", "asked", "rows").mapInArrow(run, "x binary, y binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -282,17 +298,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     if not large.isEmpty():
         divided = _divided(large, comps)
         if not divided.isEmpty():
-            finer = divided.select("sid", "bucket").join(reps.select("sid", "bands"), "sid").select("sid", F.explode("bands").alias("band"), F.col("bucket").alias("of"))
-            finer = written(_buckets(finer.where("band <> of").select("sid", F.xxhash64(F.least("of", "band"), F.greatest("of", "band")).alias("bucket")).distinct()), "finer")
-            more, large = _candidates(finer, reps)
-            found = written(_confirmed(_likely(more, reps, percent), sets, percent), "links")
-            links = written(links.unionByName(found), "links")
-            comps = components(links)
-            if not large.isEmpty():
-                divided = _divided(large, comps)
-                if not divided.isEmpty():
-                    found = written(_confirmed(_blocks(divided, reps, percent), sets, percent), "links")
-                    comps = components(written(links.unionByName(found), "links"))
+            found = written(_confirmed(_blocks(divided, sets, percent), sets, percent), "links")
+            comps = components(written(links.unionByName(found), "links"))
 
     named = comps.join(reps.select(F.col("sid").alias("v"), "rep"), "v")
     lowest = named.groupBy("c").agg(F.min("rep").alias("component"))
