@@ -1,0 +1,332 @@
+"""Each operator against a plain version, an exact round trip or held-out labels."""
+
+import hashlib
+import os
+import random
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tessera.llm import bpe, common, grams, html_main, importance, media_ts, neardup, packing, pii, quality_rules, secret_scan, toxicity
+
+from .helpers import AWKWARD, base_spans, docs, near_classes, shingle_set
+
+SF = "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+# --- media columns
+
+@pytest.mark.parametrize("n", [64, 128, 162, 163, 184, 345, 346, 16320, 16384, 70_000, 330_000])
+def test_stream_round_trip(n):
+    payload = random.Random(n).randbytes(n)
+    media = media_ts.write_stream(payload)
+    s = media_ts.read_stream(media)
+    assert s.payload == payload and len(media) % 188 == 0
+    assert s.pts == [3600 * i for i in range(len(s.pts))] and len(s.random_access) == len(s.pts)
+    assert s.streams == {0x100: 6}
+
+
+def test_stream_damage_is_found():
+    media = bytearray(media_ts.write_stream(b"x" * 4096))
+    lost = bytes(media[: 188 * 5] + media[188 * 6 :])
+    with pytest.raises(media_ts.StreamError, match="continuity"):
+        media_ts.read_stream(lost)
+    media[188 * 4] = 0
+    with pytest.raises(media_ts.StreamError, match="sync"):
+        media_ts.read_stream(bytes(media))
+    table = bytearray(media_ts.write_stream(b""))
+    table[10] ^= 1
+    with pytest.raises(media_ts.StreamError, match="damaged"):
+        media_ts.read_stream(bytes(table))
+
+
+def test_media_columns(spark):
+    d = docs(spark)
+    digest = {r["doc_id"]: r for r in media_ts.media_digest(d).collect()}
+    assert digest[2]["payload_bytes"] == digest[1]["payload_bytes"] == 64 and digest[2]["n_bytes"] == 0
+    raw = AWKWARD[8][1].encode()
+    padded = raw + b"\0" * (-len(raw) % 64)
+    assert digest[7]["payload_sha256"] == hashlib.sha256(padded).hexdigest() and digest[7]["tail_crc32"] == zlib.crc32(padded[-64:])
+    back = {r["doc_id"]: bytes(r["payload"]) for r in media_ts.from_media(media_ts.to_media(d)).collect()}
+    assert back[7] == padded
+
+
+# --- BPE and packing
+
+TEXTS = [t for _, t in AWKWARD if t is not None] + ["a  b", " a", "a ", "x \n \n y", "x.\n y", " \nThe", "<|endoftext|>", "a <|endoftext|> b<|startoftext|>", "don't I'LL", "ΑΣ ΟΔΌΣ", "İ ǅ ﬀ é", "１２ ½", "a\x85b\xa0c　d​e", "日本語 한국어"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_librarys(name):
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_file(bpe.default_path(name)), bpe.codec(bpe.default_path(name))
+    rnd = random.Random(7)
+    texts = TEXTS + ["".join(rnd.choice("ab Z'1\n\t  é́Σ<|>. \xa0\x85日") for _ in range(rnd.randint(0, 25))) for _ in range(3000)]
+    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert c.ids(text) == e.ids, text
+        if c.byte_level:
+            assert c.ids_decimal(text) == ",".join(map(str, e.ids)).encode(), text
+            assert c.decode_decimal(c.ids_decimal(text)) == t.decode(e.ids, skip_special_tokens=False)
+        assert c.ids_binary(text) == np.asarray(e.ids, "<u4").tobytes()
+
+
+def test_encode_decode(spark):
+    rows = [(i, t) for i, t in AWKWARD if i != 6]
+    back = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(docs(spark, rows))).collect()}
+    assert back == {i: t or "" for i, t in rows}
+
+
+def test_best_fit_is_tight():
+    rnd = random.Random(1)
+    lengths = sorted((rnd.randint(1, 1500) for _ in range(4000)), reverse=True)
+    bins, offsets = packing.best_fit(lengths)
+    ends = {}
+    for b, o, n in zip(bins, offsets, lengths):
+        assert o == ends.get(b, 0)
+        ends[b] = o + n
+    assert max(ends.values()) <= 4096 and len(ends) <= -(-sum(lengths) // 4096) + 2
+
+    open_ = []  # the same by looking at every bin
+    for n in lengths:
+        fit = min((c for c in open_ if c >= n), default=None)
+        if fit is None:
+            open_.append(4096 - n)
+        else:
+            open_[open_.index(fit)] -= n
+    assert len(open_) == len(ends)
+
+
+def test_packing(spark):
+    c = bpe.codec(bpe.default_path("word_bpe_49k.json"))
+    rows = packing.pack_documents(docs(spark), group=8).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+    for i, t in AWKWARD:
+        if i == 6:
+            continue
+        ids = [*c.ids(t), 1]
+        parts = sorted(by[i], key=lambda r: r["piece"])
+        assert [p["start"] for p in parts] == list(range(0, len(ids), 4096))
+        for p in parts:
+            own = ids[p["start"] : p["start"] + p["length"]]
+            assert zlib.crc32(struct.pack(f"<{len(own)}I", *own)) == p["ids_crc32"] and (p["length"] == 4096 or p is parts[-1])
+    assert len(by[6]) == 2
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 4096
+    whole = {r["sequence_id"]: len(r["ids"]) for r in packing.sequences(docs(spark)).collect()}
+    assert sum(whole.values()) == sum(ends.values())
+
+
+# --- near duplicates
+
+def test_shingles():
+    for text in ["a b c d a b c", "A b", "", None, "x", "é É"]:
+        assert len(neardup.shingles(text, 3)) == len(shingle_set(text, 3))
+    assert (neardup.shingles("One  TWO\nthree", 3) == neardup.shingles("one two three", 3)).all()
+
+
+def test_estimate():
+    rnd = random.Random(3)
+    for share in (0.5, 0.8, 0.95):
+        errors = []
+        for _ in range(40):
+            common = [rnd.getrandbits(64) for _ in range(int(1000 * share))]
+            rest = (1000 - len(common)) // 2
+            a, b = (neardup.minima(np.asarray(common + [rnd.getrandbits(64) for _ in range(rest)], np.uint64)) for _ in range(2))
+            x, y = (neardup.unpacked([neardup.packed(m)]) for m in (a, b))
+            errors.append(neardup.similarity(x, y)[0] - len(common) / (len(common) + 2 * rest))
+        assert abs(np.mean(errors)) < 0.03 and max(map(abs, errors)) < 0.2
+
+
+def test_near_duplicates(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(500)]
+
+    def edited(base, k):
+        base = list(base)
+        for _ in range(k):
+            base[rnd.randrange(len(base))] = rnd.choice(words)
+        return base
+
+    base = [rnd.choice(words) for _ in range(120)]
+    texts = [" ".join(edited(base, rnd.choice([1, 2, 3]))) for _ in range(60)]  # more than SMALL near copies
+    chain = base
+    for _ in range(25):
+        chain = edited(chain, 2)
+        texts.append(" ".join(chain))
+    texts += [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(20)] + [None, "", " \n", "one", "one", "one two", "ONE two"]
+    ids = list(range(len(texts)))
+    rnd.shuffle(ids)
+    rows = list(zip(ids, texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, rows), width=3, percent=85).collect()}
+    assert got == near_classes(rows, 3, 85)
+
+
+# --- quality
+
+def test_base_counts():
+    words = ["w%d" % i for i in range(12)]
+    assert quality_rules.repeat_words(words) == 0
+    assert quality_rules.repeat_words(["a"] * 9) == 9
+    rnd = random.Random(2)
+    for _ in range(300):
+        w = [rnd.choice("ab") for _ in range(rnd.randint(0, 40))]
+        seen = {}
+        for i in range(len(w) - 7):
+            seen.setdefault(tuple(w[i : i + 8]), []).append(i)
+        cover = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+        assert quality_rules.repeat_words(w) == len(cover)
+    assert quality_rules.base_counts("a #b\n\x0b\n\xa0 é\n a #b ") == (6, 8, 2, 0, 0)
+    assert quality_rules.base_counts("x y\nx y\n \n \nx y")[3] == 2
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rnd = random.Random(2)
+    weights = np.random.RandomState(0).randint(-5000, 5000, grams.BUCKETS)
+    texts = ["".join(rnd.choice("ab é\nX%1") for _ in range(rnd.randint(0, 60))) for _ in range(200)] + [None, "", "a"]
+    total, n = grams.sums(*common.text_buffer(pa.array(texts)), weights, True)
+    for i, t in enumerate(texts):
+        a, b = grams.sums(*common.text_buffer(pa.array([t], pa.string())), weights, True)
+        assert (a[0], b[0]) == (total[i], n[i])
+
+
+def test_kth_largest(spark):
+    rnd = random.Random(4)
+    values = [rnd.randint(-(10**12), 10**12) for _ in range(500)] + [7] * 50
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    for k in (1, 10, 300, 550):
+        assert importance.kth_largest(df, "x", k, bins=64) == sorted(values, reverse=True)[k - 1]
+    assert importance.kth_largest(df, "x", 0) is None
+
+
+@needs_data
+def test_quality_on_labels(spark):
+    d, known = (common.table(spark, SF, t) for t in ("documents", "labels"))
+    for rows in (importance.resample(d.select("doc_id", "text"), known, carry=["doc_id"]), quality_rules.quality_rules(d, known)):
+        judged = rows.join(known, "doc_id").select("quality", "kept").collect()
+        good = [r["kept"] for r in judged if r["quality"] == 1]
+        bad = [r["kept"] for r in judged if r["quality"] == 0]
+        assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.15 * len(bad)
+
+
+# --- toxicity
+
+def test_automaton():
+    terms = ["idiot", "worthless", "scum", "disgusting"]
+    a = toxicity.Automaton(terms)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, up = [i], row
+            for j, e in enumerate(y, 1):
+                row.append(min(up[j] + 1, row[-1] + 1, up[j - 1] + (c != e)))
+        return row[-1]
+
+    rnd = random.Random(6)
+    words = terms + ["idot", "idiiot", "wrthles", "scom", "disgsting", "idol", "", "worthlessness"]
+    words += ["".join(rnd.choice("idotwrhles") for _ in range(rnd.randint(3, 10))) for _ in range(2000)]
+    for w in words:
+        near = [(distance(w, t), i) for i, t in enumerate(terms) if distance(w, t) <= toxicity.errors_allowed(t)]
+        assert a.find(w) == (min(near)[::-1] if near else None), w
+
+
+def test_quotation_counts_less():
+    s = toxicity.Scorer(toxicity.Model(["idiot"], [6.0]))
+    assert s.features("what an idiot he is")[1:4] == [6.0, 0, 0]
+    assert s.features("what an idi0t he is")[1:4] == [6.0, 0, 0]
+    assert s.features("what an idoit he ist")[1:4] == [0, 0, 0] and s.features("what an idiiot he is")[1:4] == [0, 6.0, 0]
+    assert s.features('he said "idiot" to me')[1:4] == [0, 0, 6.0]
+    assert s.score('she wrote "idiot" there') < s.score("you idiot there you idiot")
+
+
+@needs_data
+def test_toxicity_on_held_out_rows(spark):
+    sf = SF.replace("0.01", "0.1")
+    sf = sf if os.path.isdir(sf) else SF
+    d, known = (common.table(spark, sf, t) for t in ("documents", "labels"))
+    rows = toxicity.toxicity(d, known).join(known, "doc_id").where("held_out").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
+    clean = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+# --- HTML, PII, secrets
+
+PAGE = "<html><head><title>t</title></head><body><nav>Menu <b>x</b></nav><div class='cookie-banner'>We use cookies</div><article><header><h1>Head&amp;line</h1></header><p>One <i>two</i>\n three<br>four<p>Next &lt;5<div id=comments>me too</div></article><form><p>Sign</form><footer>(c)</footer><script>var a='<p>no</p>'</script></body></html>"
+
+
+def test_marked_article():
+    assert html_main.article_text(html_main.blocks(PAGE)) == "Head&line\n\nOne two three four\n\nNext <5"
+    assert html_main.blocks(None) == [] and html_main.article_text(html_main.blocks("<p>x")) is None
+
+
+def test_repeated_runs_go(spark):
+    common_ = "all rights reserved by the owners of this place since nineteen ninety"
+    bodies = ["first page with a text of its own that nobody else has here", "second page is about something else and has other words in it", "third one"]
+    rows = [(i, f"http://h.example/{i}", f"<div>{common_}</div><div>{b}</div>") for i, b in enumerate(bodies)]
+    rows += [(3, "http://other.example/", f"<div>{common_}</div><div>alone</div>"), (4, "http://h.example/0", rows[0][2]), (5, None, PAGE)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(df).collect()}
+    assert [got[i] for i in range(3)] == bodies
+    assert got[3] == f"{common_}\n\nalone" and got[4] == bodies[0] and got[5].startswith("Head&line")
+    # the covered tokens by brute force over all pairs of pages
+    streams = {i: [w for k, t in html_main.blocks(h) if k != 2 for w in t.split(" ")] for i, _, h in rows[:3]}
+    shared = {tuple(s[i : i + html_main.RUN]) for a, s in streams.items() for i in range(len(s) - html_main.RUN + 1) if any(tuple(s[i : i + html_main.RUN]) in {tuple(t[j : j + html_main.RUN]) for j in range(len(t))} for b, t in streams.items() if b != a)}
+    assert shared == {tuple(common_.split()[i : i + html_main.RUN]) for i in range(len(common_.split()) - html_main.RUN + 1)}
+
+
+def test_base_spans(spark):
+    rnd = random.Random(3)
+    bits = ["4111111111111111", "1", "2", " ", "-", ".", "@", "a", "+", "(", ")", "é", "😀", "\n", "255", "0", "5555 5555 5555 4444", "b.c"]
+    texts = [None, "", "a" * 50_000, "1" * 50_000, "1 " * 20_000, "a.b@c.d.e%f@g.h x@y", "1.2.3.4.5.6.7.8 000001.2.3.255 1.2.3.256 +1 (017) 555-7713.", "a@b..c@d.e"]
+    texts += ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(800)]
+    got = {r["doc_id"]: r for r in pii.pii(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), t
+        assert got[i]["spans"].startswith(joined) and [got[i][f"n_{k}"] for k in pii.BASE] == [sum(k == x for x, _, _ in want) for k in pii.BASE]
+
+
+def test_reliabilities():
+    """Labelers drawn with known reliabilities are ranked as they are."""
+    rnd = random.Random(8)
+    counts = {}
+    for _ in range(20_000):
+        y = rnd.random() < 0.6
+        votes = tuple((1 if y else -1) * (1 if rnd.random() < r else -1) for r in (0.95, 0.8, 0.6))
+        counts[("ssn", *votes)] = counts.get(("ssn", *votes), 0) + 1
+    post, table = pii.reliabilities(counts)
+    right = [t[1][1] for t in table]
+    assert right[0] > right[1] > right[2] and abs(right[0] - 0.95) < 0.06
+    assert post["ssn", 1, 1, 1] > 0.9 > 0.1 > post["ssn", -1, -1, -1]
+    chances = pii.span_classifier(counts, post)
+    assert chances["ssn", 1, 1, 1] > 0.5 > chances["ssn", -1, -1, -1]
+
+
+def test_mask(spark):
+    text = "é mail a.b@c.de and 10.0.0.1, +4111111111111111 x"
+    got = pii.mask(docs(spark, [(1, text), (2, None), (3, "clean")])).orderBy("doc_id").collect()
+    assert got[0]["text"] == "é mail [EMAIL] and [IP], +[CARD] x" and got[1]["text"] is None and got[2]["text"] == "clean"
+
+
+def test_secrets(spark):
+    model = secret_scan.train(secret_scan.sample_findings(spark, 2000))
+    rows = [(1, 'the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" is'), (2, "in commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 we"), (3, "call 2669109448945250 or ththanthereonlongwordofnothing"), (4, None)]
+    got = {r["doc_id"]: (r["n_candidates"], r["n_secrets"], r["spans"]) for r in secret_scan.scan(docs(spark, rows), model).collect()}
+    assert got == {1: (1, 1, "13:53"), 2: (1, 0, ""), 3: (1, 0, ""), 4: (0, 0, "")}
+    held = secret_scan.sample_findings(spark, 2600).exceptAll(secret_scan.sample_findings(spark, 2000))
+    scored = secret_scan.score(secret_scan.candidates(held, ["label"]), model).selectExpr("label", "chance >= 0.5 as p").collect()
+    assert sum((r["label"] == 1) == r["p"] for r in scored) >= 0.97 * len(scored)
+    plan = secret_scan.scan(docs(spark), model)._jdf.queryExecution().toString() + pii.pii(docs(spark))._jdf.queryExecution().toString()
+    assert not any(w in plan for w in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas"))
