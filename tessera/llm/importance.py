@@ -1,7 +1,7 @@
 """Quality classifier: importance resampling.
 
 Weight of a document: the log ratio of two hashed n-gram generative models, fitted on a bounded sample of target
-rows and on every raw row, divided by its n-grams. Rows are sampled without replacement by Gumbel top-k over
+rows and on every raw row, divided by its n-grams (and PRIOR more). Rows are sampled without replacement by Gumbel top-k over
 weight / TEMPERATURE + noise, the noise drawn from a hash of the doc_id. By default k is the number of rows whose
 weight is at or over FLOOR, so that the sample is as large as the corpus has target-like rows.
 
@@ -25,6 +25,7 @@ from .common import bounded_ids, fresh, slices, text_buffer, with_columns, writt
 TARGET_BOUND = 20_000
 FLOOR = -0.25  # nats an n-gram
 TEMPERATURE = 0.005
+PRIOR = 32  # n-grams of weight 0 that each text is given, so that a few n-grams don't decide
 ALPHA = 1.0
 UNITS = 1 << 20  # fixed-point units of a key
 SEED = "tessera"
@@ -47,7 +48,7 @@ def with_keys(docs: DataFrame, target: list[int], text: str = "text", key: str =
             mean = []
             for i, j in slices(b.column(texts)):
                 s, n = G.sums(*text_buffer(b.column(texts).slice(i, j - i)), weights.value, shapes=True)
-                mean += [G.mean(x, y) for x, y in zip(s.tolist(), n.tolist())]
+                mean += [G.mean(x, y + PRIOR) for x, y in zip(s.tolist(), n.tolist())]
             keys = [round((m / temperature + noise(x)) * UNITS) for m, x in zip(mean, b.column(ids).to_pylist())]
             yield with_columns(b, [(weight, pa.array(mean, pa.float64())), (order, pa.array(keys, pa.int64()))])
 
