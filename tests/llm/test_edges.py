@@ -62,3 +62,12 @@ def test_filters_keep_columns(spark):
     masked = pii.mask(d)
     assert masked.columns == d.columns and masked.count() == len(AWKWARD)
     assert masked.where(F.col("doc_id") == 1).first()["text"] is None
+
+
+def test_release(spark):
+    from tessera.llm import common
+
+    common.release(spark)
+    t = common.written(docs(spark), "t")
+    assert t.count() == len(AWKWARD) and common.release(spark) == 1
+    assert not spark._jvm.org.apache.hadoop.fs.Path(t.inputFiles()[0]).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(t.inputFiles()[0]))
