@@ -302,8 +302,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
             comps = components(written(links.unionByName(found), "links"))
 
     named = comps.join(reps.select(F.col("sid").alias("v"), "rep"), "v")
-    lowest = named.groupBy("c").agg(F.min("rep").alias("component"))
-    of_rep = written(reps.select("sid", "rep").join(comps.withColumnRenamed("v", "sid"), "sid", "left").join(lowest, "c", "left").select("sid", F.coalesce("component", "rep").alias("component")), "components")
+    lowest = written(named.groupBy("c").agg(F.min("rep").alias("component")), "lowest")
+    linked = comps.join(lowest, "c").select(F.col("v").alias("sid"), "component")
+    of_rep = written(reps.select("sid", "rep").join(linked, "sid", "left").select("sid", F.coalesce("component", "rep").alias("component")), "components")
     out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(of_rep, "sid", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
