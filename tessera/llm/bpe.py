@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -23,9 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-TABLE_ROWS = 400_000
+TABLE_ROWS = 200_000
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_UNSEEN = object()
 PIECES_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -44,16 +46,20 @@ def byte_alphabet() -> dict[int, int]:
 
 
 class _Table(dict):
-    """Word -> value, filled by ``make`` on first sight and emptied when it has ``TABLE_ROWS`` words."""
+    """Word -> value, filled by ``make`` on first sight; of TABLE_ROWS words it starts anew, with the last as reserve."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.reserve = make, {}
 
     def __missing__(self, word):
+        value = self.reserve.pop(word, _UNSEEN)
+        if value is _UNSEEN:
+            value = self.make(word)
         if len(self) >= TABLE_ROWS:
+            self.reserve = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
+        self[word] = value
         return value
 
 
@@ -83,12 +89,13 @@ class Codec:
         self.pieces = {i: bytes(back[ord(c)] for c in p) for p, i in spec["model"]["vocab"].items() if all(ord(c) in back for c in p)}
         self.pieces |= {i: t.encode() for t, i in self.special.items()}
         self.decimal_pieces = {str(i).encode(): p for i, p in self.pieces.items()}
-        self.pieces_of_words = _Table(self._model_ids)
+        self.of_piece = _Table(lambda piece: np.asarray(self._model_ids(piece), "<u4").tobytes())
+        self.of_piece_decimal = _Table(lambda piece: b",".join(b"%d" % i for i in self._model_ids(piece)))
         self.decimals = _Table(self._decimals)
-        self.binary = _Table(lambda word: np.asarray(self._word_ids(word), "<u4").tobytes())
+        self.binary = _Table(lambda word: self._joined(word, self.of_piece, b"", "<I"))
 
-    def _model_ids(self, piece: str) -> tuple[int, ...]:
-        return tuple(t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.of_byte)))
+    def _model_ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.of_byte))]
 
     def _normal(self, text: str) -> str:
         if not self.lower:
@@ -96,29 +103,33 @@ class Codec:
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
-    def _word_ids(self, text: str) -> list[int]:
-        """Ids of any text by the full pattern; distinct pieces are encoded once."""
-        out: list[int] = []
+    def _joined(self, text: str, table: _Table, comma: bytes, special: str) -> bytes:
+        """Ids of any text by the full pattern, from a table of pieces."""
+        out: list[bytes] = []
         pattern = BYTE_PATTERN if self.byte_level else WORD_PATTERN
-        for part in self.split_special.split(text) if self.split_special else [text]:
+        for part in self.split_special.split(text) if self.split_special and any(t in text for t in self.special) else (text,):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(struct.pack(special, self.special[part]) if special else b"%d" % self.special[part])
             elif part:
-                for piece in pattern.findall(self._normal(part)):
-                    out += self.pieces_of_words[piece]
-        return out
+                part = self._normal(part)
+                # letters alone are one piece, with the space in front or without
+                out += (table[part],) if part.isalpha() or (self.byte_level and part[0] == " " and part[1:].isalpha()) else map(table.__getitem__, pattern.findall(part))
+        return comma.join(out)
+
+    def _decimal(self, text: str) -> bytes:
+        return self._joined(text, self.of_piece_decimal, b",", "")
 
     def _decimals(self, word: str) -> bytes | None:
         """Ids of a word behind a space, in decimals; None for white space, which may join with its neighbours."""
-        return b",".join(b"%d" % i for i in self._word_ids(" " + word)) if word and not word.isspace() else None
+        return self._decimal(" " + word) if word and not word.isspace() else None
 
     def ids(self, text: str | None) -> list[int]:
-        return self._word_ids(text or "")
+        return np.frombuffer(self._joined(text or "", self.of_piece, b"", "<I"), "<u4").tolist()
 
     def ids_binary(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit numbers, for vocabularies that drop white space."""
         if self.byte_level:
-            return np.asarray(self._word_ids(text or ""), "<u4").tobytes()
+            return self._joined(text or "", self.of_piece, b"", "<I")
         return b"".join(map(self.binary.__getitem__, (text or "").split(" ")))
 
     def ids_decimal(self, text: str | None) -> bytes:
@@ -127,8 +138,8 @@ class Codec:
         try:
             rest = b",".join(map(self.decimals.__getitem__, words))
         except TypeError:
-            return b",".join(b"%d" % i for i in self._word_ids(text))
-        head = b",".join(b"%d" % i for i in self._word_ids(first))
+            return self._decimal(text)
+        head = self._decimal(first)
         return head + b"," + rest if head and rest else head or rest
 
     def decode_decimal(self, ids: bytes) -> str:
