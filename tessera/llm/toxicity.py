@@ -9,7 +9,7 @@ quotation. The hits' weights by kind (exact, misspelt, quoted) and the text's le
 go into a logistic regression, shrunk towards PRIOR, that gives the score.
 
 Training rows are those with crc32(doc_id) mod 3 other than 1, at most TRAIN_BOUND of each label, the first by a
-hash of the id. Without training rows of both labels nothing is known to be toxic: the lexicon is empty and every
+hash of the id; of copies (estimated word Jaccard of COPY or more) one counts. Without training rows of both labels nothing is known to be toxic: the lexicon is empty and every
 score is the prior's. Null and empty texts have no hits and get a score all the same; a null doc_id is held_out
 null; repeated rows get equal scores; an empty table gives an empty one; other columns are no inputs.
 """
@@ -42,6 +42,8 @@ PRIOR = np.asarray([-3.0, 1.0, 0.4, 0.2, -0.5])
 TIGHTNESS = np.asarray([0.1, 2.0, 8.0, 8.0, 2.0])
 LONGEST = 15.0  # hundreds of words that length counts for
 REPEATS = 2  # times that one word counts in a text
+MINIMA, BAND, COPY = 128, 4, 0.9  # least hashes of a training text; those that find a likely copy; share of equal ones in a copy
+FACTORS = np.random.default_rng(7).integers(1 << 62, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
 QUOTES = "\"'«»„“”‚‘’‹›`"
 #: Fixed words that report or name what somebody else said.
 REPORTS = frozenset("said says called calling wrote quote quoted quoting word term dit disait appelé sagte nannte zitat dijo llamó cita".split())
@@ -237,17 +239,38 @@ def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
+def sketch(words: set[str]) -> bytes:
+    """The least hash of the words by each of MINIMA hash functions."""
+    hashes = np.asarray([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words] or [0], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hashes ^= hashes >> np.uint64(29)
+    least = np.full(MINIMA, 0xFFFFFFFF, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[i : i + 4096, None] * FACTORS) >> np.uint64(32)).min(0))
+    return least.astype("<u4").tobytes()
+
+
 def _unlike(rows: DataFrame, label: dict[int, int]) -> dict[int, int]:
-    """The training rows with one of each group of copies: of those with one word of least hash, the smallest id."""
+    """The training rows with one of each group of copies, the smallest id; texts are copies where COPY of their minima agree."""
     known = rows.sparkSession.sparkContext.broadcast(label)
 
     def run(batches):
         for b in batches:
-            out = [(x, known.value[x], min((zlib.crc32(w.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFF for w in set((t.as_py() or "").lower().split())), default=-1)) for x, t in zip(b.column(0).to_pylist(), b.column(1)) if x in known.value]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["doc_id", "y", "least"])
-
-    kept = rows.mapInArrow(run, "doc_id long, y long, least long").groupBy("y", "least").agg(F.min("doc_id").alias("doc_id"))
-    return {r["doc_id"]: r["y"] for r in kept.collect()}
+            out = [(x, sketch(set((t.as_py() or "").lower().split()))) for x, t in zip(b.column(0).to_pylist(), b.column(1)) if x in known.value]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["doc_id", "minima"])
+
+    found = rows.mapInArrow(run, "doc_id long, minima binary").groupBy("doc_id").agg(F.min("minima").alias("minima")).collect()
+    found = sorted((r["doc_id"], bytes(r["minima"])) for r in found)
+    table, kept, bands = np.empty((len(found), MINIMA), "<u4"), {}, {}
+    for x, raw in found:
+        here = table[len(kept)] = np.frombuffer(raw, "<u4")
+        keys = [(label[x], i, raw[4 * i : 4 * (i + BAND)]) for i in range(0, MINIMA, BAND)]
+        near = list({n for k in keys for n in bands.get(k, ())})
+        if near and (table[near] == here).mean(1).max() >= COPY:
+            continue
+        for k in keys:
+            bands.setdefault(k, []).append(len(kept))
+        kept[x] = label[x]
+    return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", bound: int = TRAIN_BOUND) -> Model:
