@@ -207,7 +207,16 @@ def entity_memory(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS image_id, l_linenumber AS n, CASE WHEN l_suppkey % 2 = 0 THEN (l_suppkey % 10)::BIGINT END AS subject_id FROM lineitem WHERE l_orderkey % 50 = 0")
 def relation_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    li = load(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
+    return _relations(load(spark, sf, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+@query("SELECT l_orderkey AS image_id, l_linenumber AS n, CASE WHEN l_suppkey % 2 = 0 THEN (l_suppkey % 10)::BIGINT END AS subject_id FROM lineitem")
+def relation_lookup_all(spark: SparkSession, sf: str) -> DataFrame:
+    """relation_lookup over every row."""
+    return _relations(load(spark, sf, "lineitem"))
+
+
+def _relations(li: DataFrame) -> DataFrame:
     entities = li.select(F.col("l_orderkey").alias("image_id")).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8), F.lit(2))))
     entities = entities.select("image_id", F.concat(F.lit("E"), F.col("k").cast("string")).alias("label"), F.col("k").cast("long").alias("entity_id"))
     rel = li.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("e"), (F.col("l_suppkey") % 10).cast("string")).alias("subject"), F.lit("none").alias("object"))

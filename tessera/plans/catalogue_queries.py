@@ -53,7 +53,17 @@ def exclusions_toggle(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH s AS (SELECT l_orderkey AS id, max(l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS id, o_orderstatus AS status, (n)::INT AS segment FROM orders LEFT JOIN s ON o_orderkey = s.id WHERE o_orderkey % 20 = 0")
 def video_attach(spark: SparkSession, sf: str) -> DataFrame:
     """Results with the segment rows of their video; of several the last wins."""
-    rows = load(spark, sf, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return _attached(spark, sf, load(spark, sf, "orders").where("o_orderkey % 20 = 0"))
+
+
+@query("WITH s AS (SELECT l_orderkey AS id, max(l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS id, o_orderstatus AS status, (n)::INT AS segment FROM orders LEFT JOIN s ON o_orderkey = s.id")
+def video_attach_all(spark: SparkSession, sf: str) -> DataFrame:
+    """video_attach over every order."""
+    return _attached(spark, sf, load(spark, sf, "orders"))
+
+
+def _attached(spark, sf, orders: DataFrame) -> DataFrame:
+    rows = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     segments = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("segment"))
     return api.attach_segments(rows, segments, "segment")
 

@@ -120,8 +120,17 @@ def label_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     c AS (SELECT id, unnest(range(n)) AS i, t FROM k) SELECT id, (i + 1)::BIGINT AS chunk, length(trim(t[i * 1200 + 1 : i * 1200 + 1400], E' \\n\\t\\r\\x0b\\x0c'))::BIGINT AS size FROM c WHERE length(t) > 0"""
 )
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "documents").where(~F.col("text").rlike(r"\n\s*\n"))
-    rows = rows.select(F.col("doc_id").alias("id"), F.posexplode(X.chunks(F.col("text"))).alias("i", "c"))
+    return _chunked(load(spark, sf, "documents").where(~F.col("text").rlike(r"\n\s*\n")))
+
+
+@query()
+def chunks_all(spark: SparkSession, sf: str) -> DataFrame:
+    """chunks over every document, those of several paragraphs too; no SQL packs paragraphs."""
+    return _chunked(load(spark, sf, "documents"))
+
+
+def _chunked(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").alias("id"), F.posexplode(X.chunks(F.col("text"))).alias("i", "c"))
     return rows.select("id", (F.col("i") + 1).cast("long").alias("chunk"), F.length("c").cast("long").alias("size"))
 
 

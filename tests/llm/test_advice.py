@@ -14,3 +14,21 @@ def test_training_rows_that_share_words_are_no_copies(spark):
     rows = spark.createDataFrame([*enumerate(texts), (500, texts[0]), (900, "unlabelled")], "doc_id long, text string")
     kept = toxicity._unlike(rows, label)
     assert set(kept) == {*range(150), 171, 500} and kept[500] == 1
+
+
+def test_queries_over_every_row(spark, tmp_path):
+    from tessera.plans import registry
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    put("orders", [(i, "O") for i in range(1, 61)], "o_orderkey long, o_orderstatus string")
+    put("lineitem", [(i, j, i + j) for i in range(1, 61) for j in (1, 2)], "l_orderkey long, l_linenumber int, l_suppkey long")
+    put("documents", [(1, "a b\n\nc d"), (2, "x" * 1000 + "\n \n" + "y" * 1000), (3, "one")], "doc_id long, text string")
+
+    def got(name):
+        return sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect()))
+
+    assert got("relation_lookup_all") == [(i, j, (i + j) % 10 if (i + j) % 2 == 0 else None) for i in range(1, 61) for j in (1, 2)]
+    assert got("video_attach_all") == [(i, "O", 2) for i in range(1, 61)]
+    assert got("chunks_all") == [(1, 1, 8), (2, 1, 1000), (2, 2, 1000), (3, 1, 3)]
