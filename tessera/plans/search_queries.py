@@ -68,9 +68,28 @@ def kw_bm25_porter(spark: SparkSession, sf: str) -> DataFrame:
 )
 def kw_bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     """All benchmark passages as queries: the documents that hold all of a passage's first words."""
+    return _searched(spark, sf, F.slice(_passage_words(), 1, 6))
+
+
+@query(
+    r"""WITH toks AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), post AS (SELECT term, id, count(*) AS tf, max(dl) AS dl FROM (SELECT id, unnest(t) AS term, len(t) AS dl FROM toks) GROUP BY term, id),
+    stats AS (SELECT count(*) AS nd, avg(len(t)) AS avgdl FROM toks), asked AS (SELECT query_id, len(list_distinct(ts)) AS asked, unnest(list_distinct(ts)) AS term FROM (SELECT item_id AS query_id, regexp_extract_all(lower(trim(text)), '[\p{L}\p{N}_]+') AS ts FROM benchmark)),
+    dfs AS (SELECT term, count(*) AS n FROM post GROUP BY term),
+    scored AS (SELECT query_id, id, sum(greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score, count(*) AS c, max(asked) AS a FROM asked JOIN post USING (term) JOIN dfs USING (term) CROSS JOIN stats GROUP BY query_id, id)
+    SELECT query_id, id, round(score, 6) AS score FROM scored WHERE c = a"""
+)
+def kw_bm25_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """All benchmark passages as queries: the documents that hold all words of a passage."""
+    return _searched(spark, sf, _passage_words())
+
+
+def _passage_words():
+    return F.regexp_extract_all(F.lower(F.trim("text")), F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def _searched(spark, sf, terms) -> DataFrame:
     t = K.tokenised(load(spark, sf, "documents"), "doc_id", "text")
-    first = F.slice(F.regexp_extract_all(F.lower(F.trim("text")), F.lit(r"(?U)\w+"), F.lit(0)), 1, 6)
-    asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("terms"))
+    asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
     return K.bm25_batch(K.postings(t), K.corpus_stats(t), asked).select("query_id", "id", F.round(-F.col("bm25"), 6).alias("score"))
 
 

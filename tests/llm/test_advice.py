@@ -32,3 +32,21 @@ def test_queries_over_every_row(spark, tmp_path):
     assert got("relation_lookup_all") == [(i, j, (i + j) % 10 if (i + j) % 2 == 0 else None) for i in range(1, 61) for j in (1, 2)]
     assert got("video_attach_all") == [(i, "O", 2) for i in range(1, 61)]
     assert got("chunks_all") == [(1, 1, 8), (2, 1, 1000), (2, 2, 1000), (3, 1, 3)]
+
+
+PASSAGE = "one two three four five six seven eight nine"
+
+
+def _passages(spark, folder):
+    lead = "same lead " * 8
+    docs = [(1, lead + PASSAGE + ", end"), (2, lead + PASSAGE[:27]), (3, "x" + PASSAGE), (4, "nine eight seven six five four three two one"), (5, "ok no"), (6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(7, PASSAGE), (8, "ok no"), (9, "absent from all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_search_for_whole_passages(spark, tmp_path):
+    from tessera.plans import registry
+
+    rows = registry.queries()["kw_bm25_passages"](spark, _passages(spark, tmp_path)).collect()
+    assert sorted((r["query_id"], r["id"]) for r in rows) == [(7, 1), (7, 4), (8, 5)]
