@@ -310,7 +310,7 @@ def fallback_top2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _runs(spark, sf):
-    """Two modes over benchmark passages: containment in order of id, and in order of length."""
+    """The documents that share their first 60 characters, as cases."""
     docs = load(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("lead"))
     heads = docs.groupBy("lead").agg(F.count("*").alias("n"), F.min("doc_id").alias("case_id")).where("n > 1")
     pairs = docs.join(heads, "lead").select("case_id", F.col("doc_id").alias("id"))
@@ -321,9 +321,13 @@ _PAIRS = "d AS (SELECT doc_id, text[1:60] AS lead FROM documents), h AS (SELECT
 
 
 def _cases(spark, sf) -> DataFrame:
+    return _measured(_runs(spark, sf))
+
+
+def _measured(pairs: DataFrame) -> DataFrame:
+    """Metrics of two modes: in order of id, and the same five ranks further down."""
     from pyspark.sql.window import Window
 
-    pairs = _runs(spark, sf)
     up = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("id"))).withColumn("mode", F.lit("up"))
     runs = up.unionByName(up.withColumn("rank", F.col("rank") + 5).withColumn("mode", F.lit("far")))
     return E.case_metrics(runs, pairs)
@@ -343,3 +347,46 @@ def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def eval_gate(spark: SparkSession, sf: str) -> DataFrame:
     floors = spark.createDataFrame([("up", "precision", 0.1), ("far", "precision", 0.1), ("up", "recall", 0.0)], "mode string, metric string, floor double")
     return E.gates(E.mode_metrics(_cases(spark, sf)), floors)
+
+
+WORD, KEYS = r"(?U)\w+", 3
+
+
+def _contained(spark, sf) -> DataFrame:
+    """(case_id, id): the benchmark passages and the documents whose text contains the whole passage.
+
+    Candidates hold the KEYS longest inner words of a passage, which stand whole in any text that contains it. Passages
+    of two words or fewer have none and are compared with every document.
+    """
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    passages = load(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("passage"))
+    words = F.regexp_extract_all("passage", F.lit(WORD), F.lit(0))
+    inner = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    longest = F.transform(F.slice(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, KEYS), lambda x: x["w"])
+    keyed = passages.withColumn("keys", longest)
+    asked = keyed.select("case_id", F.size("keys").alias("asked"), F.explode("keys").alias("word")).distinct()
+    held = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word")).distinct()
+    likely = held.join(asked, "word").groupBy("case_id", "id", "asked").agg(F.count("*").alias("n")).where("n = asked").select("case_id", "id")
+    found = likely.join(keyed.where("size(keys) > 0"), "case_id").join(docs, "id").where(F.col("text").contains(F.col("passage")))
+    short = docs.join(F.broadcast(keyed.where("size(keys) = 0")), F.col("text").contains(F.col("passage")))
+    return found.select("case_id", "id").unionByName(short.select("case_id", "id")).distinct()
+
+
+_PASSAGES = "p AS (SELECT DISTINCT item_id AS case_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), " + _PAIRS[_PAIRS.index("runs AS") :]
+
+
+@query(f"WITH {_PASSAGES} SELECT mode, case_id, round(precision, 6) AS precision, round(recall, 6) AS recall, hit FROM cm")
+def eval_passage_cases(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _measured(_contained(spark, sf))
+    return rows.select("mode", "case_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "hit")
+
+
+@query(f"WITH {_PASSAGES} SELECT mode, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit_rate, sum(1 - hit)::BIGINT AS failed FROM cm GROUP BY mode")
+def eval_passage_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return E.mode_metrics(_measured(_contained(spark, sf)))
+
+
+@query(f"WITH {_PASSAGES}, m AS (SELECT mode, round(avg(precision), 4) AS p FROM cm GROUP BY mode) SELECT mode, 'precision' AS failures FROM m WHERE p < 0.1")
+def eval_passage_gate(spark: SparkSession, sf: str) -> DataFrame:
+    floors = spark.createDataFrame([("up", "precision", 0.1), ("far", "precision", 0.1), ("up", "recall", 0.0)], "mode string, metric string, floor double")
+    return E.gates(E.mode_metrics(_measured(_contained(spark, sf))), floors)

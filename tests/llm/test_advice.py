@@ -50,3 +50,10 @@ def test_search_for_whole_passages(spark, tmp_path):
 
     rows = registry.queries()["kw_bm25_passages"](spark, _passages(spark, tmp_path)).collect()
     assert sorted((r["query_id"], r["id"]) for r in rows) == [(7, 1), (7, 4), (8, 5)]
+
+
+def test_cases_of_whole_passages(spark, tmp_path):
+    from tessera.plans import registry
+
+    rows = registry.queries()["eval_passage_cases"](spark, _passages(spark, tmp_path)).collect()
+    assert {(r["case_id"], r["precision"]) for r in rows if r["mode"] == "up"} == {(7, 0.4), (8, 0.2)}
