@@ -1,34 +1,38 @@
 """Quality classifier: importance resampling.
 
-Weight of a document: the log ratio of two hashed n-gram generative models, fitted on a bounded sample of target
-rows and on every raw row, divided by its n-grams (and PRIOR more). Rows are sampled without replacement by Gumbel top-k over
-weight / TEMPERATURE + noise, the noise drawn from a hash of the doc_id. By default k is the number of rows whose
-weight is at or over FLOOR, so that the sample is as large as the corpus has target-like rows.
+Weight of a document: the log ratio of two hashed n-gram generative models, one fitted on a bounded sample of target
+rows, one on every raw row, of a passage of PASSAGE n-grams of its kind (the mean of the document's n-grams and PRIOR
+more of weight 0, times PASSAGE), so that neither length nor a few n-grams decide. Rows are sampled without
+replacement by Gumbel top-k: the k largest of weight + noise, the noise standard Gumbel and drawn from a hash of the
+doc_id, so that rows are drawn with the odds their weights say. k is a parameter; where it isn't given it is the
+number of rows whose weight is FLOOR or more, that is, whose passage is at most exp(-FLOOR) times likelier under the
+raw model than under the target one. Which rows these k are is up to the draw.
 
 Null and empty texts weigh 0; rows tied with the k-th key are all kept; repeated rows share their noise and so
-their fate; without target rows every weight is 0 and every row is kept; an empty table gives an empty one; other
-columns pass through whatever their names.
+their fate; null doc_ids share one noise; without target rows every weight is 0 and every row is kept; an empty table
+gives an empty one; very long texts are read whole, one at a time; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import grams as G
-from .common import bounded_ids, fresh, slices, text_buffer, with_columns, written
+from .common import bounded_ids, let_go, slices, text_buffer, written
 
 TARGET_BOUND = 20_000
-FLOOR = -0.25  # nats an n-gram
-TEMPERATURE = 0.005
-PRIOR = 32  # n-grams of weight 0 that each text is given, so that a few n-grams don't decide
+PASSAGE = 16
+PRIOR = 32
+FLOOR = -4.0  # nats
 ALPHA = 1.0
 UNITS = 1 << 20  # fixed-point units of a key
 SEED = "tessera"
+KEYS = "doc_id long, log_weight double, sample_key long"
 
 
 def noise(doc_id: int | None, seed: str = SEED) -> float:
@@ -36,24 +40,30 @@ def noise(doc_id: int | None, seed: str = SEED) -> float:
     return G.gumbel((h + 0.5) / 2**64)
 
 
-def with_keys(docs: DataFrame, target: list[int], text: str = "text", key: str = "doc_id", temperature: float = TEMPERATURE) -> tuple[DataFrame, str, str]:
-    """``docs`` with its weight and its fixed-point sampling key; and the names of those two columns."""
-    model = G.log_ratio(*G.multinomials(docs, set(target), text, key, shapes=True), ALPHA)
-    weights = docs.sparkSession.sparkContext.broadcast(model)
-    weight, order = fresh(docs, "log_weight"), fresh(docs, "sample_key")
-    ids, texts = docs.columns.index(key), docs.columns.index(text)
+def fit(docs: DataFrame, target: list[int], text: str = "text", key: str = "doc_id") -> np.ndarray:
+    """Log ratio of target and raw model by bucket, from the bounded target rows and all rows."""
+    return G.log_ratio(*G.multinomials(docs, set(target), text, key, shapes=True), ALPHA)
+
+
+def weights_and_keys(ids: pa.Array, texts: pa.Array, model: np.ndarray, seed: str = SEED) -> tuple[list[float], list[int]]:
+    """The log weight and the fixed-point sampling key of every row of a batch."""
+    weights: list[float] = []
+    for i, j in slices(texts):
+        total, n = G.sums(*text_buffer(texts.slice(i, j - i)), model, shapes=True)
+        weights += (PASSAGE * total / (n + PRIOR) / G.SCALE).tolist()
+    return weights, [round((w + noise(x, seed)) * UNITS) for w, x in zip(weights, ids.to_pylist())]
+
+
+def keyed(docs: DataFrame, model, text: str = "text", key: str = "doc_id", seed: str = SEED) -> DataFrame:
+    """doc_id, log_weight and sample_key of every row; ``model`` is the broadcast of ``fit``."""
 
     def run(batches):
+        let_go()
         for b in batches:
-            mean = []
-            for i, j in slices(b.column(texts)):
-                s, n = G.sums(*text_buffer(b.column(texts).slice(i, j - i)), weights.value, shapes=True)
-                mean += [G.mean(x, y + PRIOR) for x, y in zip(s.tolist(), n.tolist())]
-            keys = [round((m / temperature + noise(x)) * UNITS) for m, x in zip(mean, b.column(ids).to_pylist())]
-            yield with_columns(b, [(weight, pa.array(mean, pa.float64())), (order, pa.array(keys, pa.int64()))])
+            weights, keys = weights_and_keys(b.column(0), b.column(1), model.value, seed)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weights, pa.float64()), pa.array(keys, pa.int64())], [x.split()[0] for x in KEYS.split(", ")])
 
-    more = [T.StructField(weight, T.DoubleType()), T.StructField(order, T.LongType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more])), weight, order
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text]).mapInArrow(run, KEYS)
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1 << 14) -> int | None:
@@ -75,20 +85,30 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1 << 14) -> in
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", key: str = "doc_id", bound: int = TARGET_BOUND, floor: float = FLOOR, carry: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``carry``) with log_weight, sample_key and kept.
-
-    The keys are written once, in the shared folder, and read for every later pass.
-    """
-    keyed, weight, order = with_keys(docs, bounded_ids(labels.where("quality = 1"), bound), text, key)
-    kept = fresh(docs, "kept")
-    keyed = written(keyed if carry is None else keyed.select(*carry, weight, order), "importance")
+def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, text: str, key: str, bound: int, floor: float, seed: str):
+    """The broadcast model, the written keys of all rows and the least key that is kept (None: no row is)."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, bounded_ids(labels.where("quality = 1"), bound), text, key))
+    keys = written(keyed(docs, model, text, key, seed), "importance")
     if k is None:
-        k = keyed.where(F.col(weight) >= floor).count()
-    cut = kth_largest(keyed, order, k)
-    return keyed.withColumn(kept, F.col(order) >= F.lit(cut) if cut is not None else F.lit(False))
+        k = keys.where(F.col("log_weight") >= floor).count()
+    return model, keys, kth_largest(keys, "sample_key", k)
+
 
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", key: str = "doc_id", bound: int = TARGET_BOUND, floor: float = FLOOR, seed: str = SEED) -> DataFrame:
+    """doc_id, log_weight, sample_key and kept of every row."""
+    _, keys, cut = _drawn(docs, labels, k, text, key, bound, floor, seed)
+    return keys.withColumn("kept", F.col("sample_key") >= F.lit(cut) if cut is not None else F.lit(False))
+
+
+def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", key: str = "doc_id", bound: int = TARGET_BOUND, floor: float = FLOOR, seed: str = SEED) -> DataFrame:
+    """The sampled rows alone, with the columns of ``docs``; their keys are computed again, so that no text is written twice."""
+    model, _, cut = _drawn(docs, labels, k, text, key, bound, floor, seed)
+    ids, texts = docs.columns.index(key), docs.columns.index(text)
+
+    def run(batches):
+        let_go()
+        for b in batches:
+            keys = weights_and_keys(b.column(ids), b.column(texts), model.value, seed)[1]
+            yield b.filter(pa.array([cut is not None and x >= cut for x in keys], pa.bool_()))
 
-def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The sampled rows alone, with the columns of ``docs``."""
-    return resample(docs, labels, k, text, key).where(fresh(docs, "kept")).select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)

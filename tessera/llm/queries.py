@@ -43,8 +43,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return importance.resample(docs, table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
