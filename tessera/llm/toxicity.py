@@ -9,9 +9,15 @@ quotation. The hits' weights by kind (exact, misspelt, quoted) and the text's le
 go into a logistic regression, shrunk towards PRIOR, that gives the score.
 
 Training rows are those with crc32(doc_id) mod 3 other than 1, at most TRAIN_BOUND of each label, the first by a
-hash of the id; of copies (estimated word Jaccard of COPY or more) one counts. Without training rows of both labels nothing is known to be toxic: the lexicon is empty and every
-score is the prior's. Null and empty texts have no hits and get a score all the same; a null doc_id is held_out
-null; repeated rows get equal scores; an empty table gives an empty one; other columns are no inputs.
+hash of the id; of copies (estimated word Jaccard of COPY or more) one counts. The lexicon holds at most LEXICON_BOUND
+words and STEM_BOUND stems, those that the toxic training rows owe most to. Limits of a score, the same at every
+size: a word counts REPEATS times in a text, length up to LONGEST hundred words, and words of 4 to 40 letters can be
+misspelt (shorter ones have too many neighbours, longer ones no term within two errors).
+
+Without training rows of both labels nothing is known to be toxic: the lexicon is empty and every score is the
+prior's. Null and empty texts have no hits and get a score all the same; very long texts are read whole, one at a
+time; a null doc_id is held_out null; repeated rows get equal scores; ties go to the first term; an empty table gives
+an empty one; other columns are no inputs and pass through ``keep``.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, crc32_of_id, written
+from .common import bounded_ids, crc32_of_id, held, written
 
 TRAIN_BOUND = 10_000  # labelled rows of each class
 LEXICON_BOUND, STEM_BOUND = 5_000, 1_000
@@ -36,7 +42,7 @@ STEM_LENGTHS, ENDINGS = (4, 9), 5
 NEIGHBOURS = 10  # benign words near a term that must be spelt right from then on
 WINDOW = 6
 CUT = 0.7
-TABLE_ROWS = 200_000
+TABLE_ROWS = 100_000
 #: intercept, exact, misspelt, quoted, hundreds of words
 PRIOR = np.asarray([-3.0, 1.0, 0.4, 0.2, -0.5])
 TIGHTNESS = np.asarray([0.1, 2.0, 8.0, 8.0, 2.0])
@@ -57,7 +63,7 @@ def errors_allowed(term: str) -> int:
 class Automaton:
     """The trie of a lexicon times the Levenshtein automata of its terms, made deterministic as it is used."""
 
-    STATES = 100_000
+    MOVES = 100_000  # kept at a time; states are shared
 
     def __init__(self, terms: list[str], strict: frozenset = frozenset()):
         self.terms = terms
@@ -80,9 +86,25 @@ class Automaton:
         self._reset()
 
     def _reset(self) -> None:
-        self.start = self._closed({0: 0})
-        self.moves: dict[tuple[frozenset, str], frozenset] = {}
-        self.accepts: dict[frozenset, int] = {}
+        """Forget all states but the first: numbers of frozensets, their moves and what they accept."""
+        self.numbers: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        self.moves: list[dict[str, int]] = []
+        self.accepts: list[tuple[int, int] | None] = []
+        self.made = 0
+        self.start = self._number(self._closed({0: 0}))
+
+    def _number(self, state: frozenset) -> int:
+        """The number of a state; -1 of the dead one."""
+        if not state:
+            return -1
+        if state not in self.numbers:
+            self.numbers[state] = len(self.sets)
+            self.sets.append(state)
+            self.moves.append({})
+            found = [(e, self.ends[node]) for node, e in state if self.ends[node] >= 0 and e <= self.limits[self.ends[node]]]
+            self.accepts.append(min(found)[::-1] if found else None)
+        return self.numbers[state]
 
     def _closed(self, states: dict[int, int]) -> frozenset:
         """Fewest errors by trie node, with terms' letters left out."""
@@ -97,32 +119,31 @@ class Automaton:
 
     def _move(self, state: frozenset, c: str) -> frozenset:
         after: dict[int, int] = {}
-
-        def reach(node: int, e: int) -> None:
-            if e <= self.allowed[node] and e < after.get(node, 9):
-                after[node] = e
-
         for node, e in state:
-            reach(node, e + 1)
+            if e < after.get(node, 9) - 1 and e + 1 <= self.allowed[node]:
+                after[node] = e + 1
             for letter, child in self.children[node].items():
-                reach(child, e + (letter != c))
+                n = e + (letter != c)
+                if n <= self.allowed[child] and n < after.get(child, 9):
+                    after[child] = n
         return self._closed(after)
 
     def find(self, word: str) -> tuple[int, int] | None:
         """(term number, errors) of the nearest term, the first of these; None if none is near enough."""
-        state = self.start
+        state, moves = self.start, self.moves
         for c in word:
-            key = (state, c)
-            after = self.moves.get(key)
+            after = moves[state].get(c)
             if after is None:
-                if len(self.moves) >= self.STATES:
+                old = self.sets[state]
+                if self.made >= self.MOVES:
                     self._reset()
-                after = self.moves[key] = self._move(state, c)
-            state = after
-            if not state:
+                    moves, state = self.moves, self._number(old)
+                after = moves[state][c] = self._number(self._move(old, c))
+                self.made += 1
+            if after < 0:
                 return None
-        found = [(e, self.ends[node]) for node, e in state if self.ends[node] >= 0 and e <= self.limits[self.ends[node]]]
-        return min(found)[::-1] if found else None
+            state = after
+        return self.accepts[state]
 
 
 def plain(chunk: str) -> str:
@@ -193,7 +214,9 @@ class Scorer:
 
     def features(self, text: str | None) -> list[float]:
         """1, weight of exact, misspelt and quoted hits, hundreds of words."""
-        chunks, hits = self.hits(text)
+        return self._features(*self.hits(text))
+
+    def _features(self, chunks: list[str], hits: list[tuple[int, float, int]]) -> list[float]:
         sums, seen = [0.0, 0.0, 0.0], Counter()
         for at, weight, errors in hits:
             word = chunks[at].lower()
@@ -204,19 +227,19 @@ class Scorer:
         return [1.0, *sums, min(LONGEST, len(chunks) / 100)]
 
     def score(self, text: str | None) -> float:
-        z = sum(a * b for a, b in zip(self.model.coefficients, self.features(text)))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return self.judged(text)[0]
 
-
-_scorers: dict[int, tuple[Model, Scorer]] = {}
+    def judged(self, text: str | None) -> tuple[float, int]:
+        """Score and number of hits, from one pass."""
+        chunks, hits = self.hits(text)
+        z = sum(a * b for a, b in zip(self.model.coefficients, self._features(chunks, hits)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(hits)
 
 
 def scorer(model: Model) -> Scorer:
+    """The worker's scorer of a model."""
     mark = zlib.crc32(repr((model.terms, model.weights, model.stems, sorted(model.strict), sorted(model.benign), model.coefficients)).encode())
-    if mark not in _scorers:
-        _scorers.clear()
-        _scorers[mark] = (model, Scorer(model))
-    return _scorers[mark][1]
+    return held(f"scorer {mark}", lambda: Scorer(model))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -278,7 +301,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     train = labels.where(crc32_of_id(F.col("doc_id")) % 3 != 1)
     label = {x: 1 for x in bounded_ids(train.where("toxic = 1"), bound)}
     label |= {x: 0 for x in bounded_ids(train.where("toxic = 0"), bound) if x not in label}
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
+    if not 0 < sum(label.values()) < len(label):
+        return Model()
+    # the bounded training rows are taken out of the corpus once
+    ids = spark.createDataFrame(sorted(label.items()), "doc_id long, label int")
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = written(rows.withColumn("mark", F.xxhash64("text")).dropDuplicates(["doc_id", "mark"]).select("doc_id", "text"), "training")
     label = _unlike(rows, label)
     known = spark.sparkContext.broadcast(label)
 
@@ -357,11 +385,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     def run(batches):
         s = scorer(shared.value)
         for b in batches:
-            texts = [t.as_py() for t in b.column(1)]
-            scores = [s.score(t) for t in texts]
-            held = [None if x is None else zlib.crc32(str(x).encode()) % 3 == 1 for x in b.column(0).to_pylist()]
-            hits = [len(s.hits(t)[1]) for t in texts]
-            arrays = [b.column(0), pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(x >= cut) for x in scores], pa.int32()), pa.array(hits, pa.int64())]
+            judged = [s.judged(t.as_py()) for t in b.column(1)]
+            scores = [x for x, _ in judged]
+            held_out = [None if x is None else zlib.crc32(str(x).encode()) % 3 == 1 for x in b.column(0).to_pylist()]
+            arrays = [b.column(0), pa.array(held_out, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(x >= cut) for x in scores], pa.int32()), pa.array([n for _, n in judged], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "score", "predicted", "n_hits"])
 
     if keep:
