@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -14,17 +16,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "8m"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of BATCH at most (one row where a row is larger): a session setting that all operators here run under.
+
+    Batches are held off the heap, in the JVM and in Python, once for each running task.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tessera-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        named = _local[0]
     return named.rstrip("/")
 
 
@@ -34,19 +52,47 @@ _written: list[str] = []
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and any executor can reread it."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables ``written`` so far; for callers that have stored the results that read them."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def tables_written() -> int:
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, *paths: str | None) -> int:
+    """Delete ``paths`` and the tables ``written`` so far (but the first ``since``); for callers that have stored the results that read them."""
+    gone = [*_written[since:], *filter(None, paths)]
+    del _written[since:]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
+
+
+_held: dict[str, object] = {}
+_libc = ctypes.CDLL(None)
+
+
+def held(name: str, make):
+    """A Python worker's one large table, made when first asked for; it takes the place of any of another name."""
+    if name not in _held:
+        let_go()
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Give the memory of the worker's table back to the system: workers live on from one stage to the next."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(_libc, "malloc_trim"):
+            _libc.malloc_trim(0)
 
 
 def crc32_of_id(col: Column) -> Column:
@@ -75,7 +121,7 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(texts: pa.Array, limit: int = 2 << 20):
+def slices(texts: pa.Array, limit: int = 1 << 19):
     """(first row, end row) runs of a column of at most ``limit`` bytes, or one row."""
     if texts.null_count:
         texts = texts.fill_null("")

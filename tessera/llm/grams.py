@@ -102,9 +102,10 @@ def multinomials(docs: DataFrame, target: set, text: str, key: str, shapes: bool
 
     Every row of ``docs`` is counted. A task sends at most one row per bucket; the driver gets BUCKETS rows.
     """
-    from .common import slices, text_buffer
+    from .common import let_go, slices, text_buffer
 
     def run(batches):
+        let_go()
         raw, own = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
             for i, j in slices(b.column(1)):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, held, written
 
 BANDS, ROWS = 28, 5
 K = BANDS * ROWS
@@ -42,17 +42,21 @@ _LONG_B = _rng.integers(0, 2**32, LONG, np.uint64).astype(np.uint32)
 _BAND = _rng.integers(1, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+_POWERS = 1 << 20
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, _BACK):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, n.bit_length())
-        for name, base in (("up", _BASE), ("down", _BACK)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+    """Powers of the base and of its inverse; those for texts over _POWERS bytes are made for the text and let go."""
+    return held("powers", lambda: _powers(_POWERS)) if n <= _POWERS else _powers(n)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -122,6 +126,8 @@ def set_id(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
+    """doc_id, mark (a hash of the text), n, sid, bands and sig of every row."""
+
     def run(batches):
         for b in batches:
             n, sids, bands, sigs = [], [], [], []
@@ -132,9 +138,9 @@ def signatures(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
                 low = minima(h) if len(h) else None
                 bands.append(None if low is None else band_keys(low))
                 sigs.append(None if low is None else packed(low))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n", "sid", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "mark", "n", "sid", "bands", "sig"])
 
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text]).mapInArrow(run, "doc_id long, n long, sid binary, bands array<long>, sig binary")
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text], F.xxhash64(docs[text]).alias("mark")).mapInArrow(run, "doc_id long, mark long, n long, sid binary, bands array<long>, sig binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -> DataFrame:
@@ -283,8 +289,8 @@ def _blocks(divided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return asked.join(every, "bucket").select("bucket", "asked", "rows").mapInArrow(run, "x binary, y binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, of every row."""
+def _judged(docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
+    """doc_id, mark, n_shingles and component_id of every row."""
     sigs = written(signatures(docs, text, key, width), "signatures")
     reps = sigs.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     reps = written(reps, "representatives")
@@ -305,6 +311,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     lowest = written(named.groupBy("c").agg(F.min("rep").alias("component")), "lowest")
     linked = comps.join(lowest, "c").select(F.col("v").alias("sid"), "component")
     of_rep = written(reps.select("sid", "rep").join(linked, "sid", "left").select("sid", F.coalesce("component", "rep").alias("component")), "components")
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(of_rep, "sid", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = sigs.select("doc_id", "mark", F.col("n").alias("n_shingles"), "sid").join(of_rep, "sid", "left")
+    return out.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, of every row."""
+    out = _judged(docs, text, key, width, percent).drop("mark")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, of each group of near copies one: that of the smallest doc_id, of rows of that id the one of the least hash of the text.
+
+    Rows go by id and text, so a text that shares its id with a copy of another stays; of repeated rows one stays.
+    Rows without an id or without words are in no group and all stay.
+    """
+    own, mark, least = F.col(f"`{key}`").cast("long"), fresh(docs, "mark"), fresh(docs, "component_id")
+    chosen = _judged(docs, text, key, width, percent).where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("component_id").alias(least)).agg(F.min("mark").alias(mark))
+    grouped = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & own.isNotNull()
+    rows = docs.where(grouped).withColumns({mark: F.xxhash64(f"`{text}`"), least: own}).dropDuplicates([least, mark])
+    return rows.join(written(chosen, "chosen"), [least, mark], "left_semi").select(*docs.columns).unionByName(docs.where(~grouped))

@@ -1,5 +1,6 @@
 """Each operator against a plain version, an exact round trip or held-out labels."""
 
+import collections
 import hashlib
 import os
 import random
@@ -12,7 +13,7 @@ import pytest
 
 from tessera.llm import bpe, common, grams, html_main, importance, media_ts, neardup, packing, pii, quality_rules, secret_scan, toxicity
 
-from .helpers import AWKWARD, base_spans, docs, near_classes, shingle_set
+from .helpers import AWKWARD, base_spans, clashing, docs, labels, near_classes, shingle_set
 
 SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -70,9 +71,38 @@ def test_ids_are_the_librarys(name):
     for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
         assert c.ids(text) == e.ids, text
         if c.byte_level:
-            assert c.ids_decimal(text) == ",".join(map(str, e.ids)).encode(), text
-            assert c.decode_decimal(c.ids_decimal(text)) == t.decode(e.ids, skip_special_tokens=False)
-        assert c.ids_binary(text) == np.asarray(e.ids, "<u4").tobytes()
+            assert bytes(c.texts_of(np.asarray(e.ids, np.int64))[0]).decode("utf-8", "replace") == t.decode(e.ids, skip_special_tokens=False)
+    with pytest.raises(ValueError):
+        c.texts_of(np.asarray([10**6]))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_columns(name, monkeypatch):
+    """Whole columns, as slices of larger ones, with nulls, and with a word table that starts anew all the time."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "TABLE_ROWS", 40)
+    monkeypatch.setattr(bpe, "PIECE_ROWS", 30)
+    t, c = Tokenizer.from_file(bpe.default_path(name)), bpe.Codec(bpe.default_path(name))
+    rnd = random.Random(11)
+    for n in (0, 1, 7, 60):
+        column = [rnd.choice([*TEXTS, None, "plain words here", "(more) words, here's\none", " "]) for _ in range(n)]
+        whole = pa.array(["before", *column, "after"], pa.string()).slice(1, n)
+        ids, at = c.ids_of(whole)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids for e in t.encode_batch([x or "" for x in column], add_special_tokens=False)]
+
+
+def test_round_trip_columns(spark):
+    """The query's four columns against the library, row by row."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path("byte_bpe_50k.json"))
+    rows = [(i, x) for i, x in enumerate([*TEXTS, None, ""])]
+    got = {r["doc_id"]: tuple(r)[1:] for r in bpe.round_trip_digest(docs(spark, rows)).collect()}
+    for i, x in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        back = t.decode(ids, skip_special_tokens=False)
+        assert got[i] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
 def test_encode_decode(spark):
@@ -81,29 +111,44 @@ def test_encode_decode(spark):
     assert back == {i: t or "" for i, t in rows}
 
 
-def test_best_fit_is_tight():
-    rnd = random.Random(1)
-    lengths = sorted((rnd.randint(1, 1500) for _ in range(4000)), reverse=True)
-    bins, offsets = packing.best_fit(lengths)
-    ends = {}
-    for b, o, n in zip(bins, offsets, lengths):
-        assert o == ends.get(b, 0)
-        ends[b] = o + n
-    assert max(ends.values()) <= 4096 and len(ends) <= -(-sum(lengths) // 4096) + 2
-
-    open_ = []  # the same by looking at every bin
-    for n in lengths:
+def packed_one_by_one(lengths, limit):
+    """Remaining capacities of the bins by looking at every bin for every piece."""
+    open_ = []
+    for n in sorted(lengths, reverse=True):
         fit = min((c for c in open_ if c >= n), default=None)
         if fit is None:
-            open_.append(4096 - n)
+            open_.append(limit - n)
         else:
             open_[open_.index(fit)] -= n
-    assert len(open_) == len(ends)
+    return sorted(open_)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_best_fit(seed):
+    rnd = random.Random(seed)
+    limit, n = rnd.choice([16, 100, 4096]), rnd.choice([10, 300, 1500])
+    lengths = sorted((min(limit, max(1, int(rnd.lognormvariate(rnd.choice([1, 4, 6]), 1.2)))) for _ in range(n)), reverse=True)
+    counts = collections.Counter(lengths)
+    ranks = np.concatenate([np.arange(counts[x]) for x in sorted(counts, reverse=True)])
+    bins, offsets = packing.placed(packing.best_fit(counts, limit), np.asarray(lengths), ranks)
+    ends = collections.defaultdict(int)
+    for b, o, n in sorted(zip(bins.tolist(), offsets.tolist(), lengths)):
+        assert o == ends[b]
+        ends[b] += n
+    assert sorted(limit - x for x in ends.values()) == packed_one_by_one(lengths, limit)
+
+
+def test_plan_depends_on_lengths_alone():
+    counts = {n: 1 + n % 7 for n in range(1, 4097)}
+    few, many = packing.best_fit(counts), packing.best_fit({n: 10**6 * c for n, c in counts.items()})
+    assert len(many) < 4 * len(few) < 10**6
+    with pytest.raises(ValueError):
+        packing.best_fit({4097: 1})
 
 
 def test_packing(spark):
     c = bpe.codec(bpe.default_path("word_bpe_49k.json"))
-    rows = packing.pack_documents(docs(spark), group=8).collect()
+    rows = packing.pack_documents(docs(spark)).collect()
     by = {}
     for r in rows:
         by.setdefault(r["doc_id"], []).append(r)
@@ -122,8 +167,10 @@ def test_packing(spark):
         assert r["offset"] == ends.get(r["sequence_id"], 0)
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 4096
-    whole = {r["sequence_id"]: len(r["ids"]) for r in packing.sequences(docs(spark)).collect()}
-    assert sum(whole.values()) == sum(ends.values())
+    assert sorted(4096 - x for x in ends.values()) == packed_one_by_one([r["length"] for r in rows], 4096)
+    whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(docs(spark)).collect()}
+    assert sorted(map(len, whole.values())) == sorted(ends.values())
+    assert all(ids[-1] == 1 or len(ids) == 4096 for ids in whole.values())
 
 
 # --- near duplicates
@@ -171,6 +218,16 @@ def test_near_duplicates(spark):
     assert got == near_classes(rows, 3, 85)
 
 
+def test_one_of_each_goes_by_row(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    near = text.replace("w39", "x")
+    rows = [(1, text), (2, text), (2, other), (3, near), (4, "a b c"), (4, "a b c"), (5, None), (5, ""), (None, text), (None, text), (6, " ")]
+    got = [(r["doc_id"], r["text"]) for r in neardup.one_of_each(clashing(docs(spark, rows))).collect()]
+    assert sorted(got, key=repr) == sorted([(1, text), (2, other), (4, "a b c"), (5, None), (5, ""), (None, text), (None, text), (6, " ")], key=repr)
+    same = neardup.one_of_each(docs(spark, [(1, text), (1, near), (2, near)])).collect()
+    assert len(same) == 1 and same[0]["doc_id"] == 1
+
+
 # --- quality
 
 def test_base_counts():
@@ -211,13 +268,50 @@ def test_kth_largest(spark):
 @needs_data
 def test_quality_on_labels(spark):
     d, known = (common.table(spark, SF, t) for t in ("documents", "labels"))
-    for rows in (importance.resample(d.select("doc_id", "text"), known, carry=["doc_id"]), quality_rules.quality_rules(d, known)):
+    for rows in (importance.resample(d, known), quality_rules.quality_rules(d, known)):
         judged = rows.join(known, "doc_id").select("quality", "kept").collect()
         good = [r["kept"] for r in judged if r["quality"] == 1]
         bad = [r["kept"] for r in judged if r["quality"] == 0]
         assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.15 * len(bad)
 
 
+def test_importance_weights_and_keys(spark):
+    """Weights and keys against a plain model of the 4-grams' buckets."""
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma", "%%%%", "é"]) for _ in range(rnd.randint(0, 30)))) for i in range(60)] + [(60, None), (61, "ab"), (61, "ab")]
+    target = set(range(0, 60, 3))
+    got = importance.resample(docs(spark, rows), labels(spark, [(i, 1, 0) for i in target] + [(1, 0, 0)]), k=20).collect()
+
+    def buckets(text):
+        """4-grams of bytes one by one, and 3-grams of the shapes of words."""
+        raw = (text or "").encode()
+        out = [int(grams.byte_grams(np.frombuffer(raw[i : i + 4], np.uint8))[0]) for i in range(len(raw) - 3)]
+        words = raw.split()
+        shape = [min(7, int(np.log2(len(w) + 1))) | 8 * any(c in b"%" for c in w) | 32 * (2 * w.count(b"%") > len(w)) | 128 * (i > 0 and words[i - 1] == w) for i, w in enumerate(words)]
+        mixed = [(a * 0x85EBCA6B + b * 0xC2B2AE35 + c * 0x27D4EB2F + 0x5BD1E995) & 0xFFFFFFFF for a, b, c in zip(shape, shape[1:], shape[2:])]
+        return out + [((h ^ h >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for h in mixed]
+
+    raw = collections.Counter(g for _, t in rows for g in buckets(t))
+    own = collections.Counter(g for i, t in rows if i in target for g in buckets(t))
+    chance = lambda counts, g: (counts[g] + 1) / (sum(counts.values()) + grams.BUCKETS)
+    text = dict(rows)
+    for r in got:
+        own_grams = buckets(text[r["doc_id"]])
+        weight = 16 * sum(round(float(np.log(chance(own, g)) - np.log(chance(raw, g))) * 4096) for g in own_grams) / (len(own_grams) + 32) / 4096
+        assert r["log_weight"] == weight
+        assert r["sample_key"] == round((weight + importance.noise(r["doc_id"])) * importance.UNITS)
+    least = sorted((r["sample_key"] for r in got), reverse=True)[19]
+    assert all(r["kept"] == (r["sample_key"] >= least) for r in got)
+
+
+def test_rows_are_drawn_with_the_odds_of_their_weights():
+    """Top 1 of three rows of weights 0, 1 and 2 over many seeds: shares in proportion to their exponentials."""
+    weights, n = [0.0, 1.0, 2.0], 20_000
+    first = collections.Counter(max(range(3), key=lambda i: weights[i] + importance.noise(i, f"s{s}")) for s in range(n))
+    total = sum(np.exp(weights))
+    assert all(abs(first[i] / n - np.exp(w) / total) < 0.015 for i, w in enumerate(weights))
+
+
 # --- toxicity
 
 def test_automaton():
