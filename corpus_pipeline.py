@@ -1,7 +1,13 @@
 """The corpus pipeline: quality classifier, toxicity, near-dedup, PII, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents.
+next stage's docs. All but the last return the columns of documents, and further ones as they are.
+
+Nulls: a null text is an empty one to every stage; it weighs 0, isn't toxic, is no copy, stays null when masked, and
+packs as the end id alone. A null doc_id is judged like any other, is no copy, and stays null. Repeated rows of one
+doc_id fare alike until near_dedup, which keeps one of them; rows of one doc_id with unlike texts are judged apart. Ties
+go as each operator says. Very long texts are read whole. An empty table gives an empty result at every stage, and
+further columns with any names pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import importance, neardup, packing, pii, toxicity
-from tessera.llm.common import fresh, shared_dir, table
+from tessera.llm.common import release, shared_dir, table, tables_written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +32,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
-    gone, mark = neardup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), fresh(docs, "gone_id")
-    return docs.join(gone.withColumnRenamed("gone_id", mark), F.col("doc_id") == F.col(mark), "left_anti")
+    """One document of each group of near copies stays, that of the smallest doc_id; a row goes by its id and its text."""
+    return neardup.one_of_each(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written in the shared folder and read again."""
+    """All stages over documents; each result but the last is written in the shared folder and read again.
+
+    What a stage wrote for itself, and its input, go as soon as its result is stored.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    folder, last = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}", None
     for number, (name, stage) in enumerate(STAGES):
+        before = tables_written()
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs.write.parquet(path := f"{folder}/{number}-{name}")
-            docs = spark.read.parquet(path)
+            release(spark, before, last)
+            docs, last = spark.read.parquet(path), path
     return docs
