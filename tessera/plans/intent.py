@@ -6,6 +6,12 @@ import math
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tessera.functions import text as X
 
 # Fixed word lists of the query language.
 STOPWORDS = set("the a an in on at to of is are was were what which show find any image images photo photos there where does do did having".split())
@@ -37,8 +43,12 @@ def distinct(values) -> list[str]:
     return [v for v in dict.fromkeys(values) if v]
 
 
+def normalised(text: str | None) -> str:
+    return unicodedata.normalize("NFKC", text or "").strip().lower()
+
+
 def tokens(text: str) -> list[str]:
-    return distinct(re.findall(r"\w+", unicodedata.normalize("NFKC", text or "").strip().lower()))
+    return distinct(re.findall(r"\w+", normalised(text)))
 
 
 @dataclass(frozen=True)
@@ -63,35 +73,38 @@ class Intent:
         return bool(self.attribute_terms or self.relation_terms or self.require_person or self.require_presence)
 
 
+#: What a query can be, the first sign that it bears first: kind, certainty without and with enough to go on.
+KINDS = (("identity", 0.72, 0.90), ("constrained", 0.74, 0.88), ("attribute", 0.68, 0.82), ("generic", 0.58, 0.70))
+MIXED, LEAST = 0.12, 0.45  # what a second sign takes off, and down to what
+_SEVERAL = re.compile(r"(?<![^ ])and(?![^ ])|,")
+
+
+def _kind(borne: tuple[bool, bool, bool], enough: tuple[bool, bool, bool, bool]) -> tuple[str, float]:
+    """Kind and certainty of a query by the signs that it bears; one that bears none is generic."""
+    first = borne.index(True) if any(borne) else 3
+    name, *levels = KINDS[first]
+    certainty = levels[enough[first]]
+    return name, max(LEAST, certainty - MIXED) if sum(borne) > 1 else certainty
+
+
 def parse(query: str) -> Intent:
-    """What a query asks for."""
-    words = tokens(query)
-    normal = unicodedata.normalize("NFKC", query or "").strip().lower()
-    pick = lambda known: [w for w in words if w in known]
+    """What a query asks for: its words sorted into what they say, and its kind by the signs these make."""
+    raw, normal, words = query or "", normalised(query), tokens(query)
+    said = {name: [w for w in words if w in known] for name, known in (("color", COLOR_TERMS), ("pattern", PATTERN_TERMS), ("clothing", CLOTHING_TERMS), ("activity", ACTIVITY_TERMS), ("age", AGE_TERMS), ("cue", CUE_TERMS))}
+    own = [w for name in ("color", "pattern", "clothing", "activity", "age") for w in said[name]]
+    attributes = distinct([*distinct(own), *(s for w in distinct(own) for s in SYNONYMS.get(w, [])), *said["cue"]])
     relations = [name for name, aliases in RELATIONS.items() if any(a in normal for a in aliases)]
-    attributes = distinct(pick(COLOR_TERMS) + pick(PATTERN_TERMS) + pick(CLOTHING_TERMS) + pick(ACTIVITY_TERMS) + pick(AGE_TERMS))
-    attributes = distinct(attributes + [s for a in attributes for s in SYNONYMS.get(a, [])] + pick(CUE_TERMS))
-    retrieval = [w for w in words if w not in STOPWORDS | RELATION_WORDS | set(attributes)]
-    several = bool(relations) or " and " in f" {normal} " or "," in normal
-    names = distinct(n.lower() for n in NAME.findall(query or "") if n.lower() not in STOPWORDS)
-    person = bool(set(words) & (PERSON_TERMS | CLOTHING_TERMS))
-    presence = several or bool(attributes and retrieval)
-
-    signals = [bool(names), bool(relations) or (presence and len(retrieval) >= 2), bool(attributes)]
-    if signals[0]:
-        kind, certainty = "identity", 0.90
-    elif signals[1]:
-        kind, certainty = "constrained", 0.88 if len(retrieval) >= 2 else 0.74
-    elif signals[2]:
-        kind, certainty = "attribute", 0.82 if retrieval else 0.68
-    else:
-        kind, certainty = "generic", 0.70 if len(retrieval) <= 2 else 0.58
-    if NAME.search(query or "") and not names and set(words) & IDENTITY_CUES:
-        kind, certainty = "identity", 0.72
-        signals[0] = True
-    if sum(signals) > 1:
-        certainty = max(0.45, certainty - 0.12)
-    return Intent(query or "", words, retrieval, attributes, relations, retrieval[: 2 if several else 1], pick(COLOR_TERMS), pick(PATTERN_TERMS), pick(ACTIVITY_TERMS), names, person, presence, kind, certainty)
+    rest = [w for w in words if w not in STOPWORDS | RELATION_WORDS | set(attributes)]
+    capital = [n.lower() for n in NAME.findall(raw)]
+    names = distinct(n for n in capital if n not in STOPWORDS)
+    several = bool(relations or _SEVERAL.search(normal))
+    presence = several or bool(attributes and rest)
+    two = len(rest) > 1
+    borne = (bool(names or (capital and IDENTITY_CUES.intersection(words))), bool(relations) or (presence and two), bool(attributes))
+    kind, certainty = _kind(borne, (bool(names), two, bool(rest), len(rest) < 3))
+    return Intent(
+        raw, words, rest, attributes, relations, rest[: 1 + several], said["color"], said["pattern"], said["activity"], names, not (PERSON_TERMS | CLOTHING_TERMS).isdisjoint(words), presence, kind, certainty
+    )
 
 
 @dataclass(frozen=True)
@@ -129,6 +142,27 @@ def route(query: str) -> str:
     return "text" if text and not visual else "clip" if visual and not text else "hybrid"
 
 
+def route_column(text: Column) -> Column:
+    """``route`` for a column of queries."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    has = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    read, seen = has(OCR_WORDS), has(VISUAL_WORDS)
+    return F.when(read & ~seen, "text").when(seen & ~read, "clip").otherwise("hybrid")
+
+
+def terms_column(text: Column) -> dict[str, Column]:
+    """Attribute and retrieval terms and relations for a column of queries, by set operations on its words."""
+    words = X.unicode_tokens(X.nfkc(text))
+    among = lambda known: F.array_intersect(words, F.array(*map(F.lit, sorted(known))))
+    own = reduce(F.array_union, map(among, (COLOR_TERMS, PATTERN_TERMS, CLOTHING_TERMS, ACTIVITY_TERMS, AGE_TERMS)))
+    more = [F.when(F.array_contains(own, w), F.array(*map(F.lit, also))).otherwise(F.array().cast("array<string>")) for w, also in SYNONYMS.items()]
+    attributes = F.array_union(reduce(F.array_union, more, own), among(CUE_TERMS))
+    normal = F.lower(F.trim(X.nfkc(text)))
+    named = [F.when(reduce(lambda a, b: a | b, [normal.contains(x) for x in aliases]), name) for name, aliases in RELATIONS.items()]
+    rest = F.array_except(F.array_except(words, F.array(*map(F.lit, sorted(STOPWORDS | RELATION_WORDS)))), attributes)
+    return {"attribute_terms": attributes, "retrieval_terms": rest, "relation_terms": F.array_compact(F.array(*named))}
+
+
 def candidate_depth(k: int) -> int:
     return min(max(4 * k, 40), 200)
 
