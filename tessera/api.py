@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.text import label_cleanup
 from tessera.operators.analytics import cluster_items, cluster_sizes, collection_filter, kmeans, page, timeline, timeline_stats  # noqa: F401
-from tessera.operators.evalkit import case_metrics, gates, mode_metrics  # noqa: F401
-from tessera.operators.ingest import dedup, fs_diff, pending_notes, reembed_targets, relinked, replace, upsert  # noqa: F401
+from tessera.operators.evalkit import case_metrics, gates, mode_metrics, with_similarity  # noqa: F401
+from tessera.operators.ingest import counters, dedup, fs_diff, note_vectors, pending_notes, progress, reembed_images, reembed_targets, relinked, replace, upsert, upsert_into  # noqa: F401
+from tessera.plans.chat import reply as chat  # noqa: F401
 from tessera.plans.search import batch as search_batch  # noqa: F401
 from tessera.plans.search import build as build_index  # noqa: F401
-from tessera.plans.search import explain, log_search, search  # noqa: F401
-from tessera.sources.tables import excluded, scan_files, scan_hashes, scan_notes  # noqa: F401
-from tessera.streaming.file_events import reconcile, settle_stream  # noqa: F401
+from tessera.plans.search import compared as compare  # noqa: F401
+from tessera.plans.search import explain, forced, log_search, run, search, store, stored  # noqa: F401
+from tessera.sources.media import cached, frames, text_blocks, transcripts  # noqa: F401
+from tessera.sources.tables import excluded, read_cases, read_thresholds, scan_files, scan_hashes, scan_notes, scan_report  # noqa: F401
+from tessera.streaming.file_events import reconcile, relinked_moves, settle_stream, watch  # noqa: F401
+from tessera.streaming.telemetry import emit, relay  # noqa: F401
 
 
 def by_ids(rows: DataFrame, ids: list, key: str = "id") -> DataFrame:
@@ -23,8 +30,10 @@ def by_ids(rows: DataFrame, ids: list, key: str = "id") -> DataFrame:
     return rows.where(F.col(key).isin(ids))
 
 
-def presented(rows: DataFrame, least: float, limit: int) -> DataFrame:
-    """Results at a least score, best first, scores to four places."""
+def presented(rows: DataFrame, least: float, limit: int, source=None) -> DataFrame:
+    """Results at a least score (and of one source), best first, scores to four places."""
+    if source is not None:
+        rows = rows.where(F.col("source") == source)
     return rows.where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(limit).withColumn("score", F.round("score", 4))
 
 
@@ -37,6 +46,61 @@ def toggle(rows: DataFrame, key: str, value, flag: str) -> DataFrame:
     return rows.withColumn(flag, F.when(F.col(key) == value, ~F.col(flag)).otherwise(F.col(flag)))
 
 
+COLLECTIONS = "id string, name string, query string, filters string, is_dynamic boolean, created_at timestamp, last_accessed timestamp"
+
+
+def collection_create(rows: DataFrame, name: str, query: str, filters: dict | None = None) -> DataFrame:
+    """The collections with a new one, or with another query for the one of this name."""
+    new = rows.sparkSession.range(1).select(F.expr("uuid()").alias("id"), F.lit(name).alias("name"), F.lit(query).alias("query"), F.lit(json.dumps(filters or {})).alias("filters"), F.lit(True).alias("is_dynamic"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("last_accessed"))
+    return rows.where(F.col("name") != name).unionByName(new)
+
+
+def collection_list(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("name")
+
+
+def collection_delete(rows: DataFrame, name: str) -> DataFrame:
+    return rows.where(F.col("name") != name)
+
+
+def collection_eval(rows: DataFrame, name: str, items: DataFrame, ts: str | None = "created_at") -> DataFrame:
+    """The items of a saved collection; none if there is no such one."""
+    saved = rows.where(F.col("name") == name).select("query").first()
+    if saved is None:
+        return items.limit(0)
+    return items.where(collection_filter(saved["query"], "tags", ts, [c for c in ("caption", "summary", "ocr_structured") if c in items.columns], "category"))
+
+
+def paths_add(rows: DataFrame, path: str) -> DataFrame:
+    """Watched or excluded paths (path, enabled) with one more; one that is there stays as it is."""
+    return insert_or_ignore(rows, rows.sparkSession.createDataFrame([(path, True)], "path string, enabled boolean"), "path")
+
+
+def paths_remove(rows: DataFrame, path: str) -> DataFrame:
+    return rows.where(F.col("path") != path)
+
+
+def paths_list(rows: DataFrame, enabled: bool | None = None) -> DataFrame:
+    return (rows if enabled is None else rows.where(F.col("enabled") == enabled)).orderBy("path")
+
+
+def rescan(spark, paths: DataFrame, indexed: DataFrame, exclude: list[str] | None = None) -> DataFrame:
+    """What a pass over all enabled paths finds: new, duplicate and relinked files, by content; paths are few by meaning."""
+    targets = [r["path"] for r in paths_list(paths, True).collect()]
+    found = [scan_hashes(spark, t) for t in targets]
+    if not found:
+        return dedup(indexed.select("hash", "path").limit(0), indexed)
+    files = reduce(DataFrame.unionByName, found).distinct().where(~excluded(F.col("path"), exclude or []))
+    return dedup(files.select(F.col("sha256_hash").alias("hash"), "path"), indexed)
+
+
+def cluster_labels(clusters: DataFrame, items: DataFrame, assignments: DataFrame, label: Callable[[Column], Column], most: int = 5) -> DataFrame:
+    """Clusters with a label made of the captions of their ``most`` innermost items; ``label`` is a model as a Column builder."""
+    near = assignments.withColumn("nth", F.row_number().over(Window.partitionBy("cluster_id").orderBy("distance", "item_id"))).where(F.col("nth") <= most)
+    texts = near.join(items.select(F.col("id").alias("item_id"), "caption"), "item_id").groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "caption"))), lambda x: x["caption"]).alias("captions"))
+    return clusters.join(texts.select(F.col("cluster_id").alias("id"), label_cleanup(label(F.col("captions"))).alias("topic_label")), "id", "left")
+
+
 def attach_segments(rows: DataFrame, segments: DataFrame, order: str, key: str = "id") -> DataFrame:
     """Each result with the last of its segments, or none."""
     last = segments.groupBy(key).agg(F.max_by(F.struct(*[c for c in segments.columns if c != key]), order).alias("last"))

@@ -1,14 +1,28 @@
-"""Text functions as Column builders; all run in the JVM."""
+"""Text functions as Column builders; all but ``nfkc`` run in the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SOUNDEX_CODES = {"BFPV": "1", "CGJKQSXZ": "2", "DT": "3", "L": "4", "MN": "5", "R": "6"}
 VOWELLIKE = "AEIOUYHW"
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility forms of Unicode in their plain ones. Only texts beyond ASCII go to Python; store the result."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def unicode_tokens(text: Column) -> Column:
     """Distinct Unicode words in order, of trimmed lower-case text."""
     return F.array_distinct(F.regexp_extract_all(F.lower(F.trim(text)), F.lit(r"(?U)\w+"), F.lit(0)))
@@ -58,10 +72,8 @@ def pair_similarity(a: Column, b: Column) -> Column:
 
 
 def names(text: Column, most: int = 12) -> Column:
-    """Capitalised words of three letters or more, first spellings, at most ``most``, distinct whatever their case."""
-    found = F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0))
-    first = F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: F.lower(y)), F.lower(x)) == i + 1)
-    return F.slice(first, 1, most)
+    """Capitalised words of three letters or more, distinct, at most ``most``; the pattern leaves one spelling of each."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0))), 1, most)
 
 
 def block_type(text: Column) -> Column:
@@ -89,15 +101,61 @@ def slug(name: Column, most: int = 64) -> Column:
     return F.substring(cleaned, 1, most)
 
 
-def json_field(raw: Column, name: str) -> Column:
-    """A string field of JSON that may be cut off or broken; '' if it isn't there."""
-    return F.regexp_replace(F.regexp_extract(raw, rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)*)', 1), r'\\(["\\/])', "$1")
+def json_field(raw: Column, name: str, closed: bool = False) -> Column:
+    """A string field of JSON that may be cut off (unless ``closed``) or broken; '' if it isn't there."""
+    return F.regexp_replace(F.regexp_extract(raw, rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)*)' + '"' * closed, 1), r'\\(["\\/])', "$1")
 
 
 def json_number(raw: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(raw, rf'"{name}"\s*:\s*(-?[0-9]+)', 1), F.lit("")).cast("long")
 
 
+def json_list(raw: Column, name: str) -> Column:
+    """A list of strings of JSON that may be broken elsewhere, trimmed and in lower case; empty if it isn't there."""
+    listed = F.regexp_extract(raw, rf'"{name}"\s*:\s*(\[[^\]]*\])', 1)
+    return F.coalesce(cleaned_tags(F.from_json(F.nullif(listed, F.lit("")), "array<string>")), F.array().cast("array<string>"))
+
+
+def cleaned_tags(values: Column) -> Column:
+    return F.filter(F.transform(values, lambda x: F.lower(F.trim(x))), lambda x: x != "")
+
+
+PARSED = "struct<caption:string,summary:string,category:string,tags:string>"
+
+
+def parsed(raw: Column) -> Column:
+    """Caption, summary, category and tags of a model's answer: whole JSON, else its fields one by one, else its lines."""
+    t = F.trim(F.coalesce(raw, F.lit("")))
+    whole = F.from_json(F.regexp_extract(t, r"(?s)(\{.*\})", 1), PARSED, {"mode": "PERMISSIVE"})
+    none = F.array().cast("array<string>")
+    as_list = F.from_json(whole["tags"], "array<string>")
+    by_mark = cleaned_tags(F.split(F.coalesce(whole["tags"], F.lit("")), "[,;|]"))
+    full = F.struct(
+        F.trim(F.coalesce(whole["caption"], F.lit(""))).alias("caption"),
+        F.trim(F.coalesce(whole["summary"], F.lit(""))).alias("summary"),
+        F.trim(F.coalesce(whole["category"], F.lit("Other"))).alias("category"),
+        F.coalesce(F.when(whole["tags"].startswith("["), cleaned_tags(as_list)).otherwise(by_mark), none).alias("tags"),
+    )
+    field = lambda name: F.trim(json_field(t, name, closed=True))
+    single = F.struct(field("caption").alias("caption"), field("summary").alias("summary"), F.coalesce(F.nullif(field("category"), F.lit("")), F.lit("Other")).alias("category"), json_list(t, "tags").alias("tags"))
+    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: (x != "") & ~x.isin("{", "}", "[", "]"))
+    line = lambda i: F.regexp_replace(F.coalesce(F.get(lines, F.lit(i)), F.lit("")), "^,+|,+$", "")
+    caption = F.substring(line(0), 1, 220)
+    words = F.filter(F.split(F.lower(caption), r"[\s,;|]+"), lambda w: F.length(w) > 3)
+    plain = F.struct(caption.alias("caption"), F.when(F.size(lines) > 1, F.substring(line(1), 1, 400)).otherwise(caption).alias("summary"), F.lit("Other").alias("category"), F.slice(words, 1, 6).alias("tags"))
+    found = (single["caption"] != "") | (single["summary"] != "") | (F.size(single["tags"]) > 0)
+    ok = whole.isNotNull() & (whole["caption"].isNotNull() | whole["summary"].isNotNull() | whole["tags"].isNotNull() | whole["category"].isNotNull())
+    return F.when(ok, full).when(found, single).otherwise(plain)
+
+
+def capped(answer: Column) -> Column:
+    """A parsed answer with its defaults and limits: 220 characters of caption, 600 of summary, 8 tags."""
+    caption = F.coalesce(F.nullif(answer["caption"], F.lit("")), F.lit("image with identifiable visual content"))
+    summary = F.coalesce(F.nullif(answer["summary"], F.lit("")), caption)
+    tags_ = F.when(F.size(answer["tags"]) > 0, answer["tags"]).otherwise(F.array(F.lit("image")))
+    return F.struct(F.substring(caption, 1, 220).alias("caption"), F.substring(summary, 1, 600).alias("summary"), answer["category"].alias("category"), F.slice(tags_, 1, 8).alias("tags"))
+
+
 def tags(raw: Column) -> Column:
     """A JSON list of strings, or else what stands between commas."""
     parts = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")

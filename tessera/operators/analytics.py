@@ -66,9 +66,10 @@ def centroids(vectors: DataFrame, group: str, vector: str = "embedding") -> Data
     return rows.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def distances(vectors: DataFrame, centres: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
-    """Each vector's L2 distance to the centre of its group."""
-    return vectors.join(centres, group).withColumn("distance", V.l2(F.col(vector), F.col("centroid")))
+def distances(vectors: DataFrame, centres: DataFrame, group: str, vector: str = "embedding", most: int = 10_000) -> DataFrame:
+    """Each vector's L2 distance to the centre of its group. Up to ``most`` centres are sent to the vectors; more are joined."""
+    few = centres.limit(most + 1).count() <= most
+    return vectors.join(F.broadcast(centres) if few else centres, group).withColumn("distance", V.l2(F.col(vector), F.col("centroid")))
 
 
 def kmeans(vectors: DataFrame, k: int, key: str = "id", vector: str = "embedding", seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -118,40 +119,70 @@ def ring_time(items: DataFrame, target, ts: str, k: int) -> DataFrame:
     return rows.withColumn("days", days).orderBy("days", "id").limit(k).select("id", F.round("days", 4).alias("days"), F.round(F.col("days") * 24, 2).alias("hours"))
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, by: str, k: int = 1) -> DataFrame:
-    """For each left row (id, ts) the k right rows (id, ts) of the same ``by`` that are nearest in time.
+def nearest_in_time(left: DataFrame, right: DataFrame, by: str, k: int = 1, span: float = 86_400.0) -> DataFrame:
+    """For each left row (id, ts) the k right rows (id, ts) of the same ``by`` that are nearest in time: other, days, nth.
 
-    As-of in both directions without a product: both sides are merged in order of time, and each left row carries
-    the k rights before and after it.
+    Rights are numbered in order of time, and a left row meets the k numbers before it and the k after it, so nothing is
+    compared with all. Numbers are counted within slices of ``span`` seconds, to which the counts of earlier slices are
+    added: a hot key is spread over its slices. Equal distances go to the smaller id.
     """
-    both = left.select(by, F.col("id").alias("l"), F.lit(None).cast("long").alias("r"), "ts").unionByName(right.select(by, F.lit(None).cast("long").alias("l"), F.col("id").alias("r"), "ts"))
-    order = Window.partitionBy(by).orderBy("ts", F.col("r").isNull(), "r", "l")
-    back = Window.partitionBy(by).orderBy(F.desc("ts"), F.col("r").isNull(), "r", "l")
-    seen = F.when(F.col("r").isNotNull(), F.struct("r", "ts"))
-    both = both.withColumn("n", F.sum(F.col("r").isNotNull().cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    if k == 1:
-        both = both.withColumn("before", F.last(seen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        both = both.withColumn("after", F.last(seen, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-        both = both.where("l is not null").withColumn("near", F.array_compact(F.array("before", "after")))
-    else:
-        raise ValueError("k is 1")
-    near = both.select(by, F.col("l").alias("id"), F.col("ts").alias("at"), F.explode("near").alias("c")).select(by, "id", F.col("c.r").alias("other"), days_between(F.col("c.ts"), F.col("at")).alias("days"))
-    best = near.groupBy(by, "id").agg(F.min(F.struct("days", "other")).alias("m"))
-    return best.select(by, "id", F.col("m.other").alias("other"), F.round("m.days", 6).alias("days"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cut = lambda rows, side: rows.where("ts is not null").select(by, "id", micros.alias("us"), F.floor(micros / (span * 1e6)).alias("slice"), F.lit(side).alias("side"))
+    both = cut(left, 0).unionByName(cut(right, 1))
+    slices = both.groupBy(by, "slice").agg(F.sum("side").alias("n"))
+    earlier = Window.partitionBy(by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(by, "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # a left row counts the rights that are earlier than it; rights of one time go by id, upwards and downwards
+    own = Window.partitionBy(by, "slice").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = both.withColumn("up", F.sum("side").over(own.orderBy("us", "side", "id"))).withColumn("down", F.sum("side").over(own.orderBy("us", "side", F.desc("id"))))
+    numbered = numbered.join(slices, [by, "slice"])
+    rights = numbered.where("side = 1").select(by, F.col("id").alias("other"), F.col("us").alias("then"), (F.col("before") + F.col("up")).alias("up"), (F.col("before") + F.col("down")).alias("down"))
+    lefts = numbered.where("side = 0").select(by, "id", "us", (F.col("before") + F.col("up")).alias("at"))
+    after = lefts.withColumn("up", F.explode(F.sequence(F.col("at") + 1, F.col("at") + k))).join(rights.drop("down"), [by, "up"])
+    before = lefts.withColumn("down", F.explode(F.sequence(F.col("at") - (k - 1), F.col("at")))).where("down > 0").join(rights.drop("up"), [by, "down"])
+    near = after.drop("up").unionByName(before.drop("down")).select(by, "id", "other", (F.abs(F.col("then") - F.col("us")) / 86_400_000_000.0).alias("days"))
+    best = near.groupBy(by, "id").agg(F.slice(F.array_sort(F.collect_list(F.struct("days", "other"))), 1, k).alias("m"))  # 2k at most
+    return best.select(by, "id", F.posexplode("m").alias("nth", "m")).select(by, "id", F.col("m.other").alias("other"), F.round("m.days", 6).alias("days"), (F.col("nth") + 1).cast("long").alias("nth"))
 
 
 def first_interval(points: DataFrame, intervals: DataFrame, width: float) -> DataFrame:
     """Each point (key, id, t) with the first interval (key, start, end, seg) of its key that holds it, or none.
 
-    Points and intervals meet by key and time bucket of ``width`` seconds; an interval is written to every bucket
-    that it touches, so the condition on the ends joins only rows that are near.
+    Points and intervals meet by key and time bucket. An interval goes to the level whose buckets (``width`` seconds
+    times a power of two) are as long as it is or longer, so it is written to two of them at most; a point looks into
+    one bucket of every level there is (the levels are few: one for each doubling).
     """
-    cut = intervals.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    held = points.withColumn("bucket", F.floor(F.col("t") / width)).join(cut, ["key", "bucket"]).where(F.col("t").between(F.col("start"), F.col("end")))
+    length = F.greatest(F.col("end") - F.col("start"), F.lit(width))
+    cut = intervals.where(F.col("end") >= F.col("start")).withColumn("level", F.ceil(F.log2(length / width)).cast("int"))
+    size = lambda: F.lit(width) * F.pow(F.lit(2.0), F.col("level"))
+    cut = cut.withColumn("bucket", F.explode(F.array_distinct(F.array(F.floor(F.col("start") / size()), F.floor(F.col("end") / size())))))
+    levels = sorted(r[0] for r in cut.select("level").distinct().collect())  # one for each doubling of the width
+    if not levels:
+        return points.withColumn("seg", F.lit(None).cast(intervals.schema["seg"].dataType)).select("key", "id", "t", "seg")
+    asked = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("bucket", F.floor(F.col("t") / size()))
+    held = asked.join(cut, ["key", "level", "bucket"]).where(F.col("t").between(F.col("start"), F.col("end")))
     first = held.groupBy("id").agg(F.min_by("seg", F.struct("start", "seg")).alias("seg"))
     return points.join(first, "id", "left").select("key", "id", "t", "seg")
 
 
+def best_evidence(relations: DataFrame, key: str, confidence: str = "confidence") -> DataFrame:
+    """(key, evidence, n): the strongest relation of each item, and how many it has."""
+    return relations.groupBy(key).agg(F.max(confidence).alias("evidence"), F.count("*").alias("n"))
+
+
+def attributes_by_label(entities: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Entities (image_id, label) with the attributes (image_id, label, key, value, confidence) that name their label.
+
+    Labels, keys and values are compared and kept trimmed and in lower case; attributes without one of them go.
+    """
+    low = lambda c: F.lower(F.trim(c))
+    rows = attributes.select("image_id", low("label").alias("label"), low("key").alias("key"), low("value").alias("value"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    rows = rows.where("label <> '' and key <> '' and value <> ''")
+    by = rows.groupBy("image_id", "label").agg(F.array_sort(F.collect_list(F.struct("key", "value", "confidence"))).alias("attributes"))
+    own = entities.withColumn("label", low("label")).where("label <> ''")
+    return own.join(by, ["image_id", "label"], "left").withColumn("attributes", F.coalesce("attributes", F.expr("cast(array() as array<struct<key:string,value:string,confidence:double>>)")))
+
+
 def attribute_map(attributes: DataFrame, highest: bool = False) -> DataFrame:
     """(image_id, attributes): one value a key; of least confidence, unless ``highest``."""
     order = F.struct(-F.col("confidence") if highest else F.col("confidence"), F.col("value"))
@@ -168,11 +199,16 @@ def relations_resolved(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.join(s, ["image_id", "s"], "left").join(o, ["image_id", "o"], "left").drop("s", "o")
 
 
-def entity_memory(images: DataFrame, entities: DataFrame, attributes: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Each image with its entities (most certain first), attribute map and mentions."""
-    e = entities.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "label"))), lambda x: x["label"]).alias("entities"))
+def entity_memory(images: DataFrame, entities: DataFrame, attributes: DataFrame, mentions: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Each image with its entities (most certain first), attribute map, mentions and, if given, relations (most certain first)."""
+    first = lambda rows, name, *fields: rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), *fields))).alias(name))
+    e = first(entities, "entities", "label").withColumn("entities", F.transform("entities", lambda x: x["label"]))
     m = mentions.groupBy("image_id").agg(F.array_sort(F.collect_set("mention")).alias("mentions"))
-    return images.join(e, "image_id", "left").join(attribute_map(attributes), "image_id", "left").join(m, "image_id", "left")
+    out = images.join(e, "image_id", "left").join(attribute_map(attributes), "image_id", "left").join(m, "image_id", "left")
+    if relations is None:
+        return out
+    r = first(relations, "relations", "subject", "relation", "object").withColumn("relations", F.transform("relations", lambda x: F.struct(x["subject"].alias("subject"), x["relation"].alias("relation"), x["object"].alias("object"), (-x["c"]).alias("confidence"))))
+    return out.join(r, "image_id", "left")
 
 
 def page(rows: DataFrame, limit: int, offset: int = 0, *order: Column) -> DataFrame:

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 FOLLOW_UPS = ["that", "this", "it", "those", "these", "above", "below", "he", "she", "they"]
+#: Fixed words of chat queries: those that are no terms, what terms stand for too, spellings, roles.
+CHAT_STOPWORDS = "the and with from this that what when where which show about image images photo photos find for does do did is are am was were have has had there any tell please me can could would should will".split()
+EXPANSIONS = {
+    "jewelry": "jewellery ornament ornaments necklace bracelet ring earring gold".split(),
+    "code": "xml css html json yaml python java programming".split(),
+    "programming": "code xml css python java script".split(),
+}
+SPELLINGS = {"jewelry": "jwellery jewelery jewellery jwellary jewllery".split()}
+ROLES = "student students teacher teachers professor professors employee employees intern interns doctor doctors engineer engineers developer developers".split()
 FUNCTION_WORDS = ["a", "an", "the", "is", "of", "in"]
 
 
@@ -82,3 +91,53 @@ def region_highlight(answers: DataFrame, blocks: DataFrame) -> DataFrame:
     needles = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"\d+(?:\.\d+)?|\b[A-Z][a-z]{2,}\b"), F.lit(0)))
     asked = answers.select("id", F.explode(needles).alias("needle"))
     return asked.join(blocks, "id").where(F.col("text").contains(F.col("needle"))).groupBy("id", "needle").agg(F.min("pos").alias("pos"))
+
+
+def chat_terms(query: Column, most: int = 8, expand: bool = True) -> Column:
+    """The terms of a chat query: words of three letters or more that say something, each followed by what it stands for."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(CHAT_STOPWORDS))
+    if expand:
+        known = F.map_from_arrays(F.array(*map(F.lit, EXPANSIONS)), F.array(*[F.array(*map(F.lit, v)) for v in EXPANSIONS.values()]))
+        words = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.coalesce(F.element_at(known, w), F.array().cast("array<string>")))))
+    return F.slice(F.array_distinct(words), 1, most)
+
+
+def spelt(query: Column) -> Column:
+    """The query with known misspellings put right."""
+    for right, wrong in SPELLINGS.items():
+        query = F.regexp_replace(query, rf"(?i)\b(?:{'|'.join(wrong)})\b", right)
+    return query
+
+
+def expanded(query: Column) -> Column:
+    """The query, and on a second line the terms that go with the words it holds."""
+    q = F.trim(F.coalesce(query, F.lit("")))
+    none = F.array().cast("array<string>")
+    also = F.array_distinct(F.concat(*[F.when(F.lower(q).contains(word), F.array(*map(F.lit, more))).otherwise(none) for word, more in EXPANSIONS.items()]))
+    return F.when(F.size(also) > 0, F.concat(q, F.lit("\nrelated terms: "), F.array_join(also, ", "))).otherwise(q)
+
+
+def is_comparison(query: Column) -> Column:
+    return F.lower(F.coalesce(query, F.lit(""))).rlike(r"\b(compare|vs|versus|difference|similar|like)\b")
+
+
+def match_score(terms: Column, texts: Column) -> Column:
+    """Share of the terms that any of the texts (an array) holds as a word; 0 without terms or texts."""
+    words = F.array_distinct(F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9_]+"), F.lit(0)))))
+    return F.when((F.size(terms) > 0) & (F.size(texts) > 0), F.size(F.array_intersect(terms, words)) / F.size(terms)).otherwise(0.0)
+
+
+def answer_tokens(rows: DataFrame, key: str = "id", answer: str = "answer") -> DataFrame:
+    """(key, n, token): an answer in the pieces that a stream of it would send."""
+    return rows.select(key, F.posexplode(F.split(answer, " ")).alias("n", "token")).withColumn("token", F.concat("token", F.lit(" ")))
+
+
+def debounced(queries: DataFrame, wait: float = 0.3, least: int = 3) -> DataFrame:
+    """Of the queries that a user types (user_id, ts, text) those that are searched: long enough, not followed by another
+    within ``wait`` seconds, and not the same as the last one searched."""
+    typed = queries.withColumn("text", F.trim("text"))
+    own = Window.partitionBy("user_id").orderBy("ts")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    gap = (micros(F.lead("ts").over(own)) - micros(F.col("ts"))) / 1e6
+    quiet = typed.withColumn("gap", gap).where((F.col("gap").isNull() | (F.col("gap") >= wait)) & (F.length("text") >= least)).drop("gap")
+    return quiet.withColumn("last", F.lag("text").over(own)).where(~F.col("text").eqNullSafe(F.col("last"))).drop("last")

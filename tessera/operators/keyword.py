@@ -6,10 +6,9 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 K1, B = 1.2, 0.75
 FLOOR = 1e-6  # least inverse document frequency
@@ -39,6 +38,11 @@ def write_index(tokens: DataFrame, table: str, buckets: int = 64, stem: bool = F
     postings(tokens, stem).write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
 
 
+def read_index(spark: SparkSession, table: str) -> DataFrame:
+    """Stored postings. A filter on terms reads their buckets alone."""
+    return spark.table(table)
+
+
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     """One row: n_docs and avgdl."""
     return tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
@@ -69,11 +73,28 @@ def bm25(index: DataFrame, stats: DataFrame, terms: list[tuple[str, bool]]) -> D
     return rows.groupBy("id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("found")).where(F.col("found") == len(terms)).select("id", "bm25")
 
 
-def bm25_batch(index: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, bm25) of many queries (query_id, terms array<string>), whole tokens, all terms needed."""
-    asked = queries.select("query_id", F.size(F.array_distinct("terms")).alias("asked"), F.explode(F.array_distinct("terms")).alias("term"))
-    df = index.join(asked.select("term").distinct(), "term", "left_semi")
-    rows = df.withColumn("n", F.count("*").over(Window.partitionBy("term"))).join(asked, "term").crossJoin(F.broadcast(stats))
+def lexical_score(bm25_: Column) -> Column:
+    """1 / (1 + max(0, bm25)) to six places; 1 wherever bm25 is negative, as it is for every hit."""
+    return F.round(1.0 / (1.0 + F.greatest(F.lit(0.0), bm25_)), 6)
+
+
+def bm25_batch(index: DataFrame, stats: DataFrame, queries: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(query_id, id, bm25) of many queries (query_id, terms array<string>), whole tokens, all terms needed.
+
+    Frequencies are aggregated apart. Each query starts from the postings of its rarest term, and its other terms are
+    looked up for these items alone, so that a common term's postings meet no query that has a rarer one. ``most``
+    bounds the asked terms that are sent to every task; more are joined.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    words = asked.select("term").distinct()
+    small = words.limit(most + 1).count() <= most
+    sent = lambda df: F.broadcast(df) if small else df
+    known = index.join(sent(words), "term", "left_semi")
+    df = known.groupBy("term").agg(F.count("*").alias("n"))
+    ranked_ = asked.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("rarest"), F.count("*").alias("asked"), F.collect_list(F.struct("term", F.coalesce("n", F.lit(0)).alias("n"))).alias("terms"))
+    first = ranked_.where(F.forall("terms", lambda t: t["n"] > 0))
+    seeds = known.select(F.col("term").alias("rarest"), "id").join(sent(first), "rarest").select("query_id", "id", "asked", F.explode("terms").alias("t")).select("query_id", "id", "asked", "t.term", "t.n")
+    rows = seeds.join(known, ["term", "id"]).crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("query_id", "id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("found"), F.first("asked").alias("asked"))

@@ -24,17 +24,23 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "id", vector:
     return rows.orderBy(F.desc("score"), "id").limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256, most: int = 4096) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest of every query vector (query_id, query).
 
     A stated set of queries against all vectors, in blocks: a block of queries is one row, which each vector meets
-    once. The first cut to k is made before the shuffle (WindowGroupLimit).
+    once. At most ``most`` queries are sent to the tasks at a time, whatever their number; more go in further passes
+    over the vectors, each cut to k a query. The first cut is made before the shuffle (WindowGroupLimit).
     """
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64(QUERY), F.lit(max(1, -(-queries.count() // block)))))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct(QUERY, "query")).alias("asked"))
-    pairs = vectors.crossJoin(F.broadcast(blocks)).select("id", "embedding", F.explode("asked").alias("q"))
-    scored = pairs.select(F.col(f"q.{QUERY}").alias(QUERY), "id", V.cosine(F.col("embedding"), F.col("q.query")).alias("score"))
-    return ranked(scored, k)
+    blocks = max(1, -(-queries.count() // block))
+    numbered = queries.withColumn("block", F.pmod(F.xxhash64(QUERY), F.lit(blocks)))
+    found = []
+    for first in range(0, blocks, max(1, most // block)):
+        some = numbered.where(F.col("block").between(first, first + max(1, most // block) - 1))
+        asked = some.groupBy("block").agg(F.collect_list(F.struct(QUERY, "query")).alias("asked"))
+        pairs = vectors.crossJoin(F.broadcast(asked)).select("id", "embedding", F.explode("asked").alias("q"))
+        scored = pairs.select(F.col(f"q.{QUERY}").alias(QUERY), "id", V.cosine(F.col("embedding"), F.col("q.query")).alias("score"))
+        found.append(ranked(scored, k))
+    return reduce(DataFrame.unionByName, found)
 
 
 def ranked(rows: DataFrame, k: int | None = None, *more: Column) -> DataFrame:
@@ -80,12 +86,18 @@ def sigmoid(x: Column) -> Column:
 
 
 def cross_rerank(rows: DataFrame, logit: Column, depth: int, weight: float = 0.42) -> DataFrame:
-    """The first ``depth`` of each list get (1 - w) * score + w * sigmoid(logit); the rest stand behind them as they were."""
-    size = F.count("*").over(Window.partitionBy(QUERY))
+    """The first ``depth`` of each list get (1 - w) * score + w * sigmoid(logit); the rest stand behind them as they were.
+
+    A list for which the scorer fails (a null logit in its head) keeps its scores and its order.
+    """
+    whole = Window.partitionBy(QUERY)
+    size = F.count("*").over(whole)
     head = (F.col("rank") <= depth) & (size >= 2) & F.lit(depth >= 2 and weight > 0)
-    rows = rows.withColumn("base", F.col("score")).withColumn("cross", F.when(head, sigmoid(logit)))
-    rows = rows.withColumn("score", F.when(head, (1 - weight) * F.col("base") + weight * F.col("cross")).otherwise(F.col("base")))
-    order = Window.partitionBy(QUERY).orderBy(F.col("cross").isNull(), F.when(F.col("cross").isNotNull(), -F.col("score")), F.desc("cross"), F.desc("base"), "rank")
+    rows = rows.withColumn("base", F.col("score")).withColumn("logit", F.when(head, logit))
+    failed = F.max(F.when(head & F.col("logit").isNull(), 1).otherwise(0)).over(whole)
+    rows = rows.withColumn("cross", F.when((failed == 0) & F.col("logit").isNotNull(), sigmoid(F.col("logit")))).drop("logit")
+    rows = rows.withColumn("score", F.when(F.col("cross").isNotNull(), (1 - weight) * F.col("base") + weight * F.col("cross")).otherwise(F.col("base")))
+    order = Window.partitionBy(QUERY).orderBy(F.col("cross").isNull(), F.when(F.col("cross").isNotNull(), -F.col("score")), F.desc("cross"), F.when(F.col("cross").isNotNull(), -F.col("base")), "rank")
     return rows.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
@@ -134,8 +146,14 @@ def fuzzy_rank(rows: DataFrame, terms: list[str], text: Column, alpha: float = 0
     if typos:
         most = F.max("fuzzy").over(Window.partitionBy(QUERY))
         final = F.when((most >= 0.30) & (F.col("fuzzy") == 0), final * (0.85 + 0.15 * support)).otherwise(final)
-    rows = rows.withColumn("score", final).drop("rank")
-    return ranked(rows, None, F.desc("fuzzy"))
+    return reranked(rows.withColumn("score", F.round(final, 6)), F.desc("fuzzy"))
+
+
+def reranked(rows: DataFrame, *more: Column) -> DataFrame:
+    """Ranked anew by score; ties stay as they were, where the rows have ranks."""
+    if "rank" not in rows.columns:
+        return ranked(rows, None, *more)
+    return ranked(rows.withColumnRenamed("rank", "was"), None, *more, F.col("was")).drop("was")
 
 
 #: Fixed synonyms and person words of presence checks.
@@ -143,7 +161,7 @@ SYNONYMS = {"car": ["suv", "vehicle", "automobile", "sedan", "hatchback"], "bike
 PERSON = ["person", "people", "man", "men", "woman", "women", "couple", "boy", "girl", "male", "female"]
 
 
-def intent_rank(rows: DataFrame, intent, text: Column, entity_tokens: Column | None = None, evidence: Column | None = None, w_retrieval: float = 0.6, w_attribute: float = 0.2, w_relation: float = 0.2, penalty: float = 0.35, boosts: tuple = (0.12, 0.10, 0.10), presence_required: bool = False) -> DataFrame:
+def intent_rank(rows: DataFrame, intent, text: Column, entity_tokens: Column | None = None, evidence: Column | None = None, w_retrieval: float = 0.6, w_attribute: float = 0.2, w_relation: float = 0.2, penalty: float = 0.35, boosts: tuple = (0.20, 0.20, 0.12), presence_required: bool = False) -> DataFrame:
     """Rerank by what the query asks for: overlap, attributes (colour, pattern and activity boosts), relations, presence."""
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     top = F.max("score").over(Window.partitionBy(QUERY))
@@ -172,7 +190,15 @@ def intent_rank(rows: DataFrame, intent, text: Column, entity_tokens: Column | N
     if presence_required and intent.presence_terms:
         cut = max(penalty, 0.60) if intent.attribute_terms and intent.retrieval_terms else penalty
         final = F.when(F.col("presence_score") < 0.5, final * max(0.0, 1 - cut)).otherwise(final)
-    return ranked(rows.withColumn("score", F.round(final, 6)).drop("rank"))
+    return reranked(rows.withColumn("score", F.round(final, 6)))
+
+
+def compatibility_rank(rows: DataFrame, intent, text: Column, w_appearance: float = 0.14, w_activity: float = 0.12, missing: float = 0.40) -> DataFrame:
+    """An earlier rerank by intent, with weights of its own; lists without constraints stay as they are."""
+    if not intent.has_constraints:
+        return rows
+    both = w_appearance + w_activity
+    return intent_rank(rows, intent, text, w_retrieval=max(0.45, 1 - both), w_attribute=both, w_relation=0.20, penalty=missing, boosts=(w_appearance, w_appearance, w_activity), presence_required=True)
 
 
 WEIGHTS = (0.45, 0.25, 0.20, 0.10)
@@ -223,4 +249,4 @@ def verify_gate(rows: DataFrame, enabled: bool = True, abstain: float = 0.46, ve
 def apply_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Scores times 1.20 where a verdict (query_id, id, ok) confirms and 0.35 where it rejects; ranked anew."""
     factor = F.when(F.col("ok"), 1.20).when(~F.col("ok"), 0.35).otherwise(1.0)
-    return ranked(rows.drop("rank").join(verdicts, [QUERY, "id"], "left").withColumn("score", F.col("score") * factor).drop("ok"))
+    return reranked(rows.join(verdicts, [QUERY, "id"], "left").withColumn("score", F.round(F.col("score") * factor, 6)).drop("ok"))

@@ -149,7 +149,18 @@ def ring_time(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_time_batch(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "events").select("user_id", F.col("event_id").alias("id"), "ts", "event_type")
     left, right = (rows.where(F.col("event_type") == k).drop("event_type") for k in ("signup", "error"))
-    return A.nearest_in_time(left, right, "user_id")
+    return A.nearest_in_time(left, right, "user_id").drop("nth")
+
+
+@query(
+    """WITH l AS (SELECT user_id, event_id AS id, ts FROM events WHERE event_type = 'signup'), r AS (SELECT user_id, event_id AS id, ts FROM events WHERE event_type = 'error'),
+    p AS (SELECT l.user_id, l.id AS id, r.id AS other, abs(epoch_us(l.ts) - epoch_us(r.ts)) / 86400000000.0::DOUBLE AS days FROM l JOIN r USING (user_id)), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY days, other)::BIGINT AS nth FROM p) SELECT user_id, id, other, round(days, 6) AS days, nth FROM n WHERE nth <= 3"""
+)
+def nearest_time_three(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest in time of every row, on both sides."""
+    rows = load(spark, sf, "events").select("user_id", F.col("event_id").alias("id"), "ts", "event_type")
+    left, right = (rows.where(F.col("event_type") == k).drop("event_type") for k in ("signup", "error"))
+    return A.nearest_in_time(left, right, "user_id", 3)
 
 
 @query(
@@ -205,14 +216,9 @@ def entity_memory(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("image_id", F.get("entities", F.lit(0)).alias("entity"), F.col("attributes")["balance"].alias("balance"), F.get("mentions", F.lit(0)).alias("mention"))
 
 
-@query("SELECT l_orderkey AS image_id, l_linenumber AS n, CASE WHEN l_suppkey % 2 = 0 THEN (l_suppkey % 10)::BIGINT END AS subject_id FROM lineitem WHERE l_orderkey % 50 = 0")
-def relation_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return _relations(load(spark, sf, "lineitem").where("l_orderkey % 50 = 0"))
-
-
 @query("SELECT l_orderkey AS image_id, l_linenumber AS n, CASE WHEN l_suppkey % 2 = 0 THEN (l_suppkey % 10)::BIGINT END AS subject_id FROM lineitem")
-def relation_lookup_all(spark: SparkSession, sf: str) -> DataFrame:
-    """relation_lookup over every row."""
+def relation_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity that the subject of every relation names."""
     return _relations(load(spark, sf, "lineitem"))
 
 
@@ -286,9 +292,9 @@ def gate_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return C.gate(_lists(spark, sf), 0.9).select("query_id", "id")
 
 
-@query(f"WITH {_LISTS}, o AS (SELECT *, (contains(event_type, 'sign'))::BIGINT AS overlap FROM l WHERE rank <= 20), m AS (SELECT *, max(overlap) OVER (PARTITION BY query_id) AS top FROM o) SELECT query_id, id, overlap FROM m WHERE overlap > 0 OR top = 0")
+@query(f"WITH {_LISTS}, o AS (SELECT *, (contains(event_type, 'sign'))::BIGINT AS overlap FROM l), m AS (SELECT *, max(overlap) OVER (PARTITION BY query_id) AS top FROM o) SELECT query_id, id, overlap FROM m WHERE overlap > 0 OR top = 0")
 def lexical_enforce(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _lists(spark, sf).where("rank <= 20")
+    rows = _lists(spark, sf)
     return C.lexical_enforce(rows, C.term_overlap(["sign"], F.col("event_type"))).select("query_id", "id", "overlap")
 
 
@@ -309,21 +315,6 @@ def fallback_top2(spark: SparkSession, sf: str) -> DataFrame:
     return C.fallback(_lists(spark, sf), ["click"], F.col("event_type")).select("query_id", "id", "place", "mode")
 
 
-def _runs(spark, sf):
-    """The documents that share their first 60 characters, as cases."""
-    docs = load(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("lead"))
-    heads = docs.groupBy("lead").agg(F.count("*").alias("n"), F.min("doc_id").alias("case_id")).where("n > 1")
-    pairs = docs.join(heads, "lead").select("case_id", F.col("doc_id").alias("id"))
-    return pairs
-
-
-_PAIRS = "d AS (SELECT doc_id, text[1:60] AS lead FROM documents), h AS (SELECT lead, min(doc_id) AS case_id FROM d GROUP BY lead HAVING count(*) > 1), p AS (SELECT case_id, doc_id AS id FROM d JOIN h USING (lead)), runs AS (SELECT 'up' AS mode, case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY id) AS rank FROM p UNION ALL SELECT 'far', case_id, id, 5 + row_number() OVER (PARTITION BY case_id ORDER BY id) FROM p), x AS (SELECT mode, case_id, count(*) FILTER (rank <= 5) AS top, count(*) FILTER (rank <= 10) AS found, count(*) AS n FROM runs GROUP BY mode, case_id), cm AS (SELECT mode, case_id, top / 5.0::DOUBLE AS precision, found / n::DOUBLE AS recall, (found > 0)::BIGINT AS hit FROM x)"
-
-
-def _cases(spark, sf) -> DataFrame:
-    return _measured(_runs(spark, sf))
-
-
 def _measured(pairs: DataFrame) -> DataFrame:
     """Metrics of two modes: in order of id, and the same five ranks further down."""
     from pyspark.sql.window import Window
@@ -333,22 +324,6 @@ def _measured(pairs: DataFrame) -> DataFrame:
     return E.case_metrics(runs, pairs)
 
 
-@query(f"WITH {_PAIRS} SELECT mode, case_id, round(precision, 6) AS precision, round(recall, 6) AS recall, hit FROM cm")
-def eval_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return _cases(spark, sf).select("mode", "case_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "hit")
-
-
-@query(f"WITH {_PAIRS} SELECT mode, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit_rate, sum(1 - hit)::BIGINT AS failed FROM cm GROUP BY mode")
-def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return E.mode_metrics(_cases(spark, sf))
-
-
-@query(f"WITH {_PAIRS}, m AS (SELECT mode, round(avg(precision), 4) AS p FROM cm GROUP BY mode) SELECT mode, 'precision' AS failures FROM m WHERE p < 0.1")
-def eval_gate(spark: SparkSession, sf: str) -> DataFrame:
-    floors = spark.createDataFrame([("up", "precision", 0.1), ("far", "precision", 0.1), ("up", "recall", 0.0)], "mode string, metric string, floor double")
-    return E.gates(E.mode_metrics(_cases(spark, sf)), floors)
-
-
 WORD, KEYS = r"(?U)\w+", 3
 
 
@@ -372,21 +347,21 @@ def _contained(spark, sf) -> DataFrame:
     return found.select("case_id", "id").unionByName(short.select("case_id", "id")).distinct()
 
 
-_PASSAGES = "p AS (SELECT DISTINCT item_id AS case_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), " + _PAIRS[_PAIRS.index("runs AS") :]
+_PASSAGES = "p AS (SELECT DISTINCT item_id AS case_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), runs AS (SELECT 'up' AS mode, case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY id) AS rank FROM p UNION ALL SELECT 'far', case_id, id, 5 + row_number() OVER (PARTITION BY case_id ORDER BY id) FROM p), x AS (SELECT mode, case_id, count(*) FILTER (rank <= 5) AS top, count(*) FILTER (rank <= 10) AS found, count(*) AS n FROM runs GROUP BY mode, case_id), cm AS (SELECT mode, case_id, top / 5.0::DOUBLE AS precision, found / n::DOUBLE AS recall, (found > 0)::BIGINT AS hit FROM x)"
 
 
 @query(f"WITH {_PASSAGES} SELECT mode, case_id, round(precision, 6) AS precision, round(recall, 6) AS recall, hit FROM cm")
-def eval_passage_cases(spark: SparkSession, sf: str) -> DataFrame:
+def eval_cases(spark: SparkSession, sf: str) -> DataFrame:
     rows = _measured(_contained(spark, sf))
     return rows.select("mode", "case_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "hit")
 
 
-@query(f"WITH {_PASSAGES} SELECT mode, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit_rate, sum(1 - hit)::BIGINT AS failed FROM cm GROUP BY mode")
-def eval_passage_metrics(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"WITH {_PASSAGES} SELECT mode, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit_rate, sum(1 - hit)::BIGINT AS failed, count(*)::BIGINT AS cases FROM cm GROUP BY mode")
+def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return E.mode_metrics(_measured(_contained(spark, sf)))
 
 
-@query(f"WITH {_PASSAGES}, m AS (SELECT mode, round(avg(precision), 4) AS p FROM cm GROUP BY mode) SELECT mode, 'precision' AS failures FROM m WHERE p < 0.1")
-def eval_passage_gate(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"WITH {_PASSAGES}, m AS (SELECT mode, round(avg(precision), 4) AS p, sum(1 - hit) AS f, count(*) AS n FROM cm GROUP BY mode) SELECT mode, concat_ws(',', CASE WHEN mode = 'far' AND f > 1 THEN 'failed_cases' END, CASE WHEN p < 0.1 THEN 'precision' END, CASE WHEN mode = 'far' AND n < 1000000 THEN 'too_few_cases' END) AS failures FROM m WHERE p < 0.1 OR mode = 'far'")
+def eval_gate(spark: SparkSession, sf: str) -> DataFrame:
     floors = spark.createDataFrame([("up", "precision", 0.1), ("far", "precision", 0.1), ("up", "recall", 0.0)], "mode string, metric string, floor double")
-    return E.gates(E.mode_metrics(_measured(_contained(spark, sf))), floors)
+    return E.gates(E.mode_metrics(_measured(_contained(spark, sf))), floors, {"far": 1}, 1_000_000)

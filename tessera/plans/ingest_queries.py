@@ -95,9 +95,42 @@ def watch_diff(spark: SparkSession, sf: str) -> DataFrame:
     return G.path_changes(before.select("path"), after.select("path"))
 
 
-@query("SELECT event_type AS action, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+@query(f"WITH {_DOCS}, r AS (SELECT c.path AS path, x.path AS known, row_number() OVER (PARTITION BY c.hash ORDER BY c.path) AS nth FROM c LEFT JOIN x USING (hash)), a AS (SELECT CASE WHEN known IS NULL THEN CASE WHEN nth = 1 THEN 'new' ELSE 'duplicate' END WHEN known = path THEN 'duplicate' ELSE 'relink' END AS action FROM r) SELECT (count(*) FILTER (action = 'new'))::BIGINT AS ingested, (count(*) FILTER (action = 'duplicate'))::BIGINT AS skipped, (count(*) FILTER (action = 'relink'))::BIGINT AS relinked, (SELECT count(*) FROM events WHERE event_type = 'error')::BIGINT AS failed FROM a")
 def ingest_counters(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "events").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """The counters of an ingest of two kinds, which add up."""
+    failed = load(spark, sf, "events").where("event_type = 'error'").select(F.lit("failed").alias("action"))
+    return G.counters([_dedup(spark, sf), failed])
+
+
+_ACTIONS = "CASE event_type WHEN 'click' THEN 'new' WHEN 'view' THEN 'duplicate' WHEN 'error' THEN 'failed' ELSE 'relink' END"
+
+
+@query(f"WITH e AS (SELECT user_id % 7 AS run, {_ACTIONS} AS action, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS n FROM events), c AS (SELECT run, floor((n - 1) / 100) AS b, count(*) AS done, count(*) FILTER (action = 'new') AS new, count(*) FILTER (action = 'failed') AS failed FROM e GROUP BY 1, 2) SELECT run, (sum(done) OVER w)::BIGINT AS done, (sum(new) OVER w)::BIGINT AS new, (sum(failed) OVER w)::BIGINT AS failed FROM c WINDOW w AS (PARTITION BY run ORDER BY b)")
+def progress_every(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters of each run after every hundred rows."""
+    e = load(spark, sf, "events").select((F.col("user_id") % 7).alias("run"), "event_id", F.expr(_ACTIONS).alias("action"))
+    return G.progress(e, 100, "run", "event_id").select("run", "done", "new", "failed")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'stale' WHEN lang <> 'en' THEN 'version' ELSE 'content' END AS why FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 10 = 0 OR lang <> 'en' OR doc_id % 4 = 0)")
+def reembed_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Images whose vector must be made again; those whose file is gone can't be."""
+    own = F.col("doc_id").cast("string")
+    d = load(spark, sf, "documents").select("doc_id", "lang", own.alias("path"), F.sha2("text", 256).alias("hash"))
+    rows = d.select(F.col("doc_id").alias("id"), "path", "lang", F.when(F.col("doc_id") % 4 == 0, "old").otherwise(F.col("hash")).alias("clip_content_hash"), (F.col("doc_id") % 10 == 0).alias("is_stale"))
+    return G.reembed_images(rows, d.where("doc_id % 7 <> 0").select("path", "hash"), {"lang": "en"}).select("id", "why")
+
+
+@query("SELECT p_partkey AS id, 'a' || p_partkey AS old_path, 'c' || p_partkey AS new_path FROM part WHERE p_partkey % 4 = 0")
+def moves_relinked(spark: SparkSession, sf: str) -> DataFrame:
+    """Moves of indexed files to paths that aren't: the last target of each; moves of other files, and onto indexed ones, are split."""
+    part = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("n"))
+    path = lambda lead: F.concat(F.lit(lead), "n")
+    indexed = part.where("id % 2 = 0").select("id", path("a").alias("path"))
+    taken = part.select((F.col("id") + 10_000_000).alias("id"), path("t").alias("path"))
+    moved = lambda rows, to, at: rows.select(path("a").alias("path"), path(to).alias("dst_path"), F.lit("moved").alias("op"), F.timestamp_seconds(F.lit(at)).alias("ts"))
+    events = moved(part.where("id % 4 < 2"), "b", 1).unionByName(moved(part.where("id % 4 < 2"), "c", 2)).unionByName(moved(part.where("id % 4 = 2"), "t", 3))
+    return W.relinked_moves(events, indexed.unionByName(taken))[0]
 
 
 _EVENTS = "e AS (SELECT 'p' || (user_id % 40) AS path, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'created' END AS op, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events WHERE event_type IN ('error', 'signup')), n AS (SELECT *, t + CASE WHEN op = 'created' THEN 600 ELSE 3600 END AS due, lead(t) OVER (PARTITION BY path ORDER BY t, CASE WHEN op = 'created' THEN 0 ELSE 1 END) AS nxt FROM e)"

@@ -12,7 +12,9 @@ from tessera.operators import ranking as R
 from tessera.sources.tables import catalogue, load
 
 from . import search as S
+from .likeness import fuzzy_sql, likeness_sql
 from .registry import query
+from .search_sql import search_sql
 
 # SQL over part names that several statements share.
 TOKENS = r"toks AS (SELECT p_partkey AS id, regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+') AS t FROM part), post AS (SELECT term, id, count(*) AS tf, max(dl) AS dl FROM (SELECT id, unnest(t) AS term, len(t) AS dl FROM toks) GROUP BY term, id), stats AS (SELECT count(*) AS nd, avg(len(t)) AS avgdl FROM toks)"
@@ -52,25 +54,14 @@ def kw_doc_stats(spark: SparkSession, sf: str) -> DataFrame:
     return K.corpus_stats(K.tokenised(load(spark, sf, "documents"), "doc_id", "text")).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query()
+@query(f"WITH {_bm25_sql(["starts_with(CASE term WHEN 'large' THEN 'larg' ELSE term END, 'larg')", "starts_with(term, 'rod')"])} SELECT id, round(bm25, 6) AS bm25 FROM scored ORDER BY scored.bm25, id LIMIT 50")
 def kw_bm25_porter(spark: SparkSession, sf: str) -> DataFrame:
+    """Stems on both sides: the words of parts are their own stems but for large, which loses its e."""
     t = _tokens(spark, sf)
-    terms = [(K.stem_word(w), p) for w, p in K.query_terms("red widgets")]
+    terms = [(K.stem_word(w), p) for w, p in K.query_terms("Larges, rods")]
     return K.bm25(K.postings(t, stem=True), K.corpus_stats(t), terms).orderBy("bm25", "id").limit(50).select("id", F.round("bm25", 6).alias("bm25"))
 
 
-@query(
-    r"""WITH toks AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), post AS (SELECT term, id, count(*) AS tf, max(dl) AS dl FROM (SELECT id, unnest(t) AS term, len(t) AS dl FROM toks) GROUP BY term, id),
-    stats AS (SELECT count(*) AS nd, avg(len(t)) AS avgdl FROM toks), asked AS (SELECT query_id, len(list_distinct(ts)) AS asked, unnest(list_distinct(ts)) AS term FROM (SELECT item_id AS query_id, regexp_extract_all(lower(trim(text)), '[\p{L}\p{N}_]+')[1:6] AS ts FROM benchmark)),
-    dfs AS (SELECT term, count(*) AS n FROM post GROUP BY term),
-    scored AS (SELECT query_id, id, sum(greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score, count(*) AS c, max(asked) AS a FROM asked JOIN post USING (term) JOIN dfs USING (term) CROSS JOIN stats GROUP BY query_id, id)
-    SELECT query_id, id, round(score, 6) AS score FROM scored WHERE c = a"""
-)
-def kw_bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """All benchmark passages as queries: the documents that hold all of a passage's first words."""
-    return _searched(spark, sf, F.slice(_passage_words(), 1, 6))
-
-
 @query(
     r"""WITH toks AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), post AS (SELECT term, id, count(*) AS tf, max(dl) AS dl FROM (SELECT id, unnest(t) AS term, len(t) AS dl FROM toks) GROUP BY term, id),
     stats AS (SELECT count(*) AS nd, avg(len(t)) AS avgdl FROM toks), asked AS (SELECT query_id, len(list_distinct(ts)) AS asked, unnest(list_distinct(ts)) AS term FROM (SELECT item_id AS query_id, regexp_extract_all(lower(trim(text)), '[\p{L}\p{N}_]+') AS ts FROM benchmark)),
@@ -78,7 +69,7 @@ def kw_bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     scored AS (SELECT query_id, id, sum(greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score, count(*) AS c, max(asked) AS a FROM asked JOIN post USING (term) JOIN dfs USING (term) CROSS JOIN stats GROUP BY query_id, id)
     SELECT query_id, id, round(score, 6) AS score FROM scored WHERE c = a"""
 )
-def kw_bm25_passages(spark: SparkSession, sf: str) -> DataFrame:
+def kw_bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     """All benchmark passages as queries: the documents that hold all words of a passage."""
     return _searched(spark, sf, _passage_words())
 
@@ -201,32 +192,150 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue(spark, sf).select("id", "caption").join(F.broadcast(fused), "id").select("rank", "id", "caption", F.round("score", 9).alias("score"))
 
 
-@query()
+_SIM = "list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)))"
+
+
+def _near_sql(name: str, span: str, depth: int) -> str:
+    e = f"list_transform(embedding[{span}], lambda x: x::DOUBLE)"
+    return f"v{name} AS (SELECT vec_id AS id, {e} AS e FROM embeddings), {name} AS (SELECT v.id AS id, {_SIM} AS score, row_number() OVER (ORDER BY {_SIM} DESC, v.id) AS rank FROM v{name} q, v{name} v WHERE q.id = 7 QUALIFY rank <= {depth})"
+
+
+def _hybrid_sql(depth: int, w_clip: float, w_text: float) -> str:
+    norm = lambda n: f"n{n} AS (SELECT id, score, greatest(0, score) / CASE WHEN max(score) OVER () > 0 THEN max(score) OVER () ELSE 1 END AS s FROM {n})"
+    both = f"found AS (SELECT id, score, coalesce(text_score, 0) AS text_score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT coalesce(nclip.id, ntext.id) AS id, {w_clip}::DOUBLE * coalesce(nclip.s, 0) + {w_text}::DOUBLE * coalesce(ntext.s, 0) AS score, round(ntext.score, 6) AS text_score FROM nclip FULL JOIN ntext ON nclip.id = ntext.id))"
+    return f"{_near_sql('clip', '1:32', depth)}, {_near_sql('text', '33:64', depth)}, {norm('clip')}, {norm('text')}, {both}"
+
+
+def _index(spark, sf, scorer: str | None = None) -> tuple[S.Index, dict]:
+    """Parts with the two halves of the vectors as image and text index, and the halves of vector 7."""
+    clip, text = _half(spark, sf, True), _half(spark, sf, False)
+    own = load(spark, sf, "embeddings").where("vec_id = 7").first()["embedding"]
+    return S.build(catalogue(spark, sf), clip, text, scorer), {"clip": list(own[:32]), "text": list(own[32:])}
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("rank", "id", "caption", "score", *[F.round(c, 6).alias(c) for c in ("semantic_overlap", "attribute_score", "presence_score")])
+
+
+_KEYWORDS = _bm25_sql(["term = 'red'", "starts_with(term, 'widget')"])
+
+
+@query(search_sql(f"{_near_sql('text', '33:64', 40)}, found AS (SELECT * FROM text)", "red widgit", 10, ("widget",)))
 def search_auto(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole search plan of one query: routing, fusion, penalty, fuzzy and intent rerank."""
-    vectors = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    index = S.build(catalogue(spark, sf), vectors, vectors)
-    return S.search(index, "red widgit", list(vectors.where("id = 7").first()["embedding"]), 10).select("rank", "id", "caption", "score", "semantic_overlap", "attribute_score", "presence_score")
+    """The whole search plan of a misspelt query: no keyword hits, so vectors, then every rerank with the correction."""
+    index, own = _index(spark, sf)
+    return _shown(S.search(index, "red widgit", own["text"], 10))
+
+
+@query(search_sql(f"{_KEYWORDS}, found AS (SELECT id, 1.0::DOUBLE AS score, row_number() OVER (ORDER BY bm25, id) AS rank FROM scored QUALIFY rank <= 10)", "red widget", 10))
+def search_keyword(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(S.search(_index(spark, sf)[0], "red widget", None, 10, "keyword"))
+
+
+@query(search_sql(f"{_KEYWORDS}, kw AS (SELECT id, row_number() OVER (ORDER BY bm25, id) AS r FROM scored QUALIFY r <= 40), {_near_sql('text', '33:64', 40)}, found AS (SELECT *, row_number() OVER (ORDER BY score DESC, least(coalesce(a, 999), coalesce(b, 999)), id) AS rank FROM (SELECT coalesce(kw.id, text.id) AS id, kw.r AS a, text.rank AS b, coalesce(0.62::DOUBLE / (60 + kw.r), 0) + coalesce(0.38::DOUBLE / (60 + text.rank), 0) AS score FROM kw FULL JOIN text ON kw.id = text.id))", "red widget", 10, cross_depth=20))
+def search_fused(spark: SparkSession, sf: str) -> DataFrame:
+    """Keywords and vectors by reciprocal ranks, and the cross rerank of the first twenty by the stand-in scorer."""
+    index, own = _index(spark, sf, "overlap")
+    return _shown(S.search(index, "red widget", own["text"], 10))
+
 
+@query(search_sql(f"{_near_sql('clip', '1:32', 20)}, found AS (SELECT * FROM clip)", "red widget poster", 10))
+def search_semantic_clip(spark: SparkSession, sf: str) -> DataFrame:
+    """A query whose words ask for pictures goes to the image vectors."""
+    index, own = _index(spark, sf)
+    return _shown(S.search(index, "red widget poster", own["clip"], 10, "semantic"))
 
-@query()
+
+@query(search_sql(f"{_near_sql('text', '33:64', 20)}, found AS (SELECT * FROM text)", "red widget invoice", 10))
+def search_semantic_text(spark: SparkSession, sf: str) -> DataFrame:
+    """A query whose words ask for texts goes to the text vectors."""
+    index, own = _index(spark, sf)
+    return _shown(S.search(index, "red widget invoice", own["text"], 10, "semantic"))
+
+
+def _same_width(spark, sf) -> tuple[S.Index, list[float]]:
+    """Both indexes searched by one vector, the text half."""
+    index, own = _index(spark, sf)
+    return index, own["text"]
+
+
+def _one_vector_sql(depth: int, w_clip: float, w_text: float) -> str:
+    """The hybrid candidates where the text half of vector 7 searches both indexes."""
+    sql = _hybrid_sql(depth, w_clip, w_text)
+    own = "q7 AS (SELECT vec_id AS id, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id = 7), "
+    return own + sql.replace("FROM vclip q, vclip v", "FROM q7 q, vclip v")
+
+
+@query(search_sql(_one_vector_sql(20, 0.45, 0.55), "red widget", 10, hybrid=True))
+def search_semantic_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Both vector indexes, normalised and summed by the weights of the query's kind."""
+    index, own = _same_width(spark, sf)
+    return _shown(S.search(index, "red widget", own, 10, "semantic"))
+
+
+@query(f"WITH {_near_sql('clip', '1:32', 10)} SELECT p_partkey AS id, p_name AS caption, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, rank)::BIGINT AS rank FROM clip JOIN part ON p_partkey = id")
+def search_image(spark: SparkSession, sf: str) -> DataFrame:
+    """Search by an image's vector: the image index, and the penalty."""
+    index, own = _index(spark, sf)
+    return S.search(index, "", image=own["clip"], k=10).select("rank", "id", "caption", "score")
+
+
+def _first(sql: str, k: int) -> str:
+    """Candidates cut to the first k that have an item, before any rerank."""
+    return sql.replace("found AS (", "every AS (", 1) + f", found AS (SELECT * FROM every WHERE id IN (SELECT p_partkey FROM part) QUALIFY row_number() OVER (ORDER BY round(score, 6) DESC, rank) <= {k})"
+
+
+@query(search_sql(_first(f"{_near_sql('clip', '1:32', 15)}, found AS (SELECT * FROM clip)", 10), "red widget", None))
+def forced_clip(spark: SparkSession, sf: str) -> DataFrame:
+    index, own = _index(spark, sf)
+    return _shown(S.forced(index, "red widget", own["clip"], "clip", 10))
+
+
+@query(search_sql(_first(f"{_near_sql('text', '33:64', 15)}, found AS (SELECT * FROM text)", 10), "red widget", None))
+def forced_text(spark: SparkSession, sf: str) -> DataFrame:
+    index, own = _index(spark, sf)
+    return _shown(S.forced(index, "red widget", own["text"], "text", 10))
+
+
+@query(search_sql(_first(_one_vector_sql(20, 0.45, 0.55), 10), "red widget", None, hybrid=True))
+def forced_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    index, own = _same_width(spark, sf)
+    return _shown(S.forced(index, "red widget", own, "hybrid", 10))
+
+
+@query(
+    f"""WITH {TOKENS}, asked AS (SELECT id AS query_id, len(list_distinct(t)) AS asked, unnest(list_distinct(t)) AS term FROM toks WHERE id % 100 = 0), dfs AS (SELECT term, count(*) AS n FROM post GROUP BY term),
+    s AS (SELECT query_id, id, sum(greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score, count(*) AS c, max(asked) AS a FROM asked JOIN post USING (term) JOIN dfs USING (term) CROSS JOIN stats GROUP BY query_id, id HAVING count(*) = max(asked))
+    SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s.score, 9) DESC, id)::BIGINT AS rank FROM s QUALIFY rank <= 10"""
+)
 def search_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The caption of every hundredth part as a query."""
     index = S.build(catalogue(spark, sf))
     asked = catalogue(spark, sf).where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), F.col("caption").alias("text"))
     return S.batch(index, asked, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 _FUZZY = "red widgit".split()
+_PART_LIST = "l AS (SELECT p_partkey AS id, 1 / (1 + p_size::DOUBLE) AS score FROM part), b AS (SELECT p_partkey AS id, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part), w AS (SELECT DISTINCT w FROM b)"
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_PART_LIST}, asked AS (SELECT unnest(['red', 'widgit']) AS t), {likeness_sql()}, {fuzzy_sql('fuzz', _FUZZY, 0.84, 'b')},
+    v AS (SELECT l.id AS id, coalesce(fuzzy, 0) AS fuzzy, least(1, greatest(0, score / max(score) OVER ())) AS norm FROM l LEFT JOIN fuzz ON fuzz.id = l.id), g AS (SELECT *, 0.85::DOUBLE * (0.85::DOUBLE * norm + 0.15::DOUBLE * norm) + 0.15::DOUBLE * fuzzy AS s FROM v),
+    h AS (SELECT id, fuzzy, round(CASE WHEN max(fuzzy) OVER () >= 0.3 AND fuzzy = 0 THEN s * (0.85::DOUBLE + 0.15::DOUBLE * norm) ELSE s END, 6) AS s FROM g)
+    SELECT row_number() OVER (ORDER BY s DESC, h.fuzzy DESC, id)::BIGINT AS rank, id, s AS score, round(fuzzy, 6) AS fuzzy FROM h QUALIFY rank <= 100"""
+)
 def fuzzy_rank(spark: SparkSession, sf: str) -> DataFrame:
     rows = catalogue(spark, sf).select(F.lit(0).alias("query_id"), "id", "caption", (1.0 / (1 + F.col("p_size"))).alias("score"))
     return R.fuzzy_rank(rows, _FUZZY, F.col("caption"), typos=True).where("rank <= 100").select("rank", "id", F.round("score", 6).alias("score"), F.round("fuzzy", 6).alias("fuzzy"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE b AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part), w AS (SELECT w FROM b WHERE length(w) >= 3), asked AS (SELECT unnest(['widgit', 'yelow', 'gadgte']) AS t), {likeness_sql()}
+    SELECT t AS term, arg_min(w, (-ratio, w)) AS correction, round(max(ratio), 6) AS ratio FROM alike WHERE t <> w AND ratio >= 0.8 GROUP BY t"""
+)
 def fuzzy_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """Corrections of terms of five letters or more."""
     vocab = R.vocabulary(catalogue(spark, sf), F.col("caption"))
     return R.corrections(vocab, ["widgit", "smal", "yelow", "gadgte"]).select("term", "correction", F.round("ratio", 6).alias("ratio"))
 
@@ -236,7 +345,11 @@ def fuzzy_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return R.vocabulary(catalogue(spark, sf), F.col("caption"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_PART_LIST}, asked AS (SELECT unnest(['red', 'widget']) AS t), {likeness_sql()}, {fuzzy_sql('o', ['widget', 'red'], 0.84, 'b')}, {fuzzy_sql('a', ['red'], 0.84, 'b')}, {fuzzy_sql('c', ['red'], 0.88, 'b')},
+    x AS (SELECT l.id AS id, score / max(score) OVER () AS vs, coalesce(o.fuzzy, 0) AS so, least(1, coalesce(a.fuzzy, 0) + 0.2::DOUBLE * coalesce(c.fuzzy, 0)) AS ats, (l.id IN (SELECT id FROM b WHERE w = 'widget'))::INT AS ps FROM l LEFT JOIN o ON o.id = l.id LEFT JOIN a ON a.id = l.id LEFT JOIN c ON c.id = l.id),
+    f AS (SELECT *, round((0.58::DOUBLE * vs + 0.42::DOUBLE * so + 0.2::DOUBLE * ats + 0.1::DOUBLE * ps) * CASE WHEN ps < 0.5 THEN 0.4::DOUBLE ELSE 1 END, 6) AS s FROM x) SELECT row_number() OVER (ORDER BY s DESC, id)::BIGINT AS rank, id, s AS score, round(ats, 6) AS attribute_score, ps::DOUBLE AS presence_score FROM f QUALIFY rank <= 100"""
+)
 def intent_rank(spark: SparkSession, sf: str) -> DataFrame:
     from .intent import parse
 

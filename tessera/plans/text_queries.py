@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.sources.media import text_blocks
 from tessera.sources.tables import load, media_kind
 
+from .intent import OCR_WORDS, VISUAL_WORDS, route_column
+from .likeness import likeness_sql, soundex_sql
 from .registry import query
 
 
@@ -35,13 +38,16 @@ def indel_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().select("a", F.round(X.indel_ratio(F.col("a"), F.lit("red widgit")), 6).alias("ratio"))
 
 
-@query()
+_PART_WORDS = "w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)"
+
+
+@query(f"WITH {_PART_WORDS} SELECT w AS word, {soundex_sql('w')} AS code FROM w")
 def soundex_variant(spark: SparkSession, sf: str) -> DataFrame:
     words = load(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
     return words.select("word", X.soundex_variant(F.col("word")).alias("code"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_PART_WORDS}, asked AS (SELECT 'widgit' AS t), {likeness_sql()} SELECT w AS word, round(likeness, 6) AS likeness FROM alike")
 def pair_similarity(spark: SparkSession, sf: str) -> DataFrame:
     words = load(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
     return words.select("word", F.round(X.pair_similarity(F.col("word"), F.lit("widgit")), 6).alias("likeness"))
@@ -115,22 +121,26 @@ def label_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "conversations").select("conv_id", "turn", X.label_cleanup(F.col("text")).alias("label"))
 
 
-@query(
-    """WITH d AS (SELECT doc_id AS id, trim(text, E' \\n\\t\\r\\x0b\\x0c') AS t FROM documents WHERE NOT regexp_matches(text, '\\n\\s*\\n')), k AS (SELECT id, t, CASE WHEN length(t) <= 1400 THEN 1 ELSE greatest(0, ceil((length(t) - 1400) / 1200.0))::INT + 1 END AS n FROM d),
-    c AS (SELECT id, unnest(range(n)) AS i, t FROM k) SELECT id, (i + 1)::BIGINT AS chunk, length(trim(t[i * 1200 + 1 : i * 1200 + 1400], E' \\n\\t\\r\\x0b\\x0c'))::BIGINT AS size FROM c WHERE length(t) > 0"""
-)
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunked(load(spark, sf, "documents").where(~F.col("text").rlike(r"\n\s*\n")))
+# Paragraphs are folded one after the other: what is written, and what is still open.
+_CHUNKS = r"""WITH RECURSIVE d AS (SELECT doc_id AS id, list_filter(list_transform(regexp_split_to_array(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n\s*\n'), lambda p: trim(p, E' \n\t\r\x0b\x0c')), lambda p: p <> '') AS ps FROM documents),
+    r(id, ps, i, done, open) AS (SELECT id, ps, 0::BIGINT, []::VARCHAR[], '' FROM d WHERE len(ps) > 0 UNION ALL
+    SELECT id, ps, i + 1, CASE WHEN length(ps[i + 1]) > 1400 THEN list_concat(CASE WHEN open <> '' THEN list_append(done, open) ELSE done END, list_filter(list_transform(range(greatest(0, ceil((length(ps[i + 1]) - 1400) / 1200.0))::BIGINT + 1), lambda n: trim(ps[i + 1][n * 1200 + 1 : n * 1200 + 1400], E' \n\t\r\x0b\x0c')), lambda w: w <> ''))
+    WHEN open = '' OR length(open) + 2 + length(ps[i + 1]) <= 1400 THEN done ELSE list_append(done, open) END,
+    CASE WHEN length(ps[i + 1]) > 1400 THEN '' WHEN open = '' THEN ps[i + 1] WHEN length(open) + 2 + length(ps[i + 1]) <= 1400 THEN open || chr(10) || chr(10) || ps[i + 1] ELSE ps[i + 1] END FROM r WHERE i < len(ps)),
+    e AS (SELECT id, CASE WHEN open <> '' THEN list_append(done, open) ELSE done END AS cs FROM r WHERE i = len(ps)), u AS (SELECT id, unnest(cs) AS c, generate_subscripts(cs, 1) AS n FROM e) SELECT id, n::BIGINT AS chunk, length(c)::BIGINT AS size FROM u"""
 
 
-@query()
-def chunks_all(spark: SparkSession, sf: str) -> DataFrame:
-    """chunks over every document, those of several paragraphs too; no SQL packs paragraphs."""
-    return _chunked(load(spark, sf, "documents"))
+@query(_CHUNKS)
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of every document, paragraphs packed."""
+    rows = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.posexplode(X.chunks(F.col("text"))).alias("i", "c"))
+    return rows.select("id", (F.col("i") + 1).cast("long").alias("chunk"), F.length("c").cast("long").alias("size"))
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").alias("id"), F.posexplode(X.chunks(F.col("text"))).alias("i", "c"))
+@query(_CHUNKS.replace("text, chr(13) || chr(10), chr(10)", "replace(text, '. ', '.' || chr(10) || chr(10)), chr(13) || chr(10), chr(10)"))
+def chunks_of_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a paragraph for every sentence, so that many are packed."""
+    rows = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.posexplode(X.chunks(F.replace("text", F.lit(". "), F.lit(".\n\n")))).alias("i", "c"))
     return rows.select("id", (F.col("i") + 1).cast("long").alias("chunk"), F.length("c").cast("long").alias("size"))
 
 
@@ -141,9 +151,30 @@ def media_partition(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select(F.col("event_id").alias("id"), media_kind(path).alias("kind"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN t AND NOT v THEN 'text' WHEN v AND NOT t THEN 'clip' ELSE 'hybrid' END AS route FROM (SELECT conv_id, turn, len(list_filter(['amount', 'number', 'total', 'bill'], lambda w: contains(lower(text), w))) > 0 AS t, len(list_filter(['style', 'design', 'similar'], lambda w: contains(lower(text), w))) > 0 AS v FROM conversations)")
+@query(f"SELECT conv_id, turn, CASE WHEN t AND NOT v THEN 'text' WHEN v AND NOT t THEN 'clip' ELSE 'hybrid' END AS route FROM (SELECT conv_id, turn, len(list_filter({OCR_WORDS}, lambda w: contains(lower(text), w))) > 0 AS t, len(list_filter({VISUAL_WORDS}, lambda w: contains(lower(text), w))) > 0 AS v FROM conversations)")
 def router(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch form of the keyword router, with a short word list."""
-    t = F.exists(F.array(*map(F.lit, ["amount", "number", "total", "bill"])), lambda w: F.lower("text").contains(w))
-    v = F.exists(F.array(*map(F.lit, ["style", "design", "similar"])), lambda w: F.lower("text").contains(w))
-    return load(spark, sf, "conversations").select("conv_id", "turn", F.when(t & ~v, "text").when(v & ~t, "clip").otherwise("hybrid").alias("route"))
+    """The keyword router over a table of queries."""
+    return load(spark, sf, "conversations").select("conv_id", "turn", route_column(F.col("text")).alias("route"))
+
+
+_RAW = "CASE p_partkey % 4 WHEN 0 THEN 'x {\"caption\": \"' || p_name || '\", \"summary\": \"' || p_type || '\", \"tags\": [\"' || p_brand || '\", \" B \"]} y' WHEN 1 THEN '\"caption\": \"' || p_name || '\", \"tags\": [\"' || p_brand || '\"], {' WHEN 2 THEN p_name || ',' || chr(10) || '{' || chr(10) || p_type ELSE '' END"
+
+
+@query(
+    """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 3 THEN 'image with identifiable visual content' ELSE p_name END AS caption, CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN p_name WHEN 2 THEN p_type ELSE 'image with identifiable visual content' END AS summary,
+    CASE p_partkey % 4 WHEN 0 THEN lower(p_brand) || ',b' WHEN 1 THEN lower(p_brand) WHEN 2 THEN coalesce(nullif(array_to_string(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) > 3), ','), ''), 'image') ELSE 'image' END AS tags FROM part"""
+)
+def answers_parsed(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a model as whole JSON, as fragments of it, as lines and empty, with their defaults and limits."""
+    answer = X.capped(X.parsed(F.expr(_RAW.replace("chr(10)", "char(10)"))))
+    rows = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), answer.alias("a"))
+    return rows.select("id", "a.caption", "a.summary", F.array_join("a.tags", ",").alias("tags"))
+
+
+@query("SELECT conv_id, turn, 0.5::DOUBLE AS confidence, 0::BIGINT AS left_, 75::BIGINT AS top FROM conversations WHERE trim(text) <> ''")
+def recognised_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Recognised texts as blocks: boxes in pixels from the upper left, mean confidence."""
+    box = lambda c: F.struct(F.col("text").alias("text"), F.lit(c).alias("confidence"), F.lit(0.0).alias("x"), F.lit(0.125).alias("y"), F.lit(0.5).alias("w"), F.lit(0.125).alias("h"))
+    rows = load(spark, sf, "conversations").where(F.trim("text") != "").select("conv_id", "turn", F.lit(200).alias("width"), F.lit(100).alias("height"), F.to_json(F.array(box(0.25), box(0.75))).alias("recognised"))
+    b = text_blocks(rows)
+    return b.select("conv_id", "turn", "confidence", F.col("blocks")[0]["bbox"][0].cast("long").alias("left_"), F.col("blocks")[0]["bbox"][1].cast("long").alias("top"))

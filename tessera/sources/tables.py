@@ -94,3 +94,28 @@ def scan_notes(spark: SparkSession, folder: str, skip: tuple[str, ...] = (".git"
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases of a JSON fixture ({"cases": [...]})."""
     return spark.read.json(path, multiLine=True, schema="cases array<struct<id:string,query:string,relevant_image_ids:array<string>,notes:string>>").select(F.explode("cases").alias("c")).select("c.*")
+
+
+def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
+    """(mode, metric, floor) of a JSON fixture of floors by mode ({"modes": {mode: {metric: floor}}} or without "modes")."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    inner = F.coalesce(F.from_json(F.element_at("m", "modes"), "map<string,string>"), F.col("m"))
+    by = raw.select(F.explode(inner).alias("mode", "floors")).select("mode", F.from_json("floors", "map<string,double>").alias("f"))
+    floors = by.where("f is not null").select("mode", F.explode("f").alias("metric", "floor"))
+    return floors.withColumn("metric", F.regexp_replace(F.regexp_replace("metric", "^min_", ""), "_at_[0-9]+$|@[0-9]+$", ""))
+
+
+def scan_report(spark: SparkSession, paths: list[str], exclude: list[str] | None = None) -> DataFrame:
+    """(target, path, kind, status): the files of each target, a file or a folder: ok, unsupported or excluded; missing targets too."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found, gone = [], []
+    for target in paths:
+        at = hadoop.Path(target)
+        (found if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else gone).append(target)
+    schema = "target string, path string, kind string, status string"
+    out = spark.createDataFrame([(t, t, None, "missing") for t in gone], schema)
+    for target in found:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target).select("path", media_kind(F.col("path")).alias("kind"))
+        status = F.when(excluded(F.col("path"), exclude or []), "excluded").when(F.col("kind") == "other", "unsupported").otherwise("ok")
+        out = out.unionByName(files.select(F.lit(target).alias("target"), "path", "kind", status.alias("status")))
+    return out.orderBy("target", "path")

@@ -30,6 +30,37 @@ def split_moves(events: DataFrame) -> DataFrame:
     return events.select(F.explode(ends).alias("e"), t.alias("t")).select("e.path", "e.op", "t")
 
 
+def relinked_moves(events: DataFrame, indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, old_path, new_path) of moves whose source is indexed (id, path) and whose target isn't, the last of each
+    source; and the other events with their moves split."""
+    moves = events.where("op = 'moved'").join(indexed.select("id", "path"), "path").join(indexed.select(F.col("path").alias("dst_path")), "dst_path", "left_anti")
+    direct = moves.groupBy("id", F.col("path").alias("old_path")).agg(F.max_by("dst_path", F.struct("ts", "dst_path")).alias("new_path"))
+    rest = events.join(direct.select(F.col("old_path").alias("path"), F.lit("moved").alias("op")), ["path", "op"], "left_anti")
+    return direct, split_moves(rest)
+
+
+def resolved(paths: DataFrame, resolve=None, path: str = "path") -> DataFrame:
+    """``paths`` with the hash of their content, by ``resolve`` (a function of a path) in Arrow batches, or by reading the files."""
+    if resolve is None:
+        files = paths.sparkSession.read.format("binaryFile").load([r[0] for r in paths.select(path).distinct().limit(10_000).collect()])  # one batch of a watch
+        return paths.join(files.select(F.col("path").alias("file"), F.sha2("content", 256).alias("hash")), F.col("file").endswith(F.col(path)), "left").drop("file")
+    run = F.pandas_udf(lambda s: s.map(resolve), "string")
+    return paths.withColumn("hash", run(F.col(path)))
+
+
+def watch(spark, folder: str, handle, checkpoint: str, debounce: float = DEBOUNCE, grace: float = GRACE, lateness: str = "1 second", live: bool = True):
+    """Follow a folder of event files (JSON lines of path, dst_path, op, ts): settled events go to ``handle``.
+
+    ``live`` looks for new files every 200 milliseconds; else what is there is worked off and the stream ends.
+    ``handle`` gets (rows of path, action, at; batch number).
+    """
+    events = spark.readStream.schema("path string, dst_path string, op string, ts timestamp").json(folder)
+    ends = F.when(F.col("op") == "moved", F.array(F.struct(F.col("path").alias("path"), F.lit("deleted").alias("op")), F.struct(F.col("dst_path").alias("path"), F.lit("created").alias("op")))).otherwise(F.array(F.struct("path", "op")))
+    split = events.select(F.explode(ends).alias("e"), "ts").select("e.path", "e.op", "ts")
+    writer = settle_stream(split, debounce, grace, lateness).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime="200 milliseconds") if live else writer.trigger(availableNow=True)).start()
+
+
 def settled(events: DataFrame, debounce: float = DEBOUNCE, grace: float = GRACE) -> DataFrame:
     """(path, action, at): creations that were quiet for ``debounce`` and deletions that nothing undid in ``grace``.
 

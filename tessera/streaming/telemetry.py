@@ -14,5 +14,24 @@ def counted(rows: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observati
 
 
 def emit(events: DataFrame, path: str, checkpoint: str):
-    """A stream of telemetry (ts, run_id, command, event, payload) appended as JSON lines."""
-    return events.writeStream.foreachBatch(lambda df, _: df.write.mode("append").json(path)).option("checkpointLocation", checkpoint)
+    """A stream of telemetry (ts, run_id, command, event, payload) written as JSON lines.
+
+    A batch is written to a folder of its own number, which a replay of the batch writes anew.
+    """
+    write = lambda df, batch: df.write.mode("overwrite").json(f"{path}/batch={batch}")
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def relay(events: DataFrame, send, dropped: str, checkpoint: str, most: int = 256):
+    """A stream of telemetry passed on to ``send`` (a function of a DataFrame and a batch number), ``most`` events a batch.
+
+    What is over is dropped, oldest first kept, and counted in the table ``dropped``; the sender never holds up the stream's source.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        df = df.persist()
+        send(df.orderBy("ts").limit(most), number)
+        df.agg(F.lit(number).alias("batch"), F.greatest(F.count("*") - most, F.lit(0)).alias("dropped")).write.mode("overwrite").json(f"{dropped}/batch={number}")
+        df.unpersist()
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
