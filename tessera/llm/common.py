@@ -49,12 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and any executor can reread it."""
     spark = df.sparkSession
     bounded(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
