@@ -27,7 +27,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.sample_findings(spark)))
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
