@@ -290,7 +290,7 @@ def _blocks(divided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _judged(docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
-    """doc_id, mark, n_shingles and component_id of every row."""
+    """doc_id, mark, group (of near copies; null without words), n_shingles and component_id of every row."""
     sigs = written(signatures(docs, text, key, width), "signatures")
     reps = sigs.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     reps = written(reps, "representatives")
@@ -309,15 +309,15 @@ def _judged(docs: DataFrame, text: str, key: str, width: int, percent: int) -> D
 
     named = comps.join(reps.select(F.col("sid").alias("v"), "rep"), "v")
     lowest = written(named.groupBy("c").agg(F.min("rep").alias("component")), "lowest")
-    linked = comps.join(lowest, "c").select(F.col("v").alias("sid"), "component")
-    of_rep = written(reps.select("sid", "rep").join(linked, "sid", "left").select("sid", F.coalesce("component", "rep").alias("component")), "components")
+    linked = comps.join(lowest, "c").select(F.col("v").alias("sid"), "c", "component")
+    of_rep = written(reps.select("sid", "rep").join(linked, "sid", "left").select("sid", F.coalesce("c", "sid").alias("group"), F.coalesce("component", "rep").alias("component")), "components")
     out = sigs.select("doc_id", "mark", F.col("n").alias("n_shingles"), "sid").join(of_rep, "sid", "left")
-    return out.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "mark", "group", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, of every row."""
-    out = _judged(docs, text, key, width, percent).drop("mark")
+    out = _judged(docs, text, key, width, percent).drop("mark", "group")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -328,7 +328,8 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     Rows without an id or without words are in no group and all stay.
     """
     own, mark, least = F.col(f"`{key}`").cast("long"), fresh(docs, "mark"), fresh(docs, "component_id")
-    chosen = _judged(docs, text, key, width, percent).where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("component_id").alias(least)).agg(F.min("mark").alias(mark))
+    first = _judged(docs, text, key, width, percent).where("n_shingles > 0 and doc_id = component_id")
+    chosen = first.groupBy("group").agg(F.first("component_id").alias(least), F.min("mark").alias(mark)).drop("group")
     grouped = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & own.isNotNull()
     rows = docs.where(grouped).withColumns({mark: F.xxhash64(f"`{text}`"), least: own}).dropDuplicates([least, mark])
     return rows.join(written(chosen, "chosen"), [least, mark], "left_semi").select(*docs.columns).unionByName(docs.where(~grouped))
