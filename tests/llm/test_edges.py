@@ -10,7 +10,8 @@ from .helpers import AWKWARD, clashing, docs, labels
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secret_scan.train(secret_scan.sample_findings(spark, 600))
+    words = secret_scan.Words()
+    return secret_scan.train(secret_scan.sample_findings(spark, 600), words), words
 
 
 def operators(spark, forest):
@@ -20,7 +21,7 @@ def operators(spark, forest):
         "packing": lambda d: packing.pack_documents(d),
         "neardup": lambda d: neardup.near_duplicates(d, width=3, percent=85),
         "quality_rules": lambda d: quality_rules.quality_rules(d, known),
-        "secret_scan": lambda d: secret_scan.scan(d, forest),
+        "secret_scan": lambda d: secret_scan.scan(d, *forest),
         "html": lambda d: html_main.main_text(d, "doc_id", "source", "text"),
         "pii": lambda d: pii.pii(d),
         "media": lambda d: media_ts.media_digest(d),
@@ -46,6 +47,30 @@ def test_empty_table(spark, forest, name):
     assert operators(spark, forest)[name](docs(spark, [])).count() == 0
 
 
+def test_what_awkward_rows_give(spark, forest):
+    """The stated results for null, empty, wordless, long and repeated rows and a null id."""
+    ops = operators(spark, forest)
+    by = {name: [(r["page_id" if name == "html" else "doc_id"], r) for r in ops[name](docs(spark)).collect()] for name in ("toxicity", "quality_rules", "secret_scan", "html", "importance", "pii", "media", "bpe", "neardup")}
+    one = {name: dict(rows) for name, rows in by.items()}
+    for name, rows in by.items():
+        assert len(rows) == len(AWKWARD), name
+        twice = [tuple(r) for i, r in rows if i == 6]
+        assert len(twice) == 2 and twice[0] == twice[1], name  # repeated rows get equal results
+    for i in (1, 2):  # null and empty text
+        assert one["toxicity"][i]["n_hits"] == 0 and one["toxicity"][i]["predicted"] == 0
+        assert one["quality_rules"][i]["base_failed"] and one["quality_rules"][i]["llr"] == 0 and not one["quality_rules"][i]["kept"]
+        assert one["secret_scan"][i]["n_candidates"] == 0 and one["secret_scan"][i]["spans"] == ""
+        assert one["html"][i]["text"] == "" and one["html"][i]["n_chars"] == 0
+        assert one["importance"][i]["log_weight"] == 0
+        assert one["pii"][i]["spans"] == "" and one["pii"][i]["n_email"] == 0
+        assert one["media"][i]["n_bytes"] == 0 and one["media"][i]["payload_bytes"] == 64
+        assert one["bpe"][i]["n_tokens"] == 0
+        assert one["neardup"][i]["n_shingles"] == 0 and one["neardup"][i]["kept"] and one["neardup"][i]["component_id"] == i
+    assert one["toxicity"][None]["held_out"] is None and one["neardup"][None]["component_id"] is None
+    assert one["secret_scan"][8]["n_secrets"] == 1 and one["pii"][7]["n_card"] == 1
+    assert one["quality_rules"][5]["n_repeat_words"] == 30_000 and one["media"][5]["n_bytes"] == 150_000 and one["neardup"][5]["n_shingles"] == 1
+
+
 def test_no_labels(spark):
     none = labels(spark, [])
     rows = toxicity.toxicity(docs(spark), none).collect()

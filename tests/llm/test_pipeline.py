@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline as P
 
-from .helpers import DOCS, base_spans, docs, labels, near_classes
+from .helpers import DOCS, base_spans, clashing, docs, labels, near_classes
 
 
 def corpus():
@@ -39,3 +39,52 @@ def test_stages(spark, tmp_path):
     assert set(fourth) == set(third) and not any(base_spans(t) for t in fourth.values())
     packed = P.run(spark, sf).collect()
     assert {r["doc_id"] for r in packed} == set(fourth)
+
+
+def put(spark, sf, rows, known, more=lambda d: d):
+    more(docs(spark, rows)).write.parquet(f"{sf}/documents.parquet")
+    labels(spark, known).write.parquet(f"{sf}/labels.parquet")
+
+
+def test_awkward_rows_through_all_stages(spark, tmp_path):
+    """Nulls, repeats, rows of one id and clashing columns: the stated results of every stage."""
+    rows, known = corpus()
+    text, other = rows[5][1], " ".join(reversed(rows[6][1].split()))
+    mailed = " ".join(reversed(rows[8][1].split()))
+    rows = [*rows, (None, text), (None, None), (400, None), (400, None), (401, ""), (5, other), (402, text), (402, other + " indeed"), (403, " \n"), (404, rows[7][1]), (7, rows[7][1]), (405, mailed + " some.one@mail.example.com")]
+    put(spark, str(tmp_path), rows, known, clashing)
+    d, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    columns = d.columns
+    for name, stage in P.STAGES[:-1]:
+        d = stage(spark, d, str(tmp_path))
+        assert d.columns == columns, name
+        d.write.parquet(f"{tmp_path}/{name}")
+        d = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=repr)
+    blank = [(None, None), (400, None), (400, None), (401, ""), (403, " \n")]
+    for name in kept:
+        assert [x for x in kept[name] if not (x[1] or "").strip()] == sorted(blank, key=repr), name
+    near = kept["near_dedup"]
+    assert (None, text) in near and (5, text) in near and (402, text) not in near
+    assert (5, other) in near and (402, other + " indeed") not in near  # rows of one id go by their texts
+    assert sum(x[0] == 7 for x in near) == 1 and 404 not in [x[0] for x in near]  # one repeat stays
+    assert (405, mailed + " [EMAIL]") in kept["pii"]
+    packed = [(r["doc_id"], r["length"]) for r in P.STAGES[-1][1](spark, d, str(tmp_path)).collect()]
+    assert sorted(x for x, n in packed if n == 1 and x) == [400, 400, 401, 403] and len(packed) == len(kept["pii"])
+
+
+def test_empty_documents(spark, tmp_path):
+    put(spark, str(tmp_path), [], [(1, 1, 0), (2, 0, 1)])
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_leaves_what_its_result_reads(spark, tmp_path):
+    """Stages' own tables and inputs go once their result is stored."""
+    from tessera.llm import common
+
+    common.release(spark)
+    rows, known = corpus()
+    put(spark, str(tmp_path), rows, known)
+    out = P.run(spark, str(tmp_path))
+    assert common.tables_written() == 1  # the pieces, which the result reads
+    assert out.count() > 0
