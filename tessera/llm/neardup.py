@@ -273,6 +273,9 @@ def _blocks(divided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pack = F.collect_list(F.struct("sid", "sig", "c", "buckets"))
     every = written(rows.groupBy("bucket", "block").agg(pack.alias("rows")), "blocks")
     asked = written(rows.where("c <> main").groupBy("bucket", F.col("block").alias("of")).agg(pack.alias("asked")), "asked")
+    # each asked block goes to each block of its bucket, by the number of that block: pairs of blocks are spread like blocks
+    many = every.groupBy("bucket").agg(F.max("block").alias("last"))
+    asked = asked.join(many, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
 
     def run(batches):
         for b in batches:
@@ -286,7 +289,7 @@ def _blocks(divided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                             found.add(tuple(sorted((one["sid"], other["sid"]))))
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["x", "y"])
 
-    return asked.join(every, "bucket").select("bucket", "asked", "rows").mapInArrow(run, "x binary, y binary").distinct()
+    return asked.join(every, ["bucket", "block"]).select("bucket", "asked", "rows").mapInArrow(run, "x binary, y binary").distinct()
 
 
 def _judged(docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:

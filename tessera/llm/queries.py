@@ -65,4 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_bpe,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+# Sets of shingles, all pairs that share one, and who reaches whom.
+_NEAR = r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM t),
+    n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, unnest(s) AS g FROM s), c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)), both_ AS (SELECT x AS v, y AS w FROM l UNION SELECT y, x FROM l),
+    reach(v, w) AS (SELECT v, w FROM both_ UNION SELECT reach.v, both_.w FROM reach JOIN both_ ON reach.w = both_.v), m AS (SELECT v, min(least(v, w)) AS c FROM reach GROUP BY v)
+    SELECT n.doc_id AS doc_id, n.n::BIGINT AS n_shingles, coalesce(m.c, n.doc_id) AS component_id, coalesce(m.c, n.doc_id) = n.doc_id AS kept FROM n LEFT JOIN m ON m.v = n.doc_id"""
+ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": _NEAR}
