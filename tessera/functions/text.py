@@ -169,10 +169,13 @@ def malformed(text: Column) -> Column:
 
 
 def repaired(caption: Column, summary: Column) -> tuple[Column, Column]:
-    """Caption and summary with broken ones recovered from JSON fragments, or from each other."""
-    c = F.when(malformed(caption), F.coalesce(F.nullif(json_field(summary, "caption"), F.lit("")), F.nullif(json_field(caption, "caption"), F.lit("")), F.nullif(json_field(summary, "summary"), F.lit("")), F.lit(""))).otherwise(caption)
-    s = F.when(malformed(summary), F.coalesce(F.nullif(json_field(summary, "summary"), F.lit("")), F.nullif(c, F.lit("")), F.lit(""))).otherwise(summary)
-    return c, s
+    """Caption and summary, trimmed, with malformed ones recovered from JSON fragments in either, or from each other."""
+    cap, summ = (F.trim(F.coalesce(c, F.lit(""))) for c in (caption, summary))
+    both = F.concat(cap, F.lit("\n"), summ)
+    field = lambda name: F.nullif(F.trim(json_field(both, name, closed=True)), F.lit(""))
+    cap = F.when(malformed(cap), F.coalesce(field("caption"), cap)).otherwise(cap)
+    summ = F.when(malformed(summ), F.coalesce(field("summary"), F.nullif(cap, F.lit("")), summ)).otherwise(summ)
+    return F.when(cap == "", summ).otherwise(cap), F.when(summ == "", cap).otherwise(summ)
 
 
 def model_input(model: str, text: Column, is_query: bool) -> Column:

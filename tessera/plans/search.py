@@ -94,9 +94,16 @@ def vector(rows: DataFrame, query: list[float], k: int) -> DataFrame:
     return R.ranked(R.knn(rows, query, k).withColumn("query_id", F.lit(0)))
 
 
+def projected(items: DataFrame) -> DataFrame:
+    """Items as results show them: captions and summaries repaired, tags as a list."""
+    caption, summary = X.repaired(F.col("caption"), F.col("summary"))
+    listed = {"tags": X.tags(F.col("tags"))} if items.schema["tags"].dataType.typeName() == "string" else {}
+    return items.withColumns({"caption": caption, "summary": summary, **listed})
+
+
 def attach(index: Index, rows: DataFrame) -> DataFrame:
     """Results with their items' columns, scores to six places; ids without an item go."""
-    return index.items.join(F.broadcast(rows.withColumn("score", F.round("score", 6))), "id")  # a result list of 200 rows at most
+    return projected(index.items.join(F.broadcast(rows.withColumn("score", F.round("score", 6))), "id"))  # a result list of 200 rows at most
 
 
 def corrected(rows: DataFrame, intent: I.Intent, body: Column) -> list[str]:
