@@ -315,6 +315,17 @@ def fallback_top2(spark: SparkSession, sf: str) -> DataFrame:
     return C.fallback(_lists(spark, sf), ["click"], F.col("event_type")).select("query_id", "id", "place", "mode")
 
 
+@query(
+    r"""WITH a AS (SELECT conv_id AS id, arg_max(text, turn) AS answer FROM conversations GROUP BY conv_id), n AS (SELECT DISTINCT id, unnest(list_concat(regexp_extract_all(answer, '\d+(?:\.\d+)?'), list_filter(regexp_extract_all(answer, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{2,}')))) AS needle FROM a)
+    SELECT n.id AS id, needle, min(turn) AS pos FROM n JOIN conversations c ON c.conv_id = n.id AND contains(c.text, needle) GROUP BY n.id, needle"""
+)
+def region_highlight(spark: SparkSession, sf: str) -> DataFrame:
+    """The first turn that holds each number or name of a conversation's last one."""
+    c = load(spark, sf, "conversations")
+    answers = c.groupBy(F.col("conv_id").alias("id")).agg(F.max_by("text", "turn").alias("answer"))
+    return C.region_highlight(answers, c.select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), "text"))
+
+
 def _measured(pairs: DataFrame) -> DataFrame:
     """Metrics of two modes: in order of id, and the same five ranks further down."""
     from pyspark.sql.window import Window

@@ -316,3 +316,26 @@ def test_moves_resolvers_and_sinks(spark, tmp_path):
     for _ in range(2):  # a replay writes the batch anew
         telemetry.emit(log, str(tmp_path / "sink"), str(tmp_path / f"ck3{_}")).trigger(availableNow=True).start().awaitTermination(60)
     assert spark.read.json(str(tmp_path / "sink")).count() == 4
+
+
+def test_logs_and_explain(spark, tmp_path, items, vectors):
+    index = S.build(items, vectors, vectors)
+    rows = S.explain(index, "red car", [1.0, 0.0])
+    assert rows.count() <= 5 and {"fuzzy", "semantic_overlap", "attribute_score", "relation_score", "presence_score"} <= set(rows.columns)
+    for _ in range(2):
+        S.log_search(rows, "red car", "auto", str(tmp_path / "searches"))
+    logged = spark.read.parquet(str(tmp_path / "searches")).collect()
+    assert len(logged) == 2 and logged[0]["result_ids"] == [str(i) for i in ids(rows)] and logged[0]["routing"] == "auto"
+    api.log_activity(spark, str(tmp_path / "activity"), "search", {"query": "red car"})
+    api.log_activity(spark, str(tmp_path / "activity"), "open", {})
+    assert {r["type"]: json.loads(r["details"]) for r in spark.read.parquet(str(tmp_path / "activity")).collect()} == {"search": {"query": "red car"}, "open": {}}
+
+
+def test_compare_and_counters(spark, items, vectors):
+    rows, prompt = S.compared(S.build(items, vectors, vectors), "red car", [1.0, 0.0])
+    assert rows.count() == 2 and prompt.startswith("A: a red car on a road. street\nB: ")
+    parts = [spark.createDataFrame([(a,) for a in x], "action string") for x in (["new", "new", "failed"], ["duplicate", "relink", "new"])]
+    assert tuple(G.counters(parts).first()) == (3, 1, 1, 1)
+    runs = spark.createDataFrame([("text", "a", 1, "x", 0.5), ("text", "a", 2, "y", 0.25), ("text", "a", 9, "z", 0.0)], "mode string, case_id string, rank int, id string, score double")
+    cases = E.with_similarity(E.case_metrics(runs, spark.createDataFrame([("a", "x"), ("b", "q")], "case_id string, id string")), runs)
+    assert {r["case_id"]: r["similarity"] for r in cases.collect()} == {"a": 0.375, "b": 0.0} and E.mode_metrics(cases).first()["similarity"] == 0.1875
