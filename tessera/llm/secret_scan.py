@@ -27,16 +27,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 FINDINGS = 6_000
 TREES, DEPTH, SEED = 24, 8, 7
 CUT = 0.5
 WINDOW, LEAST, DICTIONARY = 48, 16, 400
 CREDENTIAL = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"
-#: A value assigned to a credential's name, or a long run of key characters with a digit; base64 may end in '='.
-PATTERN = rf"(?i)(?<=\b{CREDENTIAL}[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)[^\s\"'<>,;=:]{{6,128}}+|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{LEAST},}}+={{0,2}}"
-NEEDS = rf"(?i){CREDENTIAL}|[A-Za-z0-9+/_-]{{{LEAST}}}"
+#: A long run of key characters with a digit (base64 may end in '='), and a value assigned to a credential's name.
+LONG = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{LEAST},}}+={{0,2}}"
+VALUE = rf"(?i)(?<=\b{CREDENTIAL}[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)(?<![^\s\"':=])[^\s\"'<>,;=:]{{6,128}}+"
 FEATURES = ["size", "entropy", "changes", "likely", "kinds", "digits", "upper", "hex", "symbols", "covered", "assigned", "named", "against", "quoted", "named_after", "against_after", "config"]
-SPAN = "array<struct<start:int,end:int,found:string,before:string,after:string>>"
+SPAN = "array<struct<start:int,end:int,found:string>>"
 
 
 @dataclass
@@ -54,6 +56,7 @@ def _codes(text: Column) -> Column:
 def learn_words(df: DataFrame, text: str = "text", most: int = DICTIONARY) -> Words:
     """Counts over all words of all texts; the driver gets 729 transitions and ``most`` words."""
     words = df.select(F.explode(F.split(F.lower(F.col(text)), "[^a-z]+")).alias("word")).where("length(word) between 3 and 24").groupBy("word").agg(F.count("*").alias("n"))
+    words = written(words, "words")
     pairs = words.select(F.expr("explode(transform(sequence(1, length(word) - 1), i -> 27 * (ascii(substring(word, i, 1)) - 97) + ascii(substring(word, i + 1, 1)) - 97))").alias("pair"), "n")
     counts = {r[0]: r[1] for r in pairs.groupBy("pair").agg(F.sum("n")).collect()}
     table = []
@@ -67,15 +70,26 @@ def learn_words(df: DataFrame, text: str = "text", most: int = DICTIONARY) -> Wo
 def candidates(df: DataFrame, keys: list[str], words: Words, text: str = "text", source: str | None = "source") -> DataFrame:
     """``keys``, start, end, found and FEATURES of every candidate."""
     path = F.col(source) if source else F.lit(None).cast("string")
-    df = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(path, F.lit("")).alias("path")).where(F.col("t").rlike(NEEDS))
-    df = df.select("*", F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0)).alias("m")).where("size(m) > 0").select("*", F.split("t", PATTERN, -1).alias("p"))
-    every = F.expr(
-        f"""aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'out', cast(array() as {SPAN})),
-          (a, i) -> named_struct('at', a.at + length(p[i]) + length(m[i]), 'out', concat(a.out, array(named_struct(
-            'start', a.at + length(p[i]), 'end', a.at + length(p[i]) + length(m[i]), 'found', m[i],
-            'before', right(p[i], {WINDOW}), 'after', left(p[i + 1], {WINDOW}))))), a -> a.out)"""
+    df = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(path, F.lit("")).alias("path"))
+    none = F.array().cast("array<string>")
+    # dear patterns run behind cheap ones, and values only where something is assigned
+    assigns = F.when(F.col("t").contains("=") | F.col("t").contains(":"), F.col("t").rlike(rf"(?i){CREDENTIAL}[\"']?\s{{0,2}}[:=]"))
+    df = df.select(
+        "*",
+        F.when(F.col("t").rlike(f"[A-Za-z0-9+/_-]{{{LEAST}}}"), F.regexp_extract_all("t", F.lit(LONG), F.lit(0))).otherwise(none).alias("long_m"),
+        F.when(assigns, F.regexp_extract_all("t", F.lit(VALUE), F.lit(0))).otherwise(none).alias("value_m"),
+    ).where("size(long_m) + size(value_m) > 0")
+    df = df.select("*", *[F.when(F.size(f"{k}_m") > 0, F.split("t", pattern, -1)).otherwise(none).alias(f"{k}_p") for k, pattern in (("long", LONG), ("value", VALUE))])
+    spans = lambda k: F.expr(
+        f"""CASE WHEN size({k}_m) > 0 THEN aggregate(sequence(0, size({k}_m) - 1), named_struct('at', 0, 'out', cast(array() as {SPAN})),
+          (a, i) -> named_struct('at', a.at + length({k}_p[i]) + length({k}_m[i]), 'out', concat(a.out, array(named_struct(
+            'start', a.at + length({k}_p[i]), 'end', a.at + length({k}_p[i]) + length({k}_m[i]), 'found', {k}_m[i])))), a -> a.out) ELSE cast(array() as {SPAN}) END"""
     )
-    rows = df.select(*keys, "path", F.explode(every).alias("c")).select(*keys, "path", "c.*")
+    df = df.select(*keys, "path", "t", spans("long").alias("runs"), spans("value").alias("values_"))
+    every = F.expr("concat(values_, filter(runs, r -> NOT exists(values_, v -> v.start < r.end AND r.start < v.end)))")
+    rows = df.select(*keys, "path", "t", F.explode(every).alias("c")).select(*keys, "path", "t", "c.*")
+    around = [F.expr(f"substring(t, greatest(start - {WINDOW}, 0) + 1, least(start, {WINDOW}))").alias("before"), F.expr(f"substring(t, end + 1, {WINDOW})").alias("after")]
+    rows = rows.select(*keys, "path", "start", "end", "found", *around)
     rows = rows.select("*", F.length("found").cast("double").alias("size"), F.expr("array_distinct(split(found, ''))").alias("chars"), _codes(F.col("found")).alias("codes"))
     share = lambda cls: F.length(F.regexp_replace("found", f"[^{cls}]", "")) / F.col("size")
     flag = lambda column, pattern: F.col(column).rlike(pattern).cast("double")
