@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.models import query_vector
 from tessera.functions.text import label_cleanup
 from tessera.operators.analytics import cluster_items, cluster_sizes, collection_filter, kmeans, page, timeline, timeline_stats  # noqa: F401
 from tessera.operators.evalkit import case_metrics, gates, mode_metrics, with_similarity  # noqa: F401
 from tessera.operators.ingest import counters, dedup, fs_diff, note_vectors, pending_notes, progress, reembed_images, reembed_targets, relinked, replace, upsert, upsert_into  # noqa: F401
 from tessera.plans.chat import reply as chat  # noqa: F401
+from tessera.plans.search import Index
 from tessera.plans.search import batch as search_batch  # noqa: F401
 from tessera.plans.search import build as build_index  # noqa: F401
 from tessera.plans.search import compared as compare  # noqa: F401
@@ -94,6 +96,20 @@ def rescan(spark, paths: DataFrame, indexed: DataFrame, exclude: list[str] | Non
     return dedup(files.select(F.col("sha256_hash").alias("hash"), "path"), indexed)
 
 
+def evaluate(index: Index, cases: DataFrame, embedder: str, modes: tuple[str, ...] = ("clip", "text", "hybrid"), k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Runs (mode, case_id, rank, id, score) of labelled cases (id, query, relevant_image_ids) in every forced mode, and the
+    metrics by mode. A fixture has a few dozen cases; each is a search of its own."""
+    runs = []
+    for case in cases.select("id", "query").collect():
+        vector = list(query_vector(embedder, case["query"]))
+        for mode in modes:
+            rows = forced(index, case["query"], vector, mode, k)
+            runs.append(rows.select(F.lit(mode).alias("mode"), F.lit(case["id"]).alias("case_id"), "rank", F.col("id").cast("string").alias("id"), "score"))
+    every = reduce(DataFrame.unionByName, runs)
+    relevant = cases.select(F.col("id").alias("case_id"), F.explode("relevant_image_ids").alias("id"))
+    return every, mode_metrics(with_similarity(case_metrics(every, relevant), every))
+
+
 def cluster_labels(clusters: DataFrame, items: DataFrame, assignments: DataFrame, label: Callable[[Column], Column], most: int = 5) -> DataFrame:
     """Clusters with a label made of the captions of their ``most`` innermost items; ``label`` is a model as a Column builder."""
     near = assignments.withColumn("nth", F.row_number().over(Window.partitionBy("cluster_id").orderBy("distance", "item_id"))).where(F.col("nth") <= most)

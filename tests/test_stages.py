@@ -339,3 +339,26 @@ def test_compare_and_counters(spark, items, vectors):
     runs = spark.createDataFrame([("text", "a", 1, "x", 0.5), ("text", "a", 2, "y", 0.25), ("text", "a", 9, "z", 0.0)], "mode string, case_id string, rank int, id string, score double")
     cases = E.with_similarity(E.case_metrics(runs, spark.createDataFrame([("a", "x"), ("b", "q")], "case_id string, id string")), runs)
     assert {r["case_id"]: r["similarity"] for r in cases.collect()} == {"a": 0.375, "b": 0.0} and E.mode_metrics(cases).first()["similarity"] == 0.1875
+
+
+def test_evaluation_of_modes(spark, items, vectors):
+    M.register_embedder("axes", lambda: lambda texts: [[1.0, 0.0] if "red" in t else [0.0, 1.0] for t in texts])
+    index = S.build(items, vectors, vectors.select("id", F.reverse("embedding").alias("embedding")))
+    cases = spark.createDataFrame([("c1", "red car", ["1"]), ("c2", "blue car", ["3"])], "id string, query string, relevant_image_ids array<string>")
+    runs, metrics = api.evaluate(index, cases, "axes", ("clip", "text"), 2)
+    got = {r["mode"]: (r["recall"], r["hit_rate"], r["failed"], r["cases"]) for r in metrics.collect()}
+    assert got == {"clip": (1.0, 1.0, 0, 2), "text": (0.0, 0.0, 2, 2)} and runs.where("rank = 1 and mode = 'clip' and case_id = 'c2'").first()["id"] == "3"
+
+
+def test_kmeans_is_a_fixed_point(spark):
+    """Every vector is nearest to its own centre, every centre is the mean of its vectors, and separate groups are found."""
+    rows = [(i, [10.0 * (i % 3) + (i % 5) / 10, 5.0 * (i % 3) - (i % 7) / 10]) for i in range(60)]
+    placed, centres = A.kmeans(spark.createDataFrame(rows, "id long, embedding array<double>"), 3)
+    at, mean = {r["id"]: (r["cluster_id"], r["distance"]) for r in placed.collect()}, {r["cluster_id"]: list(r["centroid"]) for r in centres.collect()}
+    apart = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
+    for i, v in rows:
+        assert min(mean, key=lambda c: apart(v, mean[c])) == at[i][0] and at[i][1] == pytest.approx(apart(v, mean[at[i][0]]))
+        assert at[i][0] == at[i % 3][0]
+    for c, m in mean.items():
+        own = [v for i, v in rows if at[i][0] == c]
+        assert m == pytest.approx([sum(x) / len(own) for x in zip(*own)])
