@@ -89,10 +89,15 @@ def let_go() -> None:
     """Give the memory of the worker's table back to the system: workers live on from one stage to the next."""
     if _held:
         _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if hasattr(_libc, "malloc_trim"):
-            _libc.malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give memory that is free in this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def crc32_of_id(col: Column) -> Column:

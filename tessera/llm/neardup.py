@@ -13,7 +13,8 @@
 
 Nothing but counts reaches the driver. A row with null, empty or wordless text has an empty set and links with
 nothing; a null doc_id is in no component (null) and kept; repeated rows are equal sets; rows of one doc_id with
-unlike texts are linked each by its own text; an empty table gives an empty one; other columns aren't read.
+unlike texts are linked each by its own text; very long texts are shingled whole, one at a time; ties between ids go to
+the smallest; an empty table gives an empty one; other columns aren't read, and pass through ``one_of_each``.
 """
 
 from __future__ import annotations

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, crc32_of_id, held, written
+from .common import bounded_ids, crc32_of_id, held, trim, written
 
 TRAIN_BOUND = 10_000  # labelled rows of each class
 LEXICON_BOUND, STEM_BOUND = 5_000, 1_000
@@ -369,6 +369,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         table_ = np.asarray(sorted(map(tuple, data)), float).reshape(-1, 6)
         if len(table_):
             model.coefficients = logistic(table_[:, 1:], table_[:, 0])
+        for sent_out in (sent, current):
+            sent_out.unpersist()
+    known.unpersist()
+    trim()  # the driver's
     return model
 
 
