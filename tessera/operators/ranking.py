@@ -101,18 +101,31 @@ def cross_rerank(rows: DataFrame, logit: Column, depth: int, weight: float = 0.4
     return rows.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def fuzzy_score(terms: list[str], text: Column, threshold: float = 0.84) -> Column:
-    """Mean over the terms of their best likeness to a word of ``text``, where that reaches the threshold."""
+LIKE = 0.84  # the least likeness that any score counts
+
+
+def likeness(term: str, text: Column, least: float = LIKE) -> Column:
+    """The best likeness of a term to a word of ``text``; 0 under ``least``."""
+    words = F.filter(X.unicode_tokens(text), lambda w: F.length(w) >= 2)
+    # a word whose length alone rules out the threshold is not compared
+    near = F.filter(words, lambda w: (2.0 * F.least(F.length(w), F.lit(len(term))) / (F.length(w) + len(term)) >= least) | (F.substring(w, 1, 1) == term[0]))
+    top = F.coalesce(F.array_max(F.transform(near, lambda w: X.pair_similarity(F.lit(term), w))), F.lit(0.0))
+    return F.when(F.array_contains(words, term), 1.0).when(top >= least, top).otherwise(0.0)
+
+
+def fuzzy_score(terms: list[str], text: Column, threshold: float = LIKE, known: dict[str, Column] | None = None) -> Column:
+    """Mean over the terms of their best likeness to a word of ``text``, where that reaches the threshold.
+
+    ``known`` has the likeness of terms (at LIKE or less) where it is computed already.
+    """
     asked = [t for t in dict.fromkeys(terms) if len(t) >= 2]
     if not asked:
         return F.lit(0.0)
-    words = F.filter(X.unicode_tokens(text), lambda w: F.length(w) >= 2)
 
     def best(term: str) -> Column:
-        # a word whose length alone rules out the threshold is not compared
-        near = F.filter(words, lambda w: (2.0 * F.least(F.length(w), F.lit(len(term))) / (F.length(w) + len(term)) >= threshold) | (F.substring(w, 1, 1) == term[0]))
-        top = F.coalesce(F.array_max(F.transform(near, lambda w: X.pair_similarity(F.lit(term), w))), F.lit(0.0))
-        return F.when(F.array_contains(words, term), 1.0).when(top >= threshold, top).otherwise(0.0)
+        if known and term in known and threshold >= LIKE:
+            return F.when(known[term] >= threshold, known[term]).otherwise(0.0)
+        return likeness(term, text, threshold)
 
     return reduce(lambda a, b: a + b, map(best, asked)) / len(asked)
 
@@ -131,7 +144,7 @@ def corrections(vocab: DataFrame, terms: list[str], threshold: float = 0.84) ->
     return rows.groupBy("term").agg(F.min_by("token", F.struct(-F.col("ratio"), F.col("token"))).alias("correction"), F.max("ratio").alias("ratio"))
 
 
-def fuzzy_rank(rows: DataFrame, terms: list[str], text: Column, alpha: float = 0.85, beta: float = 0.15, threshold: float = 0.84, least: float = 0.0, typos: bool = False, hybrid: bool = False) -> DataFrame:
+def fuzzy_rank(rows: DataFrame, terms: list[str], text: Column, alpha: float = 0.85, beta: float = 0.15, threshold: float = 0.84, least: float = 0.0, typos: bool = False, hybrid: bool = False, known: dict[str, Column] | None = None) -> DataFrame:
     """Semantic and fuzzy likeness combined: the typo-tolerant rerank."""
     if not typos:
         alpha = max(alpha, 0.9)
@@ -139,7 +152,7 @@ def fuzzy_rank(rows: DataFrame, terms: list[str], text: Column, alpha: float = 0
     top = F.max("score").over(Window.partitionBy(QUERY))
     vector = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / F.when(top > 0, top).otherwise(1.0)))
     support = F.when(F.coalesce(F.col("text_score"), F.lit(0.0)) != 0, F.col("text_score")).otherwise(F.col("vector")) if "text_score" in rows.columns else F.col("vector")
-    rows = rows.withColumn("fuzzy", fuzzy_score(terms, text, threshold)).withColumn("vector", vector)
+    rows = rows.withColumn("fuzzy", fuzzy_score(terms, text, threshold, known)).withColumn("vector", vector)
     a, b = (0.3, 0.7) if hybrid else (0.85, 0.15)
     final = alpha * (a * F.col("vector") + b * support) + beta * F.col("fuzzy")
     final = F.when(final < least, final * 0.95).otherwise(final)
@@ -161,31 +174,31 @@ SYNONYMS = {"car": ["suv", "vehicle", "automobile", "sedan", "hatchback"], "bike
 PERSON = ["person", "people", "man", "men", "woman", "women", "couple", "boy", "girl", "male", "female"]
 
 
-def intent_rank(rows: DataFrame, intent, text: Column, entity_tokens: Column | None = None, evidence: Column | None = None, w_retrieval: float = 0.6, w_attribute: float = 0.2, w_relation: float = 0.2, penalty: float = 0.35, boosts: tuple = (0.20, 0.20, 0.12), presence_required: bool = False) -> DataFrame:
+def intent_rank(rows: DataFrame, intent, text: Column, entity_tokens: Column | None = None, evidence: Column | None = None, w_retrieval: float = 0.6, w_attribute: float = 0.2, w_relation: float = 0.2, penalty: float = 0.35, boosts: tuple = (0.20, 0.20, 0.12), presence_required: bool = False, known: dict[str, Column] | None = None) -> DataFrame:
     """Rerank by what the query asks for: overlap, attributes (colour, pattern and activity boosts), relations, presence."""
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     top = F.max("score").over(Window.partitionBy(QUERY))
     words = F.array_distinct(X.ascii_tokens(text))
-    known = F.array_union(words, entity_tokens) if entity_tokens is not None else words
-    attribute = fuzzy_score(intent.attribute_terms, text)
+    named = F.array_union(words, entity_tokens) if entity_tokens is not None else words
+    attribute = fuzzy_score(intent.attribute_terms, text, known=known)
     for boost, terms, threshold in zip(boosts, (intent.colors, intent.patterns, intent.activity_terms), (0.88, 0.88, 0.84)):
         if terms:
-            attribute = attribute + boost * fuzzy_score(terms, text, threshold)
+            attribute = attribute + boost * fuzzy_score(terms, text, threshold, known)
     relation = F.lit(0.0)
     if intent.relation_terms:
-        relation = fuzzy_score(intent.relation_terms, text, 0.90)
+        relation = fuzzy_score(intent.relation_terms, text, 0.90, known)
         if evidence is not None:
             relation = F.greatest(relation, F.coalesce(F.array_max(evidence), F.lit(0.0)))
     if intent.presence_terms:
-        hits = [F.arrays_overlap(known, F.array(*map(F.lit, [t, *SYNONYMS.get(t, [])]))).cast("double") for t in intent.presence_terms]
+        hits = [F.arrays_overlap(named, F.array(*map(F.lit, [t, *SYNONYMS.get(t, [])]))).cast("double") for t in intent.presence_terms]
         presence = reduce(lambda a, b: a + b, hits) / len(hits)
     else:
         presence = F.lit(0.0 if presence_required else 1.0)
     if intent.require_person:
-        person = F.arrays_overlap(known, F.array(*map(F.lit, PERSON)))
+        person = F.arrays_overlap(named, F.array(*map(F.lit, PERSON)))
         presence = F.when(person, F.greatest(presence, F.lit(1.0))).otherwise(F.least(presence, F.lit(0.25)))
     rows = rows.withColumns({"vector_similarity": clamp(F.col("score") / F.when(top > 0, top).otherwise(1.0)), "attribute_score": clamp(attribute), "relation_score": relation, "presence_score": presence})
-    rows = rows.withColumn("semantic_overlap", fuzzy_score([*intent.retrieval_terms, *intent.attribute_terms, *intent.relation_terms], text))
+    rows = rows.withColumn("semantic_overlap", fuzzy_score([*intent.retrieval_terms, *intent.attribute_terms, *intent.relation_terms], text, known=known))
     final = w_retrieval * F.col("vector_similarity") + (1 - w_retrieval) * F.col("semantic_overlap") + w_attribute * F.col("attribute_score") + w_relation * F.col("relation_score") + 0.5 * w_attribute * F.col("presence_score")
     if presence_required and intent.presence_terms:
         cut = max(penalty, 0.60) if intent.attribute_terms and intent.retrieval_terms else penalty
@@ -193,12 +206,12 @@ def intent_rank(rows: DataFrame, intent, text: Column, entity_tokens: Column | N
     return reranked(rows.withColumn("score", F.round(final, 6)))
 
 
-def compatibility_rank(rows: DataFrame, intent, text: Column, w_appearance: float = 0.14, w_activity: float = 0.12, missing: float = 0.40) -> DataFrame:
+def compatibility_rank(rows: DataFrame, intent, text: Column, w_appearance: float = 0.14, w_activity: float = 0.12, missing: float = 0.40, known: dict[str, Column] | None = None) -> DataFrame:
     """An earlier rerank by intent, with weights of its own; lists without constraints stay as they are."""
     if not intent.has_constraints:
         return rows
     both = w_appearance + w_activity
-    return intent_rank(rows, intent, text, w_retrieval=max(0.45, 1 - both), w_attribute=both, w_relation=0.20, penalty=missing, boosts=(w_appearance, w_appearance, w_activity), presence_required=True)
+    return intent_rank(rows, intent, text, w_retrieval=max(0.45, 1 - both), w_attribute=both, w_relation=0.20, penalty=missing, boosts=(w_appearance, w_appearance, w_activity), presence_required=True, known=known)
 
 
 WEIGHTS = (0.45, 0.25, 0.20, 0.10)

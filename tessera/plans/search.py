@@ -106,6 +106,15 @@ def attach(index: Index, rows: DataFrame) -> DataFrame:
     return projected(index.items.join(F.broadcast(rows.withColumn("score", F.round("score", 6))), "id"))  # a result list of 200 rows at most
 
 
+def local(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """A list of results, computed now and held by the plan itself, so that no later stage reads the index again.
+
+    Lists are cut to some 200 rows before they come here; a longer one than ``most`` is left as it is.
+    """
+    held = rows.limit(most + 1).collect()
+    return rows.sparkSession.createDataFrame(held, rows.schema) if len(held) <= most else rows
+
+
 def corrected(rows: DataFrame, intent: I.Intent, body: Column) -> list[str]:
     """Words of the candidates that misspelt words of the query stand for; the list of candidates is bounded."""
     long = [t for t in intent.tokens if len(t) >= 5]
@@ -120,9 +129,15 @@ def rerank(index: Index, rows: DataFrame, query: str, intent: I.Intent, policy:
     more = corrected(rows, intent, index.body())
     alpha, beta = FUZZY.get(policy.query_type, (0.8, 0.2))
     hybrid = "source" in rows.columns and rows.select("source").limit(1).collect() == [("hybrid",)]
-    rows = R.fuzzy_rank(rows, I.distinct([*intent.tokens, *more]), index.body(), alpha=alpha, beta=beta, typos=bool(more), hybrid=hybrid)
-    rows = R.compatibility_rank(rows, intent, index.body())
-    return R.intent_rank(rows, intent, index.body(), w_retrieval=RETRIEVAL.get(policy.query_type, 0.60), penalty=policy.penalty, presence_required=policy.presence_required)
+    # every term is held against the words of the list once
+    terms = I.distinct([*intent.tokens, *more])
+    every = [t for t in I.distinct([*terms, *intent.retrieval_terms, *intent.attribute_terms, *intent.relation_terms]) if len(t) >= 2]
+    names = {t: f"like_{i}" for i, t in enumerate(every)}
+    rows = local(rows.withColumns({names[t]: R.likeness(t, index.body()) for t in every})) if every else rows
+    known = {t: F.col(name) for t, name in names.items()}
+    rows = R.fuzzy_rank(rows, terms, index.body(), alpha=alpha, beta=beta, typos=bool(more), hybrid=hybrid, known=known)
+    rows = R.compatibility_rank(rows, intent, index.body(), known=known)
+    return R.intent_rank(rows, intent, index.body(), w_retrieval=RETRIEVAL.get(policy.query_type, 0.60), penalty=policy.penalty, presence_required=policy.presence_required, known=known).drop(*names.values())
 
 
 def confidence(index: Index, rows: DataFrame, query: str) -> DataFrame:
@@ -189,7 +204,7 @@ def run(
         reason = "words of the query"
         found = _hybrid(index, vector_query, deep, policy) if route == "hybrid" else vector(index.clip if route == "clip" else index.text, vector_query, deep)
     else:
-        listed = keyword(index, query, depth)
+        listed = local(keyword(index, query, depth))
         hits = listed.count()
         over = hits > (fallback if strategy == "legacy" else HARD_CUTOFF)
         if over:
@@ -199,7 +214,7 @@ def run(
         else:
             found = R.fuse_rrf(listed, vector(index.text, vector_query, depth)).select("query_id", "id", "score", "rank")
             route, reason = "keyword+semantic_hybrid", f"{hits} keyword hits"
-    rows = R.reranked(R.quality_penalty(attach(index, found)))
+    rows = local(R.reranked(R.quality_penalty(attach(index, found))))
     if query and index.scorer and image is None:
         n = rows.count()  # a result list
         pre = Window.partitionBy("query_id")
@@ -231,9 +246,8 @@ def forced(index: Index, query: str, vector_query: list[float], mode: str, k: in
         found = vector(index.clip if mode == "clip" else index.text, vector_query, deep)
     else:
         raise ValueError("mode is clip, text or hybrid")
-    rows = attach(index, found)
-    rows = R.reranked(rows).where(F.col("rank") <= k)  # the first k that have an item
-    return rerank(index, R.reranked(R.quality_penalty(rows)), query, intent, policy)
+    rows = R.reranked(attach(index, found)).where(F.col("rank") <= k)  # the first k that have an item
+    return rerank(index, local(R.reranked(R.quality_penalty(rows))), query, intent, policy)
 
 
 def explain(index: Index, query: str, vector_query: list[float] | None = None) -> DataFrame:
