@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_main, importance, media_ts, neardup, packing, pii, quality_rules, secret_scan, toxicity
+from . import bpe, conversation_repair, digest, html_main, importance, media_ts, neardup, packing, pii, quality_rules, secret_scan, simhash, toxicity
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_report(spark, sf_dir)
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(table(spark, sf_dir, "documents"), width=3, distance=2)
+
+
+def op13_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.shop_quantiles(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_media_columns,
         op9_quality_classifier,
         op10_bpe,
+        op11_conversation_repair,
+        op12_simhash_near_dedup,
+        op13_quantile_summaries,
     )
 }
 # Sets of shingles, all pairs that share one, and who reaches whom.
