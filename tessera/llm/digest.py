@@ -206,8 +206,9 @@ def ranks(counts: DataFrame, keys: list[str], least_rows: int) -> DataFrame:
 
 def streams(clicks: DataFrame, lines: DataFrame, items: DataFrame, batches: int = 16) -> DataFrame:
     """(stream, grp, batch, x, c): the two streams of the shop, counted by value. Rows without an id have no batch and are left out."""
-    once = clicks.where("click_id is not null").groupBy("click_id").agg(F.min(F.struct("client_id", "value")).alias("v"))
-    value = once.select(F.lit("value").alias("stream"), F.col("v.client_id").cast("string").alias("grp"), F.col("click_id").alias("id"), F.col("v.value").alias("money"), F.lit(1).cast("long").alias("k"))
+    # rows of one click_id repeat one another; if they don't, the least client and the least value count
+    once = clicks.where("click_id is not null").groupBy("click_id").agg(F.min("client_id").alias("client_id"), F.min("value").alias("value"))
+    value = once.select(F.lit("value").alias("stream"), F.col("client_id").cast("string").alias("grp"), F.col("click_id").alias("id"), F.col("value").alias("money"), F.lit(1).cast("long").alias("k"))
     # lines are counted by item and vendor first, so that a hot item is a few rows when it meets its price
     sold = lines.where("item_id is not null and vendor_id is not null").groupBy("item_id", "vendor_id").agg(F.count("*").alias("k"))
     priced = sold.join(items.select("item_id", "brand", "price").hint("merge"), "item_id")
@@ -215,19 +216,19 @@ def streams(clicks: DataFrame, lines: DataFrame, items: DataFrame, batches: int
     rows = value.unionByName(price).where("grp is not null and money is not null and not isnan(money)")
     batch = (crc32_of_id(F.col("id")) % batches).cast("int")
     x = F.floor(100 * F.col("money") + 0.5).cast("long") + 1000 * batch
-    return rows.select("stream", "grp", batch.alias("batch"), x.alias("x"), "k").groupBy("stream", "grp", "batch", "x").agg(F.sum("k").alias("c"))
+    return rows.select("stream", "grp", batch.alias("batch"), x.alias("x"), "k").groupBy("grp", "batch", "stream", "x").agg(F.sum("k").alias("c"))
 
 
 def quantile_report(clicks: DataFrame, lines: DataFrame, items: DataFrame, of: int = 20, least_rows: int = 20) -> DataFrame:
     """Summaries of every batch, merged into the whole (batch -1), their answers, and the exact ranks of these."""
-    keys = ["stream", "grp", "batch"]
+    keys = ["grp", "batch", "stream"]  # what tells rows apart first: sorts compare it first
     counts = written(streams(clicks, lines, items), "counts")
     parts = written(summarised(counts, keys), "summaries")
-    whole = merged(parts, ["stream", "grp"]).withColumn("batch", F.lit(-1))
-    answers = quantiles(parts, keys, of, least_rows).unionByName(quantiles(whole, keys, of, least_rows))
+    whole = merged(parts, ["grp", "stream"]).withColumn("batch", F.lit(-1))
+    answers = quantiles(parts, keys, of, least_rows).unionByName(quantiles(whole.select(*parts.columns), keys, of, least_rows))
     answers = answers.withColumn("answer", F.col("answer").cast("long")).drop("n", "target")
 
-    every = counts.groupBy("stream", "grp", "x").agg(F.sum("c").alias("c")).withColumn("batch", F.lit(-1))
+    every = counts.groupBy("grp", "stream", "x").agg(F.sum("c").alias("c")).withColumn("batch", F.lit(-1))
     exact = written(ranks(counts.unionByName(every), keys, least_rows), "ranks")
     i = F.explode(F.filter(F.sequence(F.lit(1), F.lit(of - 1)), lambda i: (F.ceil(i * F.col("n") / of) > F.col("below")) & (F.ceil(i * F.col("n") / of) <= F.col("below") + F.col("c"))))
     true = exact.select(*keys, "n", F.col("x").alias("exact_x"), i.alias("i")).withColumn("target", F.ceil(F.col("i") * F.col("n") / of))
