@@ -24,8 +24,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import fresh, held, written
+from .common import fresh, written
 
 BANDS, ROWS = 28, 5
 K = BANDS * ROWS
@@ -35,31 +36,12 @@ SMALL, LEADERS, BLOCK, CONSENSUS = 16, 1, 512, 64
 _CHANCE = 1 / (1 << BITS)
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _rng.integers(0, 2**31, K, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, K, np.uint64).astype(np.uint32)
 _LONG_A = _rng.integers(0, 2**31, LONG, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _LONG_B = _rng.integers(0, 2**32, LONG, np.uint64).astype(np.uint32)
+_ORDER = np.uint64(0x9E3779B97F4A7C15)
 _BAND = _rng.integers(1, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
-_POWERS = 1 << 20
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _BACK):
-        steps = np.full(n, base, np.uint64)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; those for texts over _POWERS bytes are made for the text and let go."""
-    return held("powers", lambda: _powers(_POWERS)) if n <= _POWERS else _powers(n)
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
@@ -67,22 +49,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word shingles; A-Z in lower case; all words if there are fewer."""
+    """Sorted distinct 64-bit hashes of the ``width``-word shingles; A-Z in lower case; all words if there are fewer.
+
+    Each word is hashed by XXH64, and a shingle mixes the hashes of its words in their order.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    if len(words) >= width:
-        starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    return np.unique(_mix((total[ends] - total[starts]) * down[starts]))
+    each = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    width = min(width, len(words))
+    count = len(words) - width + 1
+    out = np.full(count, width, np.uint64)
+    for i in range(width):
+        out = _mix(out * _ORDER + each[i : i + count])
+    return np.unique(out)
 
 
 def minima(hashes: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
