@@ -36,7 +36,7 @@ WINDOW, LEAST, DICTIONARY = 48, 16, 400
 CREDENTIAL = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"
 #: A long run of key characters with a digit (base64 may end in '='), and a value assigned to a credential's name.
 LONG = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{LEAST},}}+={{0,2}}"
-VALUE = rf"(?i)(?<=\b{CREDENTIAL}[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)(?<![^\s\"':=])[^\s\"'<>,;=:]{{6,128}}+"
+VALUE = rf"(?i)(?<=\b{CREDENTIAL}[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)(?<![^\s\"':=])[^\s\"'<>,;=:]{{6,}}+"
 FEATURES = ["size", "entropy", "changes", "likely", "kinds", "digits", "upper", "hex", "symbols", "covered", "assigned", "named", "against", "quoted", "named_after", "against_after", "config"]
 SPAN = "array<struct<start:int,end:int,found:string>>"
 
