@@ -12,7 +12,7 @@ go are those under any substring of RUN tokens or more that a suffix array with
 
 The suffixes are ordered by a shuffle on (host, hash) in which each task sends one row for a key, so a host with a
 third of all pages is spread like any other. Null html counts as empty and gives an empty text; a null or odd url
-has the host ''; repeated rows count as one page and get the same text, ties don't arise; an empty table gives an
+has the host ''; pages of equal html count as one page and get the same text, ties don't arise; an empty table gives an
 empty one; very long pages are read whole, one at a time, in time linear in their length; other columns are not read.
 """
 
@@ -37,10 +37,13 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes".split())
 CHROME_TAGS = frozenset("head nav header footer aside form dialog menu select option optgroup datalist button template".split())
-#: Words of class and id that name furniture wherever they stand in one.
+#: Words of class and id that name furniture, alone or with OBJECTS or PARTS; with other words they only hint at it, in an article.
 STRONG = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter subscribe signup comment comments disqus replies".split())
 #: Words that name it alone, or with one of OBJECTS; with other words they only hint at it, in an article.
 WEAK = frozenset("banner notice notices overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead reply share sharing social related widget toolbar login search form pagination pager copyright".split())
+PARTS = frozenset("slot unit zone body content text author meta thread form count header footer title inner label top bottom left right main page user reader site sticky inline mobile desktop overlay dialog bg close message policy notice placeholder container".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+COMMENTS = frozenset("comment comments disqus replies".split())
 OBJECTS = frozenset("posts articles stories links link buttons button bar icons box list items widget block wrapper container inner area section".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Furniture in which an article can stand nevertheless.
@@ -63,11 +66,11 @@ def _named(value: str) -> int:
     most = NONE
     for name in value.split():
         words = [w.lower() for w in _WORD.findall(name)]
-        if STRONG.intersection(words):
+        strong, weak = STRONG.intersection(words), WEAK.intersection(words)
+        rest = [w for w in words if w not in strong and w not in weak and w not in OBJECTS and not w.isdigit()]
+        if strong and PARTS.issuperset(rest) or weak and not rest:
             return NAMES
-        if weak := WEAK.intersection(words):
-            if all(w in weak or w in OBJECTS or w.isdigit() for w in words):
-                return NAMES
+        if strong or weak:
             most = HINT
     return most
 
@@ -79,7 +82,7 @@ def _marks(attributes: str) -> tuple[int, bool, bool, bool]:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             named = max(named, _named(value))
-            comments |= not {"comment", "comments", "disqus", "replies"}.isdisjoint(w.lower() for w in _WORD.findall(value))
+            comments |= any(_named(n) == NAMES and not COMMENTS.isdisjoint(w.lower() for w in _WORD.findall(n)) for n in value.split())
         elif name == "role":
             article |= value.lower() in ("main", "article")
             if value.lower() in CHROME_ROLES:
@@ -212,7 +215,7 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
             kind = CHROME
         elif named == NAMES and tag not in ("html", "body"):
             kind = CHROME
-        elif named == HINT and tag not in ("html", "body"):
+        elif named == HINT and tag not in ("html", "body") and not (tag in HEADINGS and above == ARTICLE):
             kind = HINTED if above == ARTICLE else above if above == HINTED else CHROME
         if tag == "body":
             open_, kind = _Open(), OPEN
@@ -301,7 +304,7 @@ FOUND = "host string, suffix long, low long, high long, page_id long, url string
 
 def read(pages: DataFrame, run: int = RUN) -> DataFrame:
     """One table of two things: the suffixes of all pages outside articles, by task and key with the least and the greatest
-    hash of the streams that hold them; and the undecided pages with their blocks."""
+    hash of the pages that hold them; and the undecided pages with their blocks."""
     names = [x.split()[0] for x in FOUND.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string())]
 
@@ -320,9 +323,9 @@ def read(pages: DataFrame, run: int = RUN) -> DataFrame:
 
         for b, parsed in _rows(batches):
             open_: dict[str, list] = {name: [] for name in ("host", "page_id", "url", "mark", "kinds", "texts")}
-            for page_id, url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), parsed):
+            for page_id, url, html, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), parsed):
                 host, own = host_of(url), streams(page)
-                mark = _hash("\0".join(t for _, texts in own for t in texts))
+                mark = _hash(html.as_py() or "")
                 for kind, texts in own:
                     for h in keys(kind, texts, run):
                         ends = found.setdefault((host, h), [mark, mark])
@@ -343,7 +346,7 @@ def read(pages: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def repeated(suffixes: DataFrame) -> DataFrame:
-    """(host, suffix): the suffixes, as far as they are ordered, that two pages of a host with different streams hold."""
+    """(host, suffix): the suffixes, as far as they are ordered, that two pages of a host with different html hold."""
     return suffixes.groupBy("host", "suffix").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "suffix")
 
 
