@@ -54,14 +54,17 @@ def query_vector(name: str, query: str) -> tuple[float, ...]:
 
 
 def register_scorer(name: str, build: Callable[[str, Column], Column]) -> None:
-    """``build`` (query, text column) -> logit column."""
+    """``build`` (query, text column) -> logit column; the query is a string, or a column where lists have queries of their own."""
     _scorers[name] = build
 
 
 def register_pair_scorer(name: str, load: Callable[[], Callable[[str, list[str]], list[float]]]) -> None:
     """A scorer in Python; a batch for which it fails, or gives another number of scores, has null logits."""
 
-    def build(query: str, text: Column) -> Column:
+    def build(query: str | Column, text: Column) -> Column:
+        if isinstance(query, Column):
+            return pairs(query, text)
+
         @F.pandas_udf("double")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             try:
@@ -77,14 +80,31 @@ def register_pair_scorer(name: str, load: Callable[[], Callable[[str, list[str]]
 
         return run(text)
 
+    @F.pandas_udf("double")
+    def pairs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        try:
+            model = load()
+        except Exception:
+            model = None
+        for queries, texts in batches:
+            out = pd.Series(None, index=texts.index, dtype="float64")
+            for query, some in texts.fillna("").groupby(queries.fillna("")):
+                try:
+                    scores = [float(x) for x in model(query, list(some))]
+                except Exception:
+                    continue
+                if len(scores) == len(some):
+                    out[some.index] = scores
+            yield out
+
     register_scorer(name, build)
 
 
-def logit(name: str, query: str, text: Column) -> Column:
+def logit(name: str, query: str | Column, text: Column) -> Column:
     return _scorers[name](query, text)
 
 
-def overlap(query: str, text: Column) -> Column:
+def overlap(query: str | Column, text: Column) -> Column:
     """A stand-in for a cross-encoder: from -2 to 2 by the share of the query's words that the text holds."""
     words = F.array_distinct(X.ascii_tokens(F.lit(query)))
     return 4.0 * F.size(F.array_intersect(words, X.ascii_tokens(text))) / F.greatest(F.size(words), F.lit(1)) - 2.0

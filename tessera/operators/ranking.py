@@ -85,14 +85,15 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x))))
 
 
-def cross_rerank(rows: DataFrame, logit: Column, depth: int, weight: float = 0.42) -> DataFrame:
-    """The first ``depth`` of each list get (1 - w) * score + w * sigmoid(logit); the rest stand behind them as they were.
+def cross_rerank(rows: DataFrame, logit: Column, depth: int | Column, weight: float = 0.42) -> DataFrame:
+    """The first ``depth`` of each list (a column, where lists differ in it) get (1 - w) * score + w * sigmoid(logit); the rest stand behind them as they were.
 
     A list for which the scorer fails (a null logit in its head) keeps its scores and its order.
     """
     whole = Window.partitionBy(QUERY)
     size = F.count("*").over(whole)
-    head = (F.col("rank") <= depth) & (size >= 2) & F.lit(depth >= 2 and weight > 0)
+    depth = depth if isinstance(depth, Column) else F.lit(depth)
+    head = (F.col("rank") <= depth) & (size >= 2) & (depth >= 2) & F.lit(weight > 0)
     rows = rows.withColumn("base", F.col("score")).withColumn("logit", F.when(head, logit))
     failed = F.max(F.when(head & F.col("logit").isNull(), 1).otherwise(0)).over(whole)
     rows = rows.withColumn("cross", F.when((failed == 0) & F.col("logit").isNotNull(), sigmoid(F.col("logit")))).drop("logit")

@@ -1,4 +1,4 @@
-"""Query understanding on the driver: intent, policy, router and depth budgets."""
+"""Query understanding: intent, policy, router and depth budgets, of one query on the driver or of a table of queries as columns."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import unicodedata
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -178,3 +178,48 @@ def rerank_depth(k: int, n_tokens: int, keyword_hits: int, rows: int) -> int:
     if keyword_hits > 80:
         depth = min(depth, 20)
     return max(0, min(depth, rows))
+
+
+def _listed(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+
+
+def understood(queries: DataFrame, text: str = "text") -> DataFrame:
+    """``parse``, ``policy`` and ``route`` of a table of queries, as columns beside its own; a null text is an empty one."""
+    among = lambda known: F.array_intersect("tokens", _listed(sorted(known)))
+    has = lambda c: F.size(c) > 0
+    raw = F.coalesce(F.col(text), F.lit(""))
+    rows = queries.withColumn("normal", F.lower(F.regexp_replace(X.nfkc(raw), r"(?U)^\s+|\s+$", "")))
+    rows = rows.withColumn("tokens", F.array_distinct(F.regexp_extract_all("normal", F.lit(r"(?U)\w+"), F.lit(0))))
+    rows = rows.withColumns({"colors": among(COLOR_TERMS), "patterns": among(PATTERN_TERMS), "activity_terms": among(ACTIVITY_TERMS)})
+    own = F.array_distinct(F.concat("colors", "patterns", among(CLOTHING_TERMS), "activity_terms", among(AGE_TERMS)))
+    synonyms = F.create_map(*[x for w, also in SYNONYMS.items() for x in (F.lit(w), _listed(also))])
+    also = F.flatten(F.transform("own", lambda w: F.coalesce(synonyms[w], _listed([]))))
+    rows = rows.withColumn("own", own).withColumn("attribute_terms", F.array_distinct(F.concat("own", also, among(CUE_TERMS)))).drop("own")
+    named = [F.when(reduce(lambda a, b: a | b, [F.col("normal").contains(x) for x in aliases]), name) for name, aliases in RELATIONS.items()]
+    capital = F.transform(F.regexp_extract_all(raw, F.lit("(?U)\\b[A-Z][a-z]{2,}\\b"), F.lit(0)), F.lower)
+    rows = rows.withColumns({"relation_terms": F.array_compact(F.array(*named)), "retrieval_terms": F.array_except(F.array_except("tokens", _listed(sorted(STOPWORDS | RELATION_WORDS))), F.col("attribute_terms")), "capital": capital})
+    several = has("relation_terms") | F.col("normal").rlike(_SEVERAL.pattern)
+    two, presence = F.size("retrieval_terms") > 1, F.col("require_presence")
+    rows = rows.withColumns({"name_terms": F.array_distinct(F.array_except("capital", _listed(sorted(STOPWORDS)))), "presence_terms": F.slice("retrieval_terms", 1, F.when(several, 2).otherwise(1)), "require_presence": several | (has("attribute_terms") & has("retrieval_terms")), "require_person": has(among(PERSON_TERMS | CLOTHING_TERMS))})
+    borne = [has("name_terms") | (has("capital") & has(among(IDENTITY_CUES))), has("relation_terms") | (presence & two), has("attribute_terms")]
+    enough = [has("name_terms"), two, has("retrieval_terms"), F.size("retrieval_terms") < 3]
+    first = lambda values: F.when(borne[0], values[0]).when(borne[1], values[1]).when(borne[2], values[2]).otherwise(values[3])
+    certainty = first([F.when(e, high).otherwise(low) for e, (_, low, high) in zip(enough, KINDS)])
+    signs = reduce(lambda a, b: a + b, [b.cast("int") for b in borne])
+    rows = rows.withColumns({"query_type": first([F.lit(name) for name, _, _ in KINDS]), "certainty": F.when(signs > 1, F.greatest(F.lit(LEAST), certainty - MIXED)).otherwise(certainty), "has_constraints": borne[2] | has("relation_terms") | F.col("require_person") | presence})
+    return rows.drop("normal", "capital")
+
+
+def policies(rows: DataFrame, **settings) -> DataFrame:
+    """The policy of each ``understood`` query, as columns: what ``policy`` says of each kind of query, and of what a query needs."""
+    kinds = {name: [policy(Intent("", query_type=name, certainty=1.0, require_presence=need), **settings) for need in (False, True)] for name, _, _ in KINDS}
+    least = settings.get("fallback", 0.55)
+    need = F.col("require_presence") if not settings.get("adaptive", True) else F.col("require_person") | F.col("require_presence")
+    kind = F.when(F.col("certainty") >= least, F.col("query_type")).otherwise("generic")
+
+    def value(field_: str) -> Column:
+        choose = lambda i: reduce(lambda out, n: F.when(kind == n, F.lit(getattr(kinds[n][i], field_))).otherwise(out), list(kinds)[1:], F.lit(getattr(kinds["identity"][i], field_)))
+        return F.when(need, choose(1)).otherwise(choose(0))
+
+    return rows.withColumns({"kind": value("query_type"), **{f: value(f) for f in ("gate", "multiplier", "lexical", "presence_required", "penalty", "w_clip", "w_text")}, "route": route_column(F.col("text"))})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-_MODULES = ("catalogue_queries", "search_queries", "text_queries", "analytics_queries", "ingest_queries")
+_MODULES = ("catalogue_queries", "search_queries", "table_queries", "text_queries", "analytics_queries", "ingest_queries")
 
 
 def query(sql: str | None = None):
