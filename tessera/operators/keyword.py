@@ -34,12 +34,12 @@ def postings(tokens: DataFrame, stem: bool = False) -> DataFrame:
 
 
 def write_index(tokens: DataFrame, table: str, buckets: int = 64, stem: bool = False) -> None:
-    """The postings as a bucketed table: a search reads the buckets of its terms, and joins on term don't shuffle."""
+    """The postings as a bucketed table: whole terms read their buckets alone, and joins on term don't shuffle. Prefixes read all; ``blocks`` serves them."""
     postings(tokens, stem).write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
 
 
 def read_index(spark: SparkSession, table: str) -> DataFrame:
-    """Stored postings. A filter on terms reads their buckets alone."""
+    """Stored postings. A filter on whole terms reads their buckets alone."""
     return spark.table(table)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import models as M
 from tessera.functions import text as X
+from tessera.operators import blocks as BL
 from tessera.operators import keyword as K
 from tessera.operators import ranking as R
 
@@ -32,7 +33,7 @@ EMPTY_WORDS = frozenset("the and for with what when where which show image image
 
 @dataclass
 class Index:
-    """What a search reads: items (id, caption, summary, tags, ...), postings, statistics and vectors by model."""
+    """What a search reads: items (id, caption, summary, tags, ...), postings (in blocks, if they are stored so), statistics and vectors by model."""
 
     items: DataFrame
     postings: DataFrame
@@ -40,6 +41,7 @@ class Index:
     clip: DataFrame | None = None
     text: DataFrame | None = None
     scorer: str | None = None
+    blocks: BL.Blocks | None = None
 
     def body(self) -> Column:
         more = [c for c in ("ocr_structured",) if c in self.items.columns]
@@ -64,23 +66,32 @@ def build(items: DataFrame, clip: DataFrame | None = None, text: DataFrame | Non
     return Index(items, K.postings(tokens), K.corpus_stats(tokens), clip, text, scorer)
 
 
-def store(items: DataFrame, name: str, buckets: int = 64) -> None:
-    """Write postings (bucketed by term), statistics and normalised items as tables; texts are brought to NFKC here, once."""
+def store(items: DataFrame, name: str, buckets: int = 64, blocks: str | None = None, files: int = 64) -> None:
+    """Write postings (bucketed by term), statistics and normalised items as tables; texts are brought to NFKC here, once.
+
+    With a path ``blocks`` the postings go there in blocks with their best impacts, in files by ranges of terms, and not in buckets.
+    """
     plain = items.withColumns({c: X.nfkc(F.col(c)) for c in ("caption", "summary")})
     plain.write.mode("overwrite").saveAsTable(f"{name}_items")
     tokens = K.tokenised(items.sparkSession.table(f"{name}_items"), "id", "caption")
-    K.write_index(tokens, f"{name}_postings", buckets)
+    if blocks:
+        BL.write(tokens, blocks, files)
+    else:
+        K.write_index(tokens, f"{name}_postings", buckets)
     K.corpus_stats(tokens).write.mode("overwrite").saveAsTable(f"{name}_stats")
 
 
-def stored(spark: SparkSession, name: str, clip: DataFrame | None = None, text: DataFrame | None = None, scorer: str | None = None) -> Index:
+def stored(spark: SparkSession, name: str, clip: DataFrame | None = None, text: DataFrame | None = None, scorer: str | None = None, blocks: str | None = None) -> Index:
     """The index that ``store`` wrote: a search tokenises nothing and counts nothing again."""
-    return Index(spark.table(f"{name}_items"), K.read_index(spark, f"{name}_postings"), spark.table(f"{name}_stats"), clip, text, scorer)
+    held = BL.read(spark, blocks) if blocks else None
+    postings = held.flat() if held else K.read_index(spark, f"{name}_postings")
+    return Index(spark.table(f"{name}_items"), postings, spark.table(f"{name}_stats"), clip, text, scorer, held)
 
 
 def keyword(index: Index, query: str, k: int) -> DataFrame:
     """(query_id, id, score, rank) by BM25, ties to the latest update, then the id; the score is the lexical one."""
-    hits = K.bm25(index.postings, index.stats, K.query_terms(query))
+    terms = K.query_terms(query)
+    hits = BL.best(index.blocks, terms, k) if index.blocks else K.bm25(index.postings, index.stats, terms)
     order = [F.col("bm25")]
     if "updated_at" in index.items.columns:
         hits = hits.join(index.items.select("id", "updated_at"), "id", "left")

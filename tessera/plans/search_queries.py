@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions import vectors as V
+from tessera.operators import blocks as BL
 from tessera.operators import keyword as K
 from tessera.operators import ranking as R
-from tessera.sources.tables import catalogue, load
+from tessera.sources.tables import catalogue, load, shared_path
 
 from . import search as S
 from .likeness import fuzzy_sql, likeness_sql
@@ -84,6 +85,19 @@ def _searched(spark, sf, terms) -> DataFrame:
     return K.bm25_batch(K.postings(t), K.corpus_stats(t), asked).select("query_id", "id", F.round(-F.col("bm25"), 6).alias("score"))
 
 
+@query(
+    r"""WITH toks AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), post AS (SELECT term, id, count(*) AS tf, max(dl) AS dl FROM (SELECT id, unnest(t) AS term, len(t) AS dl FROM toks) GROUP BY term, id), stats AS (SELECT count(*) AS nd, avg(len(t)) AS avgdl FROM toks),
+    """
+    + _bm25_sql(["term = 'the'", "starts_with(term, 'ther')", "starts_with(term, 'tion')"]).split("FROM toks), ", 1)[1]
+    + " SELECT id, round(bm25, 6) AS bm25 FROM scored ORDER BY round(scored.bm25, 9), id LIMIT 50"
+)
+def kw_top_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole texts of documents stored in blocks, and the best of one word and two prefixes from the blocks that can hold them."""
+    BL.write(K.tokenised(load(spark, sf, "documents"), "doc_id", "text"), path := shared_path(spark, "blocks"), 16)
+    best = BL.best(BL.read(spark, path), K.query_terms("the ther tion"), 50)
+    return best.orderBy(F.round("bm25", 9), "id").limit(50).select("id", F.round("bm25", 6).alias("bm25"))
+
+
 def _half(spark, sf, first: bool) -> DataFrame:
     """The two indexes: dimensions 1-32 stand for images, 33-64 for texts."""
     return load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1 if first else 33, 32).alias("embedding"))

@@ -22,21 +22,25 @@ MEDIA = {
 _own: list[str] = []
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder that ``spark.checkpoint.dir`` names: what comes later reads it and doesn't plan it again.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names.
 
     Where the setting is unset, as in tests, a temporary folder takes its place until the driver ends.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tessera-kept-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         folder = _own[0]
-    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: what comes later reads it and doesn't plan it again."""
+    path = shared_path(df.sparkSession, "kept")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
