@@ -47,12 +47,13 @@ def results_min_score(spark: SparkSession, sf: str) -> DataFrame:
     return api.presented(rows, 0.35, 10)
 
 
-@query("SELECT 'Brand#9' AS pattern, true AS enabled UNION ALL SELECT 'Brand#2', false UNION ALL SELECT 'tmp_*', true")
+@query("SELECT DISTINCT p_brand AS pattern, p_brand <> (SELECT max(p_brand) FROM part) AS enabled FROM part UNION ALL SELECT DISTINCT p_type, false FROM part WHERE p_type NOT IN (SELECT p_brand FROM part)")
 def exclusions_toggle(spark: SparkSession, sf: str) -> DataFrame:
-    """Insert or ignore, then toggle, on a small table."""
-    rows = spark.createDataFrame([("Brand#9", True), ("Brand#2", True)], "pattern string, enabled boolean")
-    rows = api.insert_or_ignore(rows, spark.createDataFrame([("Brand#9", False), ("tmp_*", True)], "pattern string, enabled boolean"), "pattern")
-    return api.toggle(rows, "pattern", "Brand#2", "enabled")
+    """All brands as exclusions; brands and types are inserted or ignored, then the last brand is toggled."""
+    part = load(spark, sf, "part")
+    named = lambda c, on: part.select(F.col(c).alias("pattern"), F.lit(on).alias("enabled")).distinct()
+    rows = api.insert_or_ignore(named("p_brand", True), named("p_brand", False).unionByName(named("p_type", False)), "pattern")
+    return api.toggle(rows, "pattern", part.agg(F.max("p_brand")).first()[0], "enabled")
 
 
 @query("WITH s AS (SELECT l_orderkey AS id, max(l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS id, o_orderstatus AS status, (n)::INT AS segment FROM orders LEFT JOIN s ON o_orderkey = s.id")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import blocks as BL
+from tessera.operators import cells as CE
 from tessera.operators import keyword as K
 from tessera.operators import ranking as R
-from tessera.sources.tables import catalogue, load, shared_path
+from tessera.sources.tables import catalogue, kept, load, shared_path
 
 from . import search as S
 from .likeness import fuzzy_sql, likeness_sql
@@ -128,6 +129,14 @@ def knn_text(spark: SparkSession, sf: str) -> DataFrame:
     return R.knn_batch(v, _asked(v), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {_cos_sql('1:64')} {_TOP}")
+def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth vector as a query of a stored index of cells: the ten nearest of all vectors, whole."""
+    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    CE.write(v, path := shared_path(spark, "cells"), files=16)
+    return CE.nearest(CE.read(spark, path), _asked(v), 10, kept).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT v.id AS id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v q, v WHERE q.id = 7 ORDER BY list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) DESC, v.id LIMIT 20")
 def knn_literal(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -171,12 +180,12 @@ def fuse_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return R.fuse_rrf(*_lists(spark, sf)).select("query_id", "id", "left_rank", "right_rank", F.round("score", 9).alias("score"), "rank")
 
 
-@query("WITH l AS (SELECT 0 AS query_id, * FROM (VALUES (1, 1), (2, 2)) a(id, r)), m AS (SELECT 0 AS query_id, * FROM (VALUES (2, 1), (1, 2)) a(id, r)) SELECT l.id AS id, round(0.5::DOUBLE / (1 + l.r) + 0.5::DOUBLE / (1 + m.r), 6) AS score, row_number() OVER (ORDER BY 0.5::DOUBLE / (1 + l.r) + 0.5::DOUBLE / (1 + m.r) DESC, l.id)::BIGINT AS rank FROM l JOIN m USING (id)")
+@query("WITH l AS (SELECT user_id AS query_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS s FROM events), f AS (SELECT *, 0.5::DOUBLE / (1 + r) + 0.5::DOUBLE / (1 + s) AS score FROM l) SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, least(r, s), id)::BIGINT AS rank FROM f")
 def fuse_rrf_ties(spark: SparkSession, sf: str) -> DataFrame:
-    """Two lists in opposite order tie; the smaller id comes first."""
-    a = spark.createDataFrame([(0, 1, 1.0, 1), (0, 2, 1.0, 2)], "query_id int, id int, score double, rank long")
-    b = spark.createDataFrame([(0, 2, 1.0, 1), (0, 1, 1.0, 2)], "query_id int, id int, score double, rank long")
-    return R.fuse_rrf(a, b, 1.0, 0.5, 0.5).select("id", F.round("score", 6).alias("score"), "rank")
+    """The events of each user in order and in opposite order: every event ties with its counterpart, and the smaller id comes first."""
+    e = load(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"))
+    a, b = R.ranked(e.withColumn("score", -F.col("id").cast("double"))), R.ranked(e.withColumn("score", F.col("id").cast("double")))
+    return R.fuse_rrf(a, b, 1.0, 0.5, 0.5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("WITH l AS (SELECT user_id AS query_id, event_id AS id, value AS score FROM events) SELECT query_id, id, round(greatest(0, score) / CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN max(score) OVER (PARTITION BY query_id) ELSE 1 END, 6) AS norm FROM l")
