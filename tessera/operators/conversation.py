@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -141,3 +142,38 @@ def debounced(queries: DataFrame, wait: float = 0.3, least: int = 3) -> DataFram
     gap = (micros(F.lead("ts").over(own)) - micros(F.col("ts"))) / 1e6
     quiet = typed.withColumn("gap", gap).where((F.col("gap").isNull() | (F.col("gap") >= wait)) & (F.length("text") >= least)).drop("gap")
     return quiet.withColumn("last", F.lag("text").over(own)).where(~F.col("text").eqNullSafe(F.col("last"))).drop("last")
+
+
+def debounced_stream(queries: DataFrame, wait: float = 0.3, least: int = 3, lateness: str = "1 second") -> DataFrame:
+    """``debounced`` of a stream (user_id string, ts timestamp, text): (user_id, ts, text) once nothing can follow within ``wait``.
+
+    Rows that come in another order within ``lateness`` count by their time; later ones are dropped. A user's state is
+    what was typed since the watermark, and the text that was searched last.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    micros = round(wait * 1e6)
+
+    def step(key, batches, state: GroupState):
+        waiting, last = state.get if state.exists else ([], None)
+        waiting = [(w["t"], w["text"]) for w in waiting]
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            waiting += [(int(t), text) for t, text in zip(rows["t"], rows["text"])]
+        waiting.sort(key=lambda w: w[0])
+        sure = state.getCurrentWatermarkMs() * 1000  # nothing earlier comes any more
+        out = []
+        while waiting and waiting[0][0] + micros <= sure:
+            t, text = waiting.pop(0)
+            if (not waiting or waiting[0][0] - t >= micros) and len(text or "") >= least:
+                if text != last:
+                    out.append((key[0], t, text))
+                last = text
+        state.update(([{"t": t, "text": text} for t, text in waiting], last))
+        if waiting:
+            state.setTimeoutTimestamp(max((waiting[0][0] + micros) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["user_id", "t", "text"])
+
+    typed = queries.withWatermark("ts", lateness).select("user_id", "ts", F.unix_micros("ts").alias("t"), F.trim("text").alias("text"))
+    found = typed.groupBy("user_id").applyInPandasWithState(step, "user_id string, t long, text string", "waiting array<struct<t: long, text: string>>, last string", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("user_id", F.timestamp_micros("t").alias("ts"), "text")

@@ -11,6 +11,7 @@ from tessera.operators import blocks as BL
 from tessera.operators import cells as CE
 from tessera.operators import keyword as K
 from tessera.operators import ranking as R
+from tessera.operators import spelling as SP
 from tessera.sources.tables import catalogue, kept, load, shared_path
 
 from . import search as S
@@ -363,6 +364,17 @@ def fuzzy_corrections(spark: SparkSession, sf: str) -> DataFrame:
     return R.corrections(vocab, ["widgit", "smal", "yelow", "gadgte"]).select("term", "correction", F.round("ratio", 6).alias("ratio"))
 
 
+@query(
+    f"""WITH RECURSIVE b AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part), w AS (SELECT w FROM b WHERE length(w) >= 3), asked AS (SELECT DISTINCT left(w, i::INT - 1) || substr(w, i::INT + 1) AS t FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM b) WHERE length(w) > 5), {likeness_sql()}
+    SELECT t AS term, arg_min(w, (-ratio, w)) AS correction, round(max(ratio), 6) AS ratio FROM alike WHERE t <> w AND ratio >= 0.8 GROUP BY t"""
+)
+def corrections_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of six letters or more of all parts with each of its letters left out in turn, and what it is taken for."""
+    words = catalogue(spark, sf).select(F.explode(F.split(F.lower("caption"), " ")).alias("token")).distinct()
+    typos = words.where(F.length("token") > 5).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.col("token").substr(F.lit(1), i - 1), F.col("token").substr(i + 1, F.length("token"))))).alias("term"))
+    return SP.corrections(typos, words).select("term", "correction", F.round("ratio", 6).alias("ratio"))
+
+
 @query(r"SELECT token, count(*)::BIGINT AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(trim(p_name)), '[\p{L}\p{N}_]+'))) AS token FROM part) WHERE length(token) >= 3 GROUP BY token ORDER BY count(*) DESC, token LIMIT 4000")
 def fuzzy_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return R.vocabulary(catalogue(spark, sf), F.col("caption"))
