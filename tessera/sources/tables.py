@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import re
 import shutil
 import tempfile
 import uuid
 from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed extension lists by media kind.
 MEDIA = {
@@ -19,6 +24,9 @@ MEDIA = {
 }
 
 
+READ = 1 << 20  # bytes of a file in memory at a time
+WHOLE = 64 << 20  # bytes up to which a file is one value
+
 _own: list[str] = []
 
 
@@ -105,10 +113,32 @@ def scan_files(spark: SparkSession, folder: str, kinds: list[str] | None = None,
     return rows.where(~excluded(F.col("path"), exclude or [])).orderBy("path")
 
 
+def _digest(path: str | None) -> str | None:
+    if path is None:
+        return None
+    plain = re.sub("^file:/+", "/", path)
+    try:
+        system, at = fs.FileSystem.from_uri(path) if "://" in plain else (fs.LocalFileSystem(), plain)
+        digest = hashlib.sha256()
+        with system.open_input_stream(at) as stream:
+            while block := stream.read(READ):
+                digest.update(block)
+    except FileNotFoundError:
+        return None
+    return digest.hexdigest()
+
+
+@F.pandas_udf(T.StringType())
+def content_hash(paths: pd.Series) -> pd.Series:
+    """SHA-256 of the content of files (paths or URIs that tasks can open), read in blocks: a file of any size takes READ bytes. Null for no file."""
+    return paths.map(_digest)
+
+
 def scan_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """Path and SHA-256 of the content of files."""
+    """Path and SHA-256 of the content of files. Files over WHOLE bytes are read in blocks, the others as values of the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.sha2("content", 256).alias("sha256_hash"))
+    small = files.where(F.col("length") <= WHOLE).select("path", F.sha2("content", 256).alias("sha256_hash"))
+    return small.unionByName(files.where(F.col("length") > WHOLE).select("path", content_hash("path").alias("sha256_hash")))
 
 
 def scan_notes(spark: SparkSession, folder: str, skip: tuple[str, ...] = (".git", ".obsidian", "node_modules", ".trash"), limit: int | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.tables import content_hash
+
 DEBOUNCE, GRACE = 1.2, 5.0
 STATE = "op string, ts double, due double"
 OUT = "path string, action string, at double"
@@ -40,11 +42,11 @@ def relinked_moves(events: DataFrame, indexed: DataFrame) -> tuple[DataFrame, Da
 
 
 def resolved(paths: DataFrame, resolve=None, path: str = "path") -> DataFrame:
-    """``paths`` with the hash of their content, by ``resolve`` (a function of a path) in Arrow batches, or by reading the files."""
-    if resolve is None:
-        files = paths.sparkSession.read.format("binaryFile").load([r[0] for r in paths.select(path).distinct().limit(10_000).collect()])  # one batch of a watch
-        return paths.join(files.select(F.col("path").alias("file"), F.sha2("content", 256).alias("hash")), F.col("file").endswith(F.col(path)), "left").drop("file")
-    run = F.pandas_udf(lambda s: s.map(resolve), "string")
+    """``paths`` with the hash of their content, by ``resolve`` (a function of a path) in Arrow batches, or by reading each file in its task.
+
+    A path without a file has a null hash.
+    """
+    run = F.pandas_udf(lambda s: s.map(resolve), "string") if resolve else content_hash
     return paths.withColumn("hash", run(F.col(path)))
 
 
