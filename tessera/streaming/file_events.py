@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from tessera.sources.tables import content_hash
 
 DEBOUNCE, GRACE = 1.2, 5.0
-STATE = "op string, ts double, due double"
-OUT = "path string, action string, at double"
+STATE = "op string, ts double, due double, source string"
+OUT = "path string, action string, at double, source string"
 
 
 def seconds(ts: Column) -> Column:
@@ -63,8 +63,8 @@ def watch(spark, folder: str, handle, checkpoint: str, debounce: float = DEBOUNC
     return (writer.trigger(processingTime="200 milliseconds") if live else writer.trigger(availableNow=True)).start()
 
 
-def settled(events: DataFrame, debounce: float = DEBOUNCE, grace: float = GRACE) -> DataFrame:
-    """(path, action, at): creations that were quiet for ``debounce`` and deletions that nothing undid in ``grace``.
+def settled(events: DataFrame, debounce: float = DEBOUNCE, grace: float = GRACE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, action, at, and columns to ``keep``): creations that were quiet for ``debounce`` and deletions that nothing undid in ``grace``.
 
     At equal times a creation comes before a deletion.
     """
@@ -72,7 +72,7 @@ def settled(events: DataFrame, debounce: float = DEBOUNCE, grace: float = GRACE)
     rows = events.withColumn("next", F.lead("t").over(order))
     wait = F.when(F.col("op") == "created", F.lit(debounce)).otherwise(F.lit(grace))
     due = rows.withColumn("at", F.col("t") + wait).where(F.col("next").isNull() | (F.col("next") >= F.col("at")))
-    return due.select("path", F.when(F.col("op") == "created", "ingest").otherwise("stale").alias("action"), "at")
+    return due.select("path", F.when(F.col("op") == "created", "ingest").otherwise("stale").alias("action"), "at", *keep)
 
 
 def settle_stream(events: DataFrame, debounce: float = DEBOUNCE, grace: float = GRACE, lateness: str = "1 second") -> DataFrame:
@@ -80,27 +80,41 @@ def settle_stream(events: DataFrame, debounce: float = DEBOUNCE, grace: float =
 
     Timers fire when the watermark passes them, so a replay ends with a later event of any path.
     """
+    return settle_moves(events.withColumn("source", F.lit(None).cast("string")), debounce, grace, lateness).drop("source")
+
+
+def settle_moves(events: DataFrame, debounce: float = DEBOUNCE, grace: float = GRACE, lateness: str = "1 second") -> DataFrame:
+    """``settle_stream`` with the source of a creation that is the end of a move (path, op, source, ts).
+
+    A row with op moved goes on at once, at its target and with its source; a tick only moves the watermark.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def emit(path: str, op: str, due: float) -> pd.DataFrame:
-        return pd.DataFrame({"path": [path], "action": ["ingest" if op == "created" else "stale"], "at": [due]})
+    def emit(path: str, op: str, at: float, source: str | None) -> pd.DataFrame:
+        action = {"created": "ingest", "moved": "move"}.get(op, "stale")
+        return pd.DataFrame({"path": [path], "action": [action], "at": [at], "source": pd.Series([source], dtype=object)})
 
     def step(key, batches, state: GroupState):
-        op, ts, due = state.get if state.exists else (None, None, None)
+        op, ts, due, source = state.get if state.exists else (None, None, None, None)
         if state.hasTimedOut:
-            yield emit(key[0], op, due)
+            yield emit(key[0], op, due, source)
             state.remove()
             return
         rows = pd.concat(list(batches))
         rows = rows.assign(t=rows["ts"].astype("int64") / 1e9 if str(rows["ts"].dtype).endswith("[ns]") else rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, late=(rows["op"] != "created"))
         for r in rows.sort_values(["t", "late"]).itertuples():
+            if r.op == "moved":
+                yield emit(key[0], r.op, r.t, r.source)
+            if r.op not in ("created", "deleted"):
+                continue
             if due is not None and r.t >= due:
-                yield emit(key[0], op, due)
-            op, ts, due = r.op, r.t, r.t + (debounce if r.op == "created" else grace)
-        state.update((op, ts, due))
-        state.setTimeoutTimestamp(max(int(due * 1000), state.getCurrentWatermarkMs() + 1))
+                yield emit(key[0], op, due, source)
+            op, ts, due, source = r.op, r.t, r.t + (debounce if r.op == "created" else grace), r.source if isinstance(r.source, str) else None
+        if due is not None:
+            state.update((op, ts, due, source))
+            state.setTimeoutTimestamp(max(int(due * 1000), state.getCurrentWatermarkMs() + 1))
 
-    marked = events.withWatermark("ts", lateness)
+    marked = events.select("path", "op", "source", "ts").withWatermark("ts", lateness)
     return marked.groupBy("path").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
