@@ -24,7 +24,9 @@ from tessera.plans.search import explain, forced, log_search, run, search, store
 from tessera.sources.media import cached, frames, text_blocks, transcripts  # noqa: F401
 from tessera.sources.tables import excluded, read_cases, read_thresholds, scan_files, scan_hashes, scan_notes, scan_report  # noqa: F401
 from tessera.streaming.file_events import reconcile, relinked_moves, settle_stream, watch  # noqa: F401
-from tessera.streaming.telemetry import emit, relay  # noqa: F401
+from tessera.streaming.following import follow, followed, passes, totals  # noqa: F401
+from tessera.streaming.following import create as follow_table  # noqa: F401
+from tessera.streaming.telemetry import Counters, counter_totals, emit, relay, watched  # noqa: F401
 
 
 def by_ids(rows: DataFrame, ids: list, key: str = "id") -> DataFrame:

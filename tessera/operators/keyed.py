@@ -1,8 +1,9 @@
 """Stored tables by key: an upsert rewrites the partitions of its keys and leaves the files of the others alone.
 
-A table is a folder with ``data`` (partitioned by a hash of the key), ``staged`` (what a batch makes of its partitions) and
-``log``. A batch is staged whole before any partition is replaced, so that a run that was lost in between is finished from
-what was staged; a batch that is committed changes nothing when it comes again.
+A table is a folder with ``data`` (what each batch made of its partitions, by a hash of the key) and ``log``, whose line is what
+commits a batch. Nothing that is being read is replaced: readers beside a writer see the table before the batch or after it, a
+run that is lost on its way leaves the table as it was, and a batch that is committed changes nothing when it comes again. What a
+commit put out of use is deleted KEEP commits later. A table has one writer at a time.
 """
 
 from __future__ import annotations
@@ -13,25 +14,41 @@ from pyspark.sql import functions as F
 
 from .ingest import upsert
 
-LOG = "batch long, state string, parts array<int>"
+LOG = "seq long, batch long, parts array<int>"
+KEEP = 16
 
 
-def _log(spark: SparkSession, path: str) -> dict[int, tuple[str, list[int]]]:
-    """The state and the partitions of every batch; a table has a row or two of it a batch."""
+def _log(spark: SparkSession, path: str) -> list[tuple[int, int, list[int]]]:
+    """(seq, batch, parts) of the committed batches in the order of their commits; one row a batch."""
     try:
         rows = spark.read.schema(LOG).json(f"{path}/log").collect()
     except AnalysisException:  # nothing is written yet
-        return {}
-    return {r["batch"]: (r["state"], r["parts"]) for r in sorted(rows, key=lambda r: r["state"] == "committed")}
+        return []
+    return sorted((r["seq"], r["batch"], r["parts"]) for r in rows)
+
+
+def _say(spark: SparkSession, path: str, seq: int, batch: int, parts: list[int]) -> None:
+    spark.createDataFrame([(seq, batch, parts)], LOG).coalesce(1).write.mode("append").json(f"{path}/log")
+
+
+def committed(spark: SparkSession, path: str, batch: int) -> bool:
+    return any(b == batch for _, b, _ in _log(spark, path))
 
 
-def _say(spark: SparkSession, path: str, batch: int, state: str, parts: list[int]) -> None:
-    spark.createDataFrame([(batch, state, parts)], LOG).coalesce(1).write.mode("append").json(f"{path}/log")
+def say(spark: SparkSession, path: str, batch: int, parts: list[int] | None = None) -> None:
+    """Put a batch in the log of a folder."""
+    _say(spark, path, 1 + max((s for s, _, _ in _log(spark, path)), default=0), batch, parts or [])
+
+
+def _files(path: str, log: list, parts: list[int] | None = None) -> list[str]:
+    """The folders that hold the partitions as the last commit left them."""
+    last = {p: batch for _, batch, own in log for p in own}
+    return [f"{path}/data/batch={batch}/part={p}" for p, batch in sorted(last.items()) if parts is None or p in parts]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The table as the last batch left it."""
-    return spark.read.parquet(f"{path}/data").drop("part")
+    return spark.read.parquet(*_files(path, _log(spark, path)))
 
 
 def upsert_batch(path: str, new: DataFrame, key: str, version: str, batch: int, partitions: int = 64, created: str | None = "created_at") -> list[int]:
@@ -42,21 +59,24 @@ def upsert_batch(path: str, new: DataFrame, key: str, version: str, batch: int,
     """
     spark = new.sparkSession
     log = _log(spark, path)
-    state, parts = log.get(batch, (None, []))
-    if state == "committed":
+    if any(b == batch for _, b, _ in log):
         return []
-    if state != "staged":
-        placed = new.withColumn("part", F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int"))
-        parts = sorted(r["part"] for r in placed.select("part").distinct().collect())  # as many as partitions
-        if log and parts:
-            old = spark.read.schema(placed.schema).parquet(f"{path}/data").where(F.col("part").isin(parts))
-            merged = upsert(old.drop("part"), new, key, version, created)
-        else:
-            merged = upsert(new.limit(0), new, key, version, created)
-        merged = merged.withColumn("part", F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int"))
-        merged.select(*placed.columns).write.mode("overwrite").parquet(f"{path}/staged/batch={batch}")
-        _say(spark, path, batch, "staged", parts)
-    staged = spark.read.parquet(f"{path}/staged/batch={batch}")
-    staged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/data")
-    _say(spark, path, batch, "committed", parts)
+    place = F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
+    parts = sorted(r["part"] for r in new.select(place.alias("part")).distinct().collect())  # as many as partitions
+    old = _files(path, log, parts)
+    before = spark.read.schema(new.schema).parquet(*old) if old else new.limit(0)
+    if parts or not log:
+        merged = upsert(before, new, key, version, created).select(*new.columns).withColumn("part", place)
+        merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/batch={batch}")
+    seq = 1 + max((s for s, _, _ in log), default=0)
+    _say(spark, path, seq, batch, parts)
+    _clear(spark, path, log, seq - KEEP)
     return parts
+
+
+def _clear(spark: SparkSession, path: str, log: list, seq: int) -> None:
+    """Delete what the commit ``seq`` put out of use."""
+    own = next((parts for s, _, parts in log if s == seq), [])
+    for gone in _files(path, [row for row in log if row[0] < seq], own):
+        at = spark._jvm.org.apache.hadoop.fs.Path(gone)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import ingest as G
 from tessera.sources.tables import excluded, load
 from tessera.streaming import file_events as W
+from tessera.streaming import following as L
 
 from .registry import query
 
@@ -155,3 +156,48 @@ def reconcile(spark: SparkSession, sf: str) -> DataFrame:
     indexed = h.where("id % 5 <> 1").withColumn("path", own)
     listing = h.where("id % 5 > 1").select(own.alias("path"), "hash").unionByName(h.where("id % 5 = 1").select(F.concat(F.lit("/new/"), F.col("id").cast("string")).alias("path"), "hash"))
     return W.reconcile(indexed, listing).select("id", "action")
+
+
+_FOLLOWED = """
+WITH d AS (SELECT doc_id, doc_id % 5 AS what, 10.0::DOUBLE * doc_id AS t, md5(text) AS hash FROM documents),
+x AS (SELECT hash, min(doc_id) AS known FROM d WHERE doc_id % 4 <> 3 AND hash IS NOT NULL GROUP BY hash),
+e AS (SELECT d.*, x.known, coalesce(x.known = d.doc_id, false) AS own FROM d LEFT JOIN x USING (hash)),
+fresh AS (SELECT known, t + 1.2 AS "at" FROM e WHERE known IS NOT NULL AND (what IN (2, 3) OR (what = 0 AND NOT own) OR (what = 4 AND NOT own))),
+away AS (SELECT known, min("at") AS left_at FROM (SELECT * FROM fresh UNION ALL SELECT doc_id, t FROM e WHERE what = 0 AND own) GROUP BY known),
+r AS (
+  SELECT '/new/' || doc_id AS path, 'move' AS action, t AS "at", 'relinked' AS outcome, doc_id AS id FROM e WHERE what = 0 AND own AND hash IS NOT NULL
+  UNION ALL
+  SELECT CASE WHEN what = 4 THEN '/old/' ELSE '/new/' END || e.doc_id, 'ingest', t + 1.2,
+    CASE WHEN hash IS NULL THEN 'missing' WHEN what = 0 AND own THEN 'done' WHEN what = 4 AND own AND (left_at IS NULL OR left_at > t + 1.2) THEN 'relinked' WHEN e.known IS NOT NULL THEN 'matched' ELSE 'unknown' END, e.known
+  FROM e LEFT JOIN away ON away.known = e.known WHERE what <> 1
+  UNION ALL
+  SELECT '/old/' || e.doc_id, 'stale', t + CASE WHEN what = 2 THEN 7 ELSE 5 END,
+    CASE WHEN own AND (left_at IS NULL OR left_at > t + CASE WHEN what = 2 THEN 7 ELSE 5 END) THEN 'stale' ELSE 'kept' END,
+    CASE WHEN own AND (left_at IS NULL OR left_at > t + CASE WHEN what = 2 THEN 7 ELSE 5 END) THEN e.doc_id END
+  FROM e LEFT JOIN away ON away.known = e.known WHERE what <= 2
+)
+SELECT path, action, round("at", 3) AS "at", outcome, id FROM r
+"""
+
+
+@query(_FOLLOWED)
+def files_followed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document is a file that is moved, deleted, copied and then deleted, new, or written again, in turn of ids; the
+    least id of a content is indexed, of three in four."""
+    d = load(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 5).alias("what"), F.col("doc_id").cast("double").alias("n"), F.md5("text").alias("hash"))
+    old, new = (F.concat(F.lit(at), F.col("doc_id").cast("string")) for at in ("/old/", "/new/"))
+    index = d.where("doc_id % 4 <> 3 and hash is not null").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+    index = index.select(F.col("doc_id").alias("id"), old.alias("path"), "hash", F.lit(False).alias("stale"), F.lit(None).cast("string").alias("came"))
+    event = lambda path, dst, op, t: F.struct(path.alias("path"), dst.alias("dst_path"), F.lit(op).alias("op"), t.alias("t"))
+    none, t = F.lit(None).cast("string"), 10 * F.col("n")
+    happens = (
+        F.when(F.col("what") == 0, F.array(event(old, new, "moved", t)))
+        .when(F.col("what") == 1, F.array(event(old, none, "deleted", t)))
+        .when(F.col("what") == 2, F.array(event(new, none, "created", t), event(old, none, "deleted", t + 2)))
+        .when(F.col("what") == 3, F.array(event(new, none, "created", t)))
+        .otherwise(F.array(event(old, none, "created", t)))
+    )
+    events = d.select(F.explode(happens).alias("e")).select("e.path", "e.dst_path", "e.op", F.timestamp_seconds("e.t").alias("ts"))
+    there = d.where("what <> 1").select(F.when(F.col("what") == 4, old).otherwise(new).alias("path"), "hash")
+    rows = L.settled_moves(events).join(there, "path", "left")
+    return L.outcomes(index, rows).select("path", "action", F.round("at", 3).alias("at"), "outcome", "id")

@@ -16,7 +16,7 @@ from __future__ import annotations
 import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +24,7 @@ from tessera.operators import keyed
 from tessera.sources.tables import media_kind
 
 from .file_events import DEBOUNCE, GRACE, resolved, seconds, settle_moves, settled
+from .telemetry import watched
 
 EVENT = "path string, dst_path string, op string, ts timestamp"
 ARRIVED = ("relinked", "matched", "done")
@@ -114,27 +115,25 @@ def pass_over(spark: SparkSession, table: str, listing: DataFrame, period: int,
     """A pass over the index: rows whose path isn't in ``listing`` (path) are relinked by content or stale; its counts are kept.
 
     Only files at paths that aren't indexed are hashed, and none where nothing is missing. Of a content the first path
-    goes to all of its rows.
+    goes to all of its rows. A pass that was lost is finished with what it had found.
     """
-    index = keyed.read(spark, table)
-    paths = listing.select("path").distinct()
-    gone = index.where("not stale").join(paths, "path", "left_anti").select("id", "hash")
-    missing = gone.count()
-    found = gone.select("id", F.lit(None).cast("string").alias("new_path"))
-    if missing:
-        free = resolved(paths.join(index.select("path"), "path", "left_anti"), resolve)
-        first = free.where("hash is not null").groupBy("hash").agg(F.min("path").alias("new_path"))
-        found = gone.join(first, "hash", "left").select("id", "new_path")
-    put = {"path": F.coalesce("new_path", "path"), "stale": F.col("new_path").isNull(), "at": F.lit(float(now)), "came": F.lit(None).cast("string")}
-    rows = index.join(found, "id").select(*[put[c].alias(c) if c in put else F.col(c) for c in index.columns])
-    keyed.upsert_batch(table, rows, "id", "at", -1 - period, partitions, None)
-    # what was written counts, also where a lost pass is taken up again
-    try:
-        staged = spark.read.parquet(f"{table}/staged/batch={-1 - period}")
-        seen = staged.agg(F.count("*"), F.count(F.when(~F.col("stale"), 1)), F.count(F.when(F.col("stale"), 1))).first()
-    except AnalysisException:
-        seen = (0, 0, 0)
-    spark.createDataFrame([(period, *map(int, seen))], PASS).coalesce(1).write.mode("overwrite").json(f"{table}/passes/of={period}")
+    at, batch = f"{table}/found/of={period}", -1 - period
+    if not keyed.committed(spark, table, batch):
+        index = keyed.read(spark, table)
+        paths = listing.select("path").distinct()
+        gone = index.where("not stale").join(paths, "path", "left_anti").select("id", "hash")
+        found = gone.select("id", F.lit(None).cast("string").alias("new_path"))
+        if not gone.isEmpty():
+            free = resolved(paths.join(index.select("path"), "path", "left_anti"), resolve)
+            first = free.where("hash is not null").groupBy("hash").agg(F.min("path").alias("new_path"))
+            found = gone.join(first, "hash", "left").select("id", "new_path")
+        put = {"path": F.coalesce("new_path", "path"), "stale": F.col("new_path").isNull(), "at": F.lit(float(now)), "came": F.lit(None).cast("string")}
+        rows = index.join(found, "id").select(*[put[c].alias(c) if c in put else F.col(c) for c in index.columns])
+        rows.write.mode("overwrite").parquet(at)
+        keyed.upsert_batch(table, spark.read.schema(rows.schema).parquet(at), "id", "at", batch, partitions, None)
+    # what was written counts, also where a pass was lost after its upsert
+    counts = spark.read.parquet(at).agg(F.count("*"), F.count(F.when(~F.col("stale"), 1)), F.count(F.when(F.col("stale"), 1))).first()
+    spark.createDataFrame([(period, *counts)], PASS).coalesce(1).write.mode("overwrite").json(f"{table}/passes/of={period}")
 
 
 def passes(spark: SparkSession, table: str) -> DataFrame:
@@ -154,11 +153,11 @@ def apply_batch(spark: SparkSession, table: str, rows: DataFrame, batch: int, re
     """Apply settled rows (path, action, at, source) to the stored index. Outcomes are written before the index changes, and
     a batch that comes again goes on from them, so that its rows don't meet an index that they have changed."""
     at = f"{table}/outcomes/batch={batch}"
-    if batch not in keyed._log(spark, f"{table}/followed"):
+    if not keyed.committed(spark, f"{table}/followed", batch):
         hashed = f"{table}/hashed/batch={batch}"  # files are read once
         resolved(rows, resolve).write.mode("overwrite").parquet(hashed)
         outcomes(keyed.read(spark, table), spark.read.parquet(hashed), kinds).write.mode("overwrite").parquet(at)
-        keyed._say(spark, f"{table}/followed", batch, "committed", [])
+        keyed.say(spark, f"{table}/followed", batch)
     keyed.upsert_batch(table, changed(keyed.read(spark, table), spark.read.parquet(at)), "id", "at", batch + 1, partitions, None)
 
 
@@ -175,7 +174,8 @@ def follow(spark: SparkSession, folder: str, table: str, checkpoint: str, listin
     ``live`` looks for files every 200 milliseconds, and a tick a second moves the watermark, so that what is due settles in a
     quiet folder too; else what is there is worked off and the stream ends. ``listing`` (a function that gives the present
     paths as a DataFrame) is asked once in each period of ``every`` seconds (60 at least). Periods are those of the clock
-    and the last one is stored, so that a restart repeats none, and makes up in one pass for what passed in between.
+    and the last one is stored, so that a restart repeats none, and makes up in one pass for what passed in between. A
+    ``telemetry.Counters`` listener gets what settled in every batch, under the name settled.
     """
     if every < 60:
         raise ValueError("every: at least 60 seconds")
@@ -186,8 +186,10 @@ def follow(spark: SparkSession, folder: str, table: str, checkpoint: str, listin
         rows = rows.unionByName(ticks.select(F.lit("").alias("path"), F.lit("tick").alias("op"), null.alias("source"), F.col("timestamp").alias("ts")))
 
     def step(df: DataFrame, batch: int) -> None:
+        df = df.persist()
         if not df.isEmpty():
             apply_batch(spark, table, df, batch, resolve, kinds, partitions)
+        df.unpersist()
         if listing is None:
             return
         now = clock()
@@ -197,5 +199,5 @@ def follow(spark: SparkSession, folder: str, table: str, checkpoint: str, listin
         elif period > last:
             pass_over(spark, table, listing(), period, now, resolve, partitions)
 
-    writer = settle_moves(rows, debounce, grace, lateness).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = watched(settle_moves(rows, debounce, grace, lateness), "settled", ("move", "ingest", "stale")).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime="200 milliseconds") if live else writer.trigger(availableNow=True)).start()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import keyed
 from tessera.streaming import following as L
+from tessera.streaming import telemetry
 
 INDEX = "id long, path string, hash string, extra string"
 
@@ -180,6 +181,8 @@ def test_passes_by_the_clock(spark, tmp_path):
     assert sorted(map(tuple, L.passes(spark, table).collect())) == [(1, 0, 0, 0), (4, 3, 1, 2)]
     L.pass_over(spark, table, listing(), 5, 18_000.0, there.get, 4)  # nothing is missing any more
     assert sorted(map(tuple, L.passes(spark, table).collect()))[-1] == (5, 0, 0, 0)
+    L.pass_over(spark, table, listing(), 4, 15_000.0, there.get, 4)  # lost before its counts were written, taken up again
+    assert sorted(map(tuple, L.passes(spark, table).collect()))[1] == (4, 3, 1, 2)
     with pytest.raises(ValueError):
         L.follow(spark, folder, table, f"{tmp_path}/ck", every=1)
 
@@ -216,3 +219,45 @@ def test_awkward_rows(spark, tmp_path):
     assert [(r["path"], r["outcome"], r["id"]) for r in rows if r["path"] == "/n.txt"] == [("/n.txt", "unknown", None)]
     assert {r["path"] for r in rows} <= {"/n.txt", "/n.jpg"}
     assert L.followed(start, table_of(spark, events).limit(0), there.get).count() == 0
+
+
+def test_counters_of_a_stream_that_was_lost_are_those_of_the_batch(spark, tmp_path):
+    """One listener over three runs; the handler of a batch fails once, and the batch is run again."""
+    import time
+
+    actions = ["new", "duplicate", "new", "relink", "failed", "new", "new", None]
+    for n in range(4):
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        with open(f"{tmp_path}/in/{n}.json", "w") as f:
+            f.write("\n".join(json.dumps({"action": a}) for a in actions[2 * n : 2 * n + 2]))
+        os.utime(f"{tmp_path}/in/{n}.json", (n + 1, n + 1))
+    lost, ids = [], set()
+
+    def handle(df, batch):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={batch}")
+        if batch == 2 and not lost:
+            lost.append(batch)
+            raise RuntimeError("lost")
+
+    listener = telemetry.Counters(spark, f"{tmp_path}/counts")
+    spark.streams.addListener(listener)
+    try:
+        assert telemetry.counter_totals(spark, f"{tmp_path}/counts").count() == 0
+        for _ in range(2):
+            stream = spark.readStream.schema("action string").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+            q = telemetry.watched(stream).writeStream.foreachBatch(handle).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+            try:
+                q.awaitTermination(120)
+            except Exception:
+                assert lost
+            ids.add(str(q.id))
+        rows, seen = telemetry.counted(spark.read.parquet(f"{tmp_path}/out"))
+        rows.count()
+        for _ in range(60):  # reports come after their batches
+            got = {r["counter"]: r["value"] for r in telemetry.counter_totals(spark, f"{tmp_path}/counts", *ids).collect()}
+            if got == seen.get:
+                break
+            time.sleep(0.5)
+        assert lost and got == seen.get == {"rows": 8, "new": 4, "duplicate": 1, "relink": 1, "failed": 1}
+    finally:
+        spark.streams.removeListener(listener)
