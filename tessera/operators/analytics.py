@@ -112,11 +112,12 @@ def days_between(a: Column, b: Column) -> Column:
 
 
 def ring_time(items: DataFrame, target, ts: str, k: int) -> DataFrame:
-    """The k items nearest in time to an item, on either side."""
+    """The k items nearest in time to an item, on either side; ``micros`` is the exact difference, which orders them."""
     own = items.where(F.col("id") == target).select(F.col(ts).alias("own"))
     rows = items.where((F.col("id") != target) & F.col(ts).isNotNull()).crossJoin(F.broadcast(own))
-    days = days_between(F.col(ts), F.col("own"))
-    return rows.withColumn("days", days).orderBy("days", "id").limit(k).select("id", F.round("days", 4).alias("days"), F.round(F.col("days") * 24, 2).alias("hours"))
+    exact = F.abs(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("own").cast("timestamp")))
+    rows = rows.withColumns({"micros": exact, "days": days_between(F.col(ts), F.col("own"))}).orderBy("micros", "id").limit(k)
+    return rows.select("id", F.round("days", 4).alias("days"), F.round(F.col("days") * 24, 2).alias("hours"), "micros")
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, by: str, k: int = 1, span: float = 86_400.0) -> DataFrame:

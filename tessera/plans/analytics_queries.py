@@ -139,7 +139,7 @@ def ring_entity(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH t AS (SELECT ts AS own FROM events WHERE event_id = 100), d AS (SELECT event_id AS id, abs(epoch_us(ts) - epoch_us(own)) / 86400000000.0::DOUBLE AS days FROM events, t WHERE event_id <> 100) SELECT id, round(days, 4) AS days, round(days * 24, 2) AS hours FROM d ORDER BY d.days, id LIMIT 10")
 def ring_time(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "events").select(F.col("event_id").alias("id"), "ts")
-    return A.ring_time(rows, 100, "ts", 10)
+    return A.ring_time(rows, 100, "ts", 10).drop("micros")
 
 
 @query(

@@ -102,7 +102,7 @@ def context_lens(spark: SparkSession, sf: str) -> DataFrame:
     v = load(spark, sf, "embeddings")
     assigned = v.select(F.col("vec_id").alias("item_id"), F.col("label").alias("cluster_id"), (F.col("vec_id") % 10).alias("distance"))
     rings = {"similar": A.ring_similarity(v, 11, 6, "vec_id"), "cluster": A.ring_cluster(assigned, 11, 6), "entity": A.ring_terms(e, 11, ["click", "7"], "ts", ["event_type", "props"], 6), "time": A.ring_time(e, 11, "ts", 6)}
-    order = {"similar": [F.desc("score"), F.col("id")], "cluster": [F.col("distance"), F.col("id")], "entity": [F.desc("overlap"), F.col("id")], "time": [F.col("days"), F.col("id")]}
+    order = {"similar": [F.desc("score"), F.col("id")], "cluster": [F.col("distance"), F.col("id")], "entity": [F.desc("overlap"), F.col("id")], "time": [F.col("micros"), F.col("id")]}
     return api.context_lens(rings, order)
 
 
