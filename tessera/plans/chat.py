@@ -66,7 +66,7 @@ def reply(
     if follows and turns is not None and (last := C.last_user_turn(C.history(turns)).select("text").first()):
         wide = f"{wide} (context: {last['text']})"
     found = S.run(index, "" if compare and image else wide, vector_query, max(k, SOURCES + 2) if compare else k, image=image if compare else None)
-    policy, intent = found.policy, I.parse(query)
+    policy, intent = found.policy, I.parse(query, index.people)
     sure = found.confidence.select("band").first()
     if sure and sure["band"] == "low" and attached is None:
         top = found.rows.orderBy("rank").limit(SOURCES).collect()

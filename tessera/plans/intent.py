@@ -87,8 +87,11 @@ def _kind(borne: tuple[bool, bool, bool], enough: tuple[bool, bool, bool, bool])
     return name, max(LEAST, certainty - MIXED) if sum(borne) > 1 else certainty
 
 
-def parse(query: str) -> Intent:
-    """What a query asks for: its words sorted into what they say, and its kind by the signs these make."""
+def parse(query: str, people: bool = True) -> Intent:
+    """What a query asks for: its words sorted into what they say, and its kind by the signs these make.
+
+    Without ``people`` (items can't show any) no word asks for a person, and one like old is an attribute alone.
+    """
     raw, normal, words = query or "", normalised(query), tokens(query)
     said = {name: [w for w in words if w in known] for name, known in (("color", COLOR_TERMS), ("pattern", PATTERN_TERMS), ("clothing", CLOTHING_TERMS), ("activity", ACTIVITY_TERMS), ("age", AGE_TERMS), ("cue", CUE_TERMS))}
     own = [w for name in ("color", "pattern", "clothing", "activity", "age") for w in said[name]]
@@ -103,7 +106,7 @@ def parse(query: str) -> Intent:
     borne = (bool(names or (capital and IDENTITY_CUES.intersection(words))), bool(relations) or (presence and two), bool(attributes))
     kind, certainty = _kind(borne, (bool(names), two, bool(rest), len(rest) < 3))
     return Intent(
-        raw, words, rest, attributes, relations, rest[: 1 + several], said["color"], said["pattern"], said["activity"], names, not (PERSON_TERMS | CLOTHING_TERMS).isdisjoint(words), presence, kind, certainty
+        raw, words, rest, attributes, relations, rest[: 1 + several], said["color"], said["pattern"], said["activity"], names, people and not (PERSON_TERMS | CLOTHING_TERMS).isdisjoint(words), presence, kind, certainty
     )
 
 
@@ -184,7 +187,7 @@ def _listed(words: list[str]) -> Column:
     return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
-def understood(queries: DataFrame, text: str = "text") -> DataFrame:
+def understood(queries: DataFrame, text: str = "text", people: bool = True) -> DataFrame:
     """``parse``, ``policy`` and ``route`` of a table of queries, as columns beside its own; a null text is an empty one."""
     among = lambda known: F.array_intersect("tokens", _listed(sorted(known)))
     has = lambda c: F.size(c) > 0
@@ -201,7 +204,7 @@ def understood(queries: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumns({"relation_terms": F.array_compact(F.array(*named)), "retrieval_terms": F.array_except(F.array_except("tokens", _listed(sorted(STOPWORDS | RELATION_WORDS))), F.col("attribute_terms")), "capital": capital})
     several = has("relation_terms") | F.col("normal").rlike(_SEVERAL.pattern)
     two, presence = F.size("retrieval_terms") > 1, F.col("require_presence")
-    rows = rows.withColumns({"name_terms": F.array_distinct(F.array_except("capital", _listed(sorted(STOPWORDS)))), "presence_terms": F.slice("retrieval_terms", 1, F.when(several, 2).otherwise(1)), "require_presence": several | (has("attribute_terms") & has("retrieval_terms")), "require_person": has(among(PERSON_TERMS | CLOTHING_TERMS))})
+    rows = rows.withColumns({"name_terms": F.array_distinct(F.array_except("capital", _listed(sorted(STOPWORDS)))), "presence_terms": F.slice("retrieval_terms", 1, F.when(several, 2).otherwise(1)), "require_presence": several | (has("attribute_terms") & has("retrieval_terms")), "require_person": has(among(PERSON_TERMS | CLOTHING_TERMS)) & F.lit(people)})
     borne = [has("name_terms") | (has("capital") & has(among(IDENTITY_CUES))), has("relation_terms") | (presence & two), has("attribute_terms")]
     enough = [has("name_terms"), two, has("retrieval_terms"), F.size("retrieval_terms") < 3]
     first = lambda values: F.when(borne[0], values[0]).when(borne[1], values[1]).when(borne[2], values[2]).otherwise(values[3])

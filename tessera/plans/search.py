@@ -42,6 +42,7 @@ class Index:
     text: DataFrame | None = None
     scorer: str | None = None
     blocks: BL.Blocks | None = None
+    people: bool = True  # whether items may show persons; queries of others never require one
 
     def body(self) -> Column:
         more = [c for c in ("ocr_structured",) if c in self.items.columns]
@@ -198,7 +199,7 @@ def run(
         raise ValueError("keywords don't search by an image")
     if not query and image is None:
         raise ValueError("a query or an image is needed")
-    intent = I.parse(query)
+    intent = I.parse(query, index.people)
     policy = I.policy(intent)
     depth, deep = I.candidate_depth(k), I.policy_depth(k, policy.multiplier)
     vector_query = _query_vector(index, intent, query, vector_query, embedder)
@@ -248,7 +249,7 @@ def search(index: Index, query: str, vector_query: list[float] | None = None, k:
 
 def forced(index: Index, query: str, vector_query: list[float], mode: str, k: int = 10) -> DataFrame:
     """Search by image vectors (clip), text vectors (text) or both (hybrid), without cross rerank or verification, for evaluation."""
-    intent = I.parse(query)
+    intent = I.parse(query, index.people)
     policy = I.policy(intent)
     deep = max(k, math.ceil(k * policy.multiplier))
     if mode == "hybrid":

@@ -39,9 +39,9 @@ class Answers:
     confidence: DataFrame
 
 
-def planned(queries: DataFrame, k: int) -> DataFrame:
+def planned(queries: DataFrame, k: int, people: bool = True) -> DataFrame:
     """Queries (query_id, text, vector) with what is understood of them, their policies and their depths."""
-    rows = I.policies(I.understood(queries))
+    rows = I.policies(I.understood(queries, people=people))
     deep = F.greatest(F.lit(20 if k < 20 else k), F.ceil(k * F.col("multiplier"))).cast("int")
     weight = lambda table, other: F.coalesce(*[F.when(F.col("kind") == n, v) for n, v in table.items()], F.lit(other))
     return rows.withColumns({"depth": F.lit(I.candidate_depth(k)), "deep": deep, "alpha": weight({n: v[0] for n, v in FUZZY.items()}, 0.8), "beta": weight({n: v[1] for n, v in FUZZY.items()}, 0.2), "w_retrieval": weight(RETRIEVAL, 0.60)})
@@ -223,7 +223,7 @@ def run(index: Index, queries: DataFrame, k: int = 10, mode: str = "auto", strat
         raise ValueError("mode is auto, keyword or semantic; strategy is hybrid or legacy")
     if "vector" not in queries.columns:
         queries = queries.withColumn("vector", F.lit(None).cast("array<double>"))
-    found, queries = candidates(index, kept(planned(queries.select("query_id", "text", "vector"), k)), k, mode, strategy, fallback)
+    found, queries = candidates(index, kept(planned(queries.select("query_id", "text", "vector"), k, index.people)), k, mode, strategy, fallback)
     rows = projected(index.items.join(found.withColumn("score", F.round("score", 6)), "id"))
     rows = kept(R.reranked(R.quality_penalty(rows)))
     if index.scorer:
