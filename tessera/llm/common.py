@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 
 BATCH = "8m"
+PLACES = 1 << 26  # bits of a bitmap of ids: 8 MB
 
 
 def bounded(spark: SparkSession) -> None:
@@ -110,6 +111,22 @@ def bounded_ids(labelled: DataFrame, bound: int) -> list[int]:
     return [r[0] for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()]
 
 
+def among(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, text) of every row of ``docs`` whose key is a doc_id of ``ids``, by a join of any size.
+
+    A bitmap of hashed ids, PLACES bits at most whatever their number, keeps most other texts out of the shuffle.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES)) + 1
+    own = ids.select(F.col("doc_id").cast("long").alias("own")).where("own is not null").distinct()
+    placed = own.select(place(F.col("own")).alias("place"))
+    maps = placed.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).withColumn("place", place(F.col("key")))
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    near = rows.withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(maps), "bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return near.select("key", "text").join(own, F.col("key") == F.col("own"), "left_semi")
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a whole Arrow text column (nulls empty) and its offsets, without a copy per row."""
     if texts.null_count:

@@ -97,27 +97,27 @@ def grams(data: np.ndarray, offsets: np.ndarray, shapes: bool) -> tuple[np.ndarr
     return bucket, of
 
 
-def multinomials(docs: DataFrame, target: set, text: str, key: str, shapes: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per bucket over the target rows and over all rows.
+def multinomials(docs: DataFrame, target: DataFrame, text: str, key: str, shapes: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Counts per bucket over the target rows (those of the doc_ids of ``target``) and over all rows.
 
-    Every row of ``docs`` is counted. A task sends at most one row per bucket; the driver gets BUCKETS rows.
+    Every row of ``docs`` and every target row is counted. A task sends at most one row per bucket; the driver gets BUCKETS rows.
     """
-    from .common import let_go, slices, text_buffer
+    from .common import among, let_go, slices, text_buffer
 
     def run(batches):
         let_go()
-        raw, own = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for i, j in slices(b.column(1)):
                 data, offsets = text_buffer(b.column(1).slice(i, j - i))
-                wanted = np.fromiter((x in target for x in b.column(0).slice(i, j - i).to_pylist()), bool, j - i)
-                bucket, row = grams(data, offsets, shapes)
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                own += np.bincount(bucket[wanted[row]], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(own[at]), pa.array(raw[at])], ["bucket", "own", "raw"])
-
-    counts = docs.select(docs[key].cast("long"), docs[text]).mapInArrow(run, "bucket int, own long, raw long")
+                counts += np.bincount(grams(data, offsets, shapes)[0], minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["bucket", "n"])
+
+    counted = lambda rows: rows.mapInArrow(run, "bucket int, n long")
+    none = F.lit(0).cast("long")
+    every = counted(docs.select(docs[key].cast("long"), docs[text])).select("bucket", none.alias("own"), F.col("n").alias("raw"))
+    counts = every.unionByName(counted(among(docs, target, text, key)).select("bucket", F.col("n").alias("own"), none.alias("raw")))
     own, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r in counts.groupBy("bucket").agg(F.sum("own"), F.sum("raw")).collect():
         own[r[0]], raw[r[0]] = r[1], r[2]

@@ -1,6 +1,6 @@
 """Quality classifier: importance resampling.
 
-Weight of a document: the log ratio of two hashed n-gram generative models, one fitted on a bounded sample of target
+Weight of a document: the log ratio of two hashed n-gram generative models, one fitted on all target
 rows, one on every raw row, of a passage of PASSAGE n-grams of its kind (the mean of the document's n-grams and PRIOR
 more of weight 0, times PASSAGE), so that neither length nor a few n-grams decide. Rows are sampled without
 replacement by Gumbel top-k: the k largest of weight + noise, the noise standard Gumbel and drawn from a hash of the
@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import bounded_ids, let_go, slices, text_buffer, written
+from .common import let_go, slices, text_buffer, written
 
-TARGET_BOUND = 20_000
 PASSAGE = 16
 PRIOR = 32
 FLOOR = -4.0  # nats
@@ -40,9 +39,9 @@ def noise(doc_id: int | None, seed: str = SEED) -> float:
     return G.gumbel((h + 0.5) / 2**64)
 
 
-def fit(docs: DataFrame, target: list[int], text: str = "text", key: str = "doc_id") -> np.ndarray:
-    """Log ratio of target and raw model by bucket, from the bounded target rows and all rows."""
-    return G.log_ratio(*G.multinomials(docs, set(target), text, key, shapes=True), ALPHA)
+def fit(docs: DataFrame, target: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
+    """Log ratio of target and raw model by bucket, from the target rows and all rows."""
+    return G.log_ratio(*G.multinomials(docs, target, text, key, shapes=True), ALPHA)
 
 
 def weights_and_keys(ids: pa.Array, texts: pa.Array, model: np.ndarray, seed: str = SEED) -> tuple[list[float], list[int]]:
@@ -85,24 +84,24 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1 << 14) -> in
     return low
 
 
-def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, text: str, key: str, bound: int, floor: float, seed: str):
+def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, text: str, key: str, floor: float, seed: str):
     """The broadcast model, the written keys of all rows and the least key that is kept (None: no row is)."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, bounded_ids(labels.where("quality = 1"), bound), text, key))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where("quality = 1").select("doc_id"), text, key))
     keys = written(keyed(docs, model, text, key, seed), "importance")
     if k is None:
         k = keys.where(F.col("log_weight") >= floor).count()
     return model, keys, kth_largest(keys, "sample_key", k)
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", key: str = "doc_id", bound: int = TARGET_BOUND, floor: float = FLOOR, seed: str = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", key: str = "doc_id", floor: float = FLOOR, seed: str = SEED) -> DataFrame:
     """doc_id, log_weight, sample_key and kept of every row."""
-    _, keys, cut = _drawn(docs, labels, k, text, key, bound, floor, seed)
+    _, keys, cut = _drawn(docs, labels, k, text, key, floor, seed)
     return keys.withColumn("kept", F.col("sample_key") >= F.lit(cut) if cut is not None else F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", key: str = "doc_id", bound: int = TARGET_BOUND, floor: float = FLOOR, seed: str = SEED) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", key: str = "doc_id", floor: float = FLOOR, seed: str = SEED) -> DataFrame:
     """The sampled rows alone, with the columns of ``docs``; their keys are computed again, so that no text is written twice."""
-    model, _, cut = _drawn(docs, labels, k, text, key, bound, floor, seed)
+    model, _, cut = _drawn(docs, labels, k, text, key, floor, seed)
     ids, texts = docs.columns.index(key), docs.columns.index(text)
 
     def run(batches):

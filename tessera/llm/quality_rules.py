@@ -1,7 +1,6 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio of trusted target against raw corpus.
 
-The target multinomial is fitted on a bounded, documented sample of trusted rows; the raw one counts every row. A
-document's ratio is divided by its number of n-grams and held against one fixed threshold, so that equal texts get
+The target multinomial counts every trusted row, the raw one every row. A document's ratio is divided by its number of n-grams and held against one fixed threshold, so that equal texts get
 equal verdicts.
 
 Null and empty texts have no words and fail the base rule; without any trusted row the ratio is 0 for all
@@ -16,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import grams as G
-from .common import bounded_ids, slices, text_buffer
+from .common import slices, text_buffer
 
-TRUSTED_BOUND = 20_000
 THRESHOLD = -0.25  # nats an n-gram
 ALPHA = 1.0
 WINDOW = 8
@@ -60,17 +58,18 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - spaces, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeat_words(words)
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED_BOUND) -> list[int]:
-    return bounded_ids(labels.where("quality = 1"), bound)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The doc_ids of all rows of quality 1."""
+    return labels.where("quality = 1").select("doc_id")
 
 
-def fit(docs: DataFrame, target: list[int], text: str = "text", key: str = "doc_id", alpha: float = ALPHA) -> np.ndarray:
-    return G.log_ratio(*G.multinomials(docs, set(target), text, key, shapes=False), alpha)
+def fit(docs: DataFrame, target: DataFrame, text: str = "text", key: str = "doc_id", alpha: float = ALPHA) -> np.ndarray:
+    return G.log_ratio(*G.multinomials(docs, target, text, key, shapes=False), alpha)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", bound: int = TRUSTED_BOUND, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: base counts, base verdict, mean log-likelihood ratio and whether it is kept."""
-    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, trusted_ids(labels, bound), text, key))
+    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, trusted_ids(labels), text, key))
 
     def run(batches):
         for b in batches:
