@@ -276,10 +276,16 @@ def compared(index: Index, query: str, vector_query: list[float] | None = None)
 
 
 def batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Keyword search of a table of queries (query_id, text), without branches."""
-    terms = queries.select("query_id", X.unicode_tokens(F.col("text")).alias("terms"))
-    hits = K.bm25_batch(index.postings, index.stats, terms)
-    return R.ranked(hits.select("query_id", "id", (-F.col("bm25")).alias("score")), k)
+    """Keyword search of a table of queries (query_id, text), without branches.
+
+    Queries of the same words, in whatever order, are searched once, and each gets the list of all.
+    """
+    terms = queries.select("query_id", F.array_sort(X.unicode_tokens(F.col("text"))).alias("terms"))
+    asked = terms.groupBy("terms").agg(F.min("query_id").alias("first"))
+    hits = K.bm25_batch(index.postings, index.stats, asked.select(F.col("first").alias("query_id"), "terms"))
+    lists = R.ranked(hits.select("query_id", "id", (-F.col("bm25")).alias("score")), k)
+    own = terms.join(asked, "terms").select("query_id", "first")
+    return own.join(lists.withColumnRenamed("query_id", "first"), "first").select("query_id", "id", "score", "rank")
 
 
 def log_search(rows: DataFrame, query: str, routing: str, path: str) -> None:
