@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 
+from . import nearest as N
+
 QUERY = "query_id"
 
 
@@ -24,13 +26,33 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "id", vector:
     return rows.orderBy(F.desc("score"), "id").limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256, most: int = 4096) -> DataFrame:
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, slice_: int = 1 << 14, block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest of every query vector (query_id, query).
 
-    A stated set of queries against all vectors, in blocks: a block of queries is one row, which each vector meets
-    once. At most ``most`` queries are sent to the tasks at a time, whatever their number; more go in further passes
-    over the vectors, each cut to k a query. The first cut is made before the shuffle (WindowGroupLimit).
+    A stated set of queries against all vectors: slices of the vectors meet blocks of the queries, each pair of them in a
+    task by matrix products, and gives k a query. Rows without a whole vector of the queries' length are scanned apart.
     """
+    dims = queries.agg(F.count("*").alias("n"), F.max(F.size("query")).alias("width")).first()
+    whole = lambda c: F.coalesce((F.size(c) == F.lit(dims["width"])) & ~F.exists(c, lambda x: x.isNull()), F.lit(False))
+    odd = lambda df, c: df.agg(F.count("*"), F.count(F.when(~whole(c), 1))).first()
+    if not dims["n"] or dims["width"] is None or dims["width"] < 1:
+        return _scanned(vectors, queries, k)
+    n, odd_vectors = odd(vectors, "embedding")
+    odd_queries = odd(queries, "query")[1]
+    slices, blocks = max(1, -(-n // slice_)), max(1, -(-dims["n"] // block))
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    cut = vectors.where(whole("embedding")).select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), each(blocks).alias("block"))
+    asked = queries.where(whole("query")).select(QUERY, "query", each(slices).alias("slice"), F.pmod(F.xxhash64(QUERY), F.lit(blocks)).cast("int").alias("block"))
+    found = [N.grouped(cut, asked, ["slice", "block"], k)]
+    if odd_vectors:
+        found.append(_scanned(vectors.where(~whole("embedding")), queries, k).drop("rank"))
+    if odd_queries:
+        found.append(_scanned(vectors.where(whole("embedding")), queries.where(~whole("query")), k).drop("rank"))
+    return ranked(reduce(DataFrame.unionByName, found), k)
+
+
+def _scanned(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256, most: int = 4096) -> DataFrame:
+    """``knn_batch`` by a scan for each ``most`` queries, in blocks: a block of queries is one row, which each vector meets once."""
     blocks = max(1, -(-queries.count() // block))
     numbered = queries.withColumn("block", F.pmod(F.xxhash64(QUERY), F.lit(blocks)))
     found = []
