@@ -153,6 +153,15 @@ def fuzzy_score(terms: list[str], text: Column, threshold: float = LIKE, known:
     return reduce(lambda a, b: a + b, map(best, asked)) / len(asked)
 
 
+def _likenesses(rows: DataFrame, terms: list[str], text: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """``rows`` with the likeness of each term to their text, computed once for each different text; and the columns by term."""
+    names = {t: f"like_{i}_" for i, t in enumerate(t for t in dict.fromkeys(terms) if len(t) >= 2)}
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = rows.select(text.alias("text_")).distinct().repartition(parts, "text_")  # few bytes, much work
+    texts = texts.withColumns({n: likeness(t, F.col("text_")) for t, n in names.items()}) if names else texts
+    return rows.withColumn("text_", text).join(texts, "text_", "left"), {t: F.coalesce(n, F.lit(0.0)) for t, n in names.items()}
+
+
 def vocabulary(rows: DataFrame, text: Column, most: int = 4000) -> DataFrame:
     """(token, n) of words of three letters or more by the number of rows that hold them."""
     words = rows.select(F.explode(F.filter(X.unicode_tokens(text), lambda w: F.length(w) >= 3)).alias("token"))
@@ -167,12 +176,20 @@ def corrections(vocab: DataFrame, terms: list[str], threshold: float = 0.84) ->
     return rows.groupBy("term").agg(F.min_by("token", F.struct(-F.col("ratio"), F.col("token"))).alias("correction"), F.max("ratio").alias("ratio"))
 
 
-def fuzzy_rank(rows: DataFrame, terms: list[str], text: Column, alpha: float = 0.85, beta: float = 0.15, threshold: float = 0.84, least: float = 0.0, typos: bool = False, hybrid: bool = False, known: dict[str, Column] | None = None) -> DataFrame:
-    """Semantic and fuzzy likeness combined: the typo-tolerant rerank."""
+def _greatest(rows: DataFrame, value: str, name: str, apart: bool) -> DataFrame:
+    """``rows`` with the greatest ``value`` of their list as ``name``: by a window, or ``apart`` by an aggregate where a list is too long for one task."""
+    if not apart:
+        return rows.withColumn(name, F.max(value).over(Window.partitionBy(QUERY)))
+    best = rows.groupBy(F.col(QUERY).alias("list_")).agg(F.max(value).alias(name))
+    return rows.join(best, F.col(QUERY).eqNullSafe(F.col("list_"))).drop("list_")
+
+
+def fuzzy_rank(rows: DataFrame, terms: list[str], text: Column, alpha: float = 0.85, beta: float = 0.15, threshold: float = 0.84, least: float = 0.0, typos: bool = False, hybrid: bool = False, known: dict[str, Column] | None = None, apart: bool = False) -> DataFrame:
+    """Semantic and fuzzy likeness combined: the typo-tolerant rerank. ``apart`` is for lists of any length, see ``_greatest``."""
     if not typos:
         alpha = max(alpha, 0.9)
         beta = min(beta, 1 - alpha)
-    top = F.max("score").over(Window.partitionBy(QUERY))
+    rows, top = _greatest(rows, "score", "top_", apart), F.col("top_")
     vector = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / F.when(top > 0, top).otherwise(1.0)))
     support = F.when(F.coalesce(F.col("text_score"), F.lit(0.0)) != 0, F.col("text_score")).otherwise(F.col("vector")) if "text_score" in rows.columns else F.col("vector")
     rows = rows.withColumn("fuzzy", fuzzy_score(terms, text, threshold, known)).withColumn("vector", vector)
@@ -180,9 +197,9 @@ def fuzzy_rank(rows: DataFrame, terms: list[str], text: Column, alpha: float = 0
     final = alpha * (a * F.col("vector") + b * support) + beta * F.col("fuzzy")
     final = F.when(final < least, final * 0.95).otherwise(final)
     if typos:
-        most = F.max("fuzzy").over(Window.partitionBy(QUERY))
+        rows, most = _greatest(rows, "fuzzy", "most_", apart), F.col("most_")
         final = F.when((most >= 0.30) & (F.col("fuzzy") == 0), final * (0.85 + 0.15 * support)).otherwise(final)
-    return reranked(rows.withColumn("score", F.round(final, 6)), F.desc("fuzzy"))
+    return reranked(rows.withColumn("score", F.round(final, 6)).drop("top_", "most_"), F.desc("fuzzy"))
 
 
 def reranked(rows: DataFrame, *more: Column) -> DataFrame:
@@ -197,10 +214,13 @@ SYNONYMS = {"car": ["suv", "vehicle", "automobile", "sedan", "hatchback"], "bike
 PERSON = ["person", "people", "man", "men", "woman", "women", "couple", "boy", "girl", "male", "female"]
 
 
-def intent_rank(rows: DataFrame, intent, text: Column, entity_tokens: Column | None = None, evidence: Column | None = None, w_retrieval: float = 0.6, w_attribute: float = 0.2, w_relation: float = 0.2, penalty: float = 0.35, boosts: tuple = (0.20, 0.20, 0.12), presence_required: bool = False, known: dict[str, Column] | None = None) -> DataFrame:
-    """Rerank by what the query asks for: overlap, attributes (colour, pattern and activity boosts), relations, presence."""
+def intent_rank(rows: DataFrame, intent, text: Column, entity_tokens: Column | None = None, evidence: Column | None = None, w_retrieval: float = 0.6, w_attribute: float = 0.2, w_relation: float = 0.2, penalty: float = 0.35, boosts: tuple = (0.20, 0.20, 0.12), presence_required: bool = False, known: dict[str, Column] | None = None, apart: bool = False) -> DataFrame:
+    """Rerank by what the query asks for: overlap, attributes (colour, pattern and activity boosts), relations, presence. ``apart`` is for lists of any length, see ``_greatest``."""
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    top = F.max("score").over(Window.partitionBy(QUERY))
+    own = rows.columns
+    if apart and known is None:
+        rows, known = _likenesses(rows, [*intent.retrieval_terms, *intent.attribute_terms, *intent.relation_terms, *intent.colors, *intent.patterns, *intent.activity_terms], text)
+    rows, top = _greatest(rows, "score", "top_", apart), F.col("top_")
     words = F.array_distinct(X.ascii_tokens(text))
     named = F.array_union(words, entity_tokens) if entity_tokens is not None else words
     attribute = fuzzy_score(intent.attribute_terms, text, known=known)
@@ -226,7 +246,8 @@ def intent_rank(rows: DataFrame, intent, text: Column, entity_tokens: Column | N
     if presence_required and intent.presence_terms:
         cut = max(penalty, 0.60) if intent.attribute_terms and intent.retrieval_terms else penalty
         final = F.when(F.col("presence_score") < 0.5, final * max(0.0, 1 - cut)).otherwise(final)
-    return reranked(rows.withColumn("score", F.round(final, 6)))
+    spent = [c for c in rows.columns if c.endswith("_") and c not in own]
+    return reranked(rows.withColumn("score", F.round(final, 6)).drop(*spent))
 
 
 def compatibility_rank(rows: DataFrame, intent, text: Column, w_appearance: float = 0.14, w_activity: float = 0.12, missing: float = 0.40, known: dict[str, Column] | None = None) -> DataFrame:

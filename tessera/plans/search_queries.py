@@ -351,7 +351,7 @@ _PART_LIST = "l AS (SELECT p_partkey AS id, 1 / (1 + p_size::DOUBLE) AS score FR
 )
 def fuzzy_rank(spark: SparkSession, sf: str) -> DataFrame:
     rows = catalogue(spark, sf).select(F.lit(0).alias("query_id"), "id", "caption", (1.0 / (1 + F.col("p_size"))).alias("score"))
-    return R.fuzzy_rank(rows, _FUZZY, F.col("caption"), typos=True).where("rank <= 100").select("rank", "id", F.round("score", 6).alias("score"), F.round("fuzzy", 6).alias("fuzzy"))
+    return R.fuzzy_rank(rows, _FUZZY, F.col("caption"), typos=True, apart=True).where("rank <= 100").select("rank", "id", F.round("score", 6).alias("score"), F.round("fuzzy", 6).alias("fuzzy"))
 
 
 @query(
@@ -390,7 +390,7 @@ def intent_rank(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = catalogue(spark, sf).select(F.lit(0).alias("query_id"), "id", "caption", "summary", (1.0 / (1 + F.col("p_size"))).alias("score"))
     intent = parse("red widget")
-    return R.intent_rank(rows, intent, F.concat_ws(" ", "caption", "summary"), w_retrieval=0.58, presence_required=True).where("rank <= 100").select("rank", "id", "score", F.round("attribute_score", 6).alias("attribute_score"), F.round("presence_score", 6).alias("presence_score"))
+    return R.intent_rank(rows, intent, F.concat_ws(" ", "caption", "summary"), w_retrieval=0.58, presence_required=True, apart=True).where("rank <= 100").select("rank", "id", "score", F.round("attribute_score", 6).alias("attribute_score"), F.round("presence_score", 6).alias("presence_score"))
 
 
 @query(
