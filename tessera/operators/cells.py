@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import vectors as V
 
+from .nearest import grouped
 from .ranking import QUERY, ranked
 
 FIT = 100_000  # vectors that centroids are fitted on, at most about; every vector is stored
@@ -27,7 +28,7 @@ CELLS = 64  # cells at most
 WIDTH = 0.05  # of a shell, in distance; two vectors of length 1 are at most 2 apart
 SIZE = 4096  # vectors of a unit, about; fuller shells are cut by a hash of the id
 SLACK = 1e-7  # by which distances may be off
-BLOCK = 256  # queries that meet a vector in one row, about
+BLOCK = 2048  # queries that meet a unit in one group, about
 NOWHERE = -1  # the cell of vectors without a length, which every query scores 0
 
 
@@ -87,27 +88,28 @@ def read(spark: SparkSession, path: str) -> Cells:
 
 
 def _apart(index: Cells, queries: DataFrame) -> DataFrame:
-    """(query_id, query, unit, n, least): the least distance at which a unit may hold a vector. Queries without a length are near everything."""
+    """(query_id, unit, n, least): the least distance at which a unit may hold a vector. Queries without a length are near everything."""
     cells = queries.sparkSession.createDataFrame([(c, v) for c, v in index.centroids.items()] + [(NOWHERE, None)], "cell int, centroid array<double>")
-    asked = queries.select(QUERY, "query", V.unit(F.col("query")).alias("at"), (V.norm(F.col("query")) > 0).alias("long"))
-    to = asked.crossJoin(F.broadcast(cells)).select(QUERY, "query", "cell", "long", V.l2(F.col("at"), F.col("centroid")).alias("to"))  # CELLS rows at most
+    asked = queries.select(QUERY, V.unit(F.col("query")).alias("at"), (V.norm(F.col("query")) > 0).alias("long"))
+    to = asked.crossJoin(F.broadcast(cells)).select(QUERY, "cell", "long", V.l2(F.col("at"), F.col("centroid")).alias("to"))  # CELLS rows at most
     least = F.greatest(F.col("to") - F.col("high"), F.col("low") - F.col("to"), F.lit(0.0))
     # a vector without a length scores 0, as one at a right angle does
     bound = F.when(~F.col("long"), 0.0).when(F.col("cell") == NOWHERE, F.lit(2.0**0.5)).otherwise(least)
-    return to.join(index.units, "cell").select(QUERY, "query", "unit", "n", bound.alias("least"))
+    return to.join(index.units, "cell").select(QUERY, "unit", "n", bound.alias("least"))
 
 
-def _scored(index: Cells, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of the k best in the units that are asked of each query."""
+def _scored(index: Cells, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) of the k best in the units that are asked (query_id, unit) of each query."""
     sizes = asked.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64(QUERY), F.col("blocks")).alias("block")
-    blocks = asked.join(sizes, "unit").groupBy("unit", block).agg(F.collect_list(F.struct(QUERY, "query")).alias("asked"))
-    pairs = index.vectors.select("id", "embedding", "unit").join(blocks, "unit").select("id", "embedding", F.explode("asked").alias("q"))
-    return ranked(pairs.select(F.col(f"q.{QUERY}").alias(QUERY), "id", V.cosine(F.col("embedding"), F.col("q.query")).alias("score")), k)
+    blocks = asked.join(sizes, "unit").join(queries.select(QUERY, "query"), QUERY).select(QUERY, "query", "unit", block)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    vectors = index.vectors.select("id", "embedding", "unit").join(sizes, "unit").select("id", "embedding", "unit", every)
+    return ranked(grouped(vectors, blocks, ["unit", "block"], k), k)
 
 
 def pairs_left(index: Cells, queries: DataFrame, k: int, keep=lambda df: df) -> DataFrame:
-    """(query_id, query, unit, n): the units that the k nearest of a query may be in.
+    """(query_id, unit, n): the units that the k nearest of a query may be in.
 
     The nearest units that hold k vectors are searched first, which gives a k-th score; units that are farther go.
     ``keep`` may store the distances, which are read twice.
@@ -115,13 +117,13 @@ def pairs_left(index: Cells, queries: DataFrame, k: int, keep=lambda df: df) ->
     apart = keep(_apart(index, queries))
     before = F.sum("n").over(Window.partitionBy(QUERY).orderBy("least", "unit").rowsBetween(Window.unboundedPreceding, -1))
     ahead = apart.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < k)
-    kth = _scored(index, ahead, k).where(F.col("rank") == k).select(QUERY, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("reach"))
-    return apart.join(kth, QUERY, "left").where(F.col("reach").isNull() | (F.col("least") <= F.col("reach") + SLACK)).select(QUERY, "query", "unit", "n")
+    kth = _scored(index, ahead, queries, k).where(F.col("rank") == k).select(QUERY, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("reach"))
+    return apart.join(kth, QUERY, "left").where(F.col("reach").isNull() | (F.col("least") <= F.col("reach") + SLACK)).select(QUERY, "unit", "n")
 
 
 def nearest(index: Cells, queries: DataFrame, k: int, keep=lambda df: df) -> DataFrame:
     """(query_id, id, score, rank): what ``ranking.knn_batch`` gives, from the units that may hold it."""
-    return _scored(index, pairs_left(index, queries, k, keep), k)
+    return _scored(index, pairs_left(index, queries, k, keep), queries, k)
 
 
 def share(index: Cells, queries: DataFrame, k: int) -> DataFrame:
