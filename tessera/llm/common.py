@@ -124,7 +124,8 @@ def among(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
     at = F.bitmap_bit_position("place")
     byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     near = rows.withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(maps), "bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
-    return near.select("key", "text").join(own, F.col("key") == F.col("own"), "left_semi")
+    # ids are distinct; an inner join, as Spark puts a semi join before the bitmap and shuffles every text. The texts needn't be sorted
+    return near.select("key", "text").join(own.hint("shuffle_hash"), F.col("key") == F.col("own")).select("key", "text")
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
