@@ -12,14 +12,19 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add, and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .keyword import B, FLOOR, K1, _matches, corpus_stats
+from .keyword import B, FLOOR, K1, _matches
 
 SIZE = 4096  # items of a block, about
+SORTED = 4_000_000  # postings that a task puts in order, about
 LONGEST = 16  # letters of the prefixes that are counted when the index is written; longer ones are counted when they are asked
 AHEAD = 8, 128  # blocks that are scored first, for the k-th score: so few that a scan takes them by name, and more if these lack k items
+ITEM, POSTING, PREFIX = range(3)  # KINDS of the rows that a text gives
 SLACK = 1 + 1e-9  # bounds and scores are summed in another order
 
 
@@ -38,32 +43,109 @@ class Blocks:
         return self.postings.select("term", F.inline("items"))
 
 
-def _impact(tf: Column, dl: Column, avgdl: Column) -> Column:
+def _impact(tf, dl, avgdl):
+    """Of columns, or of arrays in a task."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def _counted(batches):
+    """Rows of KINDS from (id, dl, tokens): every item, its distinct tokens with their numbers, and how many items of the batch hold a prefix."""
+    for b in batches:
+        n, lists = b.num_rows, b.column(2)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        held = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+        codes = coded.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[held]
+        found, tf = _distinct(np.repeat(np.arange(n), sizes)[held], codes, len(coded.dictionary))
+        row, codes = found
+        of = pa.array(row)
+        yield _rows(b.schema, ITEM, b.column(0), b.column(1), None, None)
+        yield _rows(b.schema, POSTING, b.column(0).take(of), b.column(1).take(of), coded.dictionary.take(pa.array(codes)), pa.array(tf))
+        lengths = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)
+        for size in range(4, LONGEST + 1):
+            long = lengths[codes] >= size
+            if not long.any():
+                break
+            row, codes = row[long], codes[long]
+            starts = pc.utf8_slice_codeunits(coded.dictionary, 0, size).dictionary_encode()
+            (_, of), _ = _distinct(row, starts.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes], len(starts.dictionary))
+            counts = np.bincount(of, minlength=len(starts.dictionary))
+            at = np.flatnonzero(counts)
+            yield _rows(b.schema, PREFIX, None, None, starts.dictionary.take(pa.array(at)), pa.array(counts[at]))
+
+
+def _distinct(row: np.ndarray, code: np.ndarray, codes: int):
+    """The distinct pairs of a row and a code, in order, and how often each stands."""
+    pairs = np.sort(row * max(1, codes) + code)
+    at = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+    return np.divmod(pairs[at], max(1, codes)), np.diff(np.append(at, len(pairs)))
+
+
+def _rows(schema, kind: int, *columns) -> pa.RecordBatch:
+    n = next(len(c) for c in columns if c is not None)
+    kinds = schema.field(0).type, pa.int64(), pa.string(), pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.nulls(n, k) if c is None else c.cast(k) for c, k in zip(columns, kinds))], ["kind", "id", "dl", "term", "tf"])
+
+
+def _gathered(avgdl: float):
+    """(term, block, n, top, items) from postings in order of term and block; only the last block of a batch waits for the next."""
+
+    def rows(b, starts):
+        tf, dl = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        items = pa.StructArray.from_arrays([b.column(2), b.column(3), b.column(4)], ["id", "tf", "dl"])
+        top = np.maximum.reduceat(_impact(tf, dl, avgdl), starts)
+        ends = np.append(starts, b.num_rows)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), items)
+        at = pa.array(starts)
+        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.diff(ends), pa.int64()), pa.array(top), lists], ["term", "block", "n", "top", "items"])
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            if not b.num_rows:
+                continue
+            new = [pc.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False) for c in (b.column(0), b.column(1))]
+            starts = np.append(0, np.flatnonzero(new[0] | new[1]) + 1)
+            if len(starts) > 1:
+                yield rows(b.slice(0, starts[-1]), starts[:-1])
+            rest = b.slice(starts[-1])
+        if rest is not None:
+            yield rows(rest.take(pa.array(np.arange(rest.num_rows))), np.zeros(1, np.int64))
+
+    return run
+
+
 def write(tokens: DataFrame, path: str, files: int = 64, size: int = SIZE) -> None:
-    """The index of (id, tokens) under ``path``. Ids are unique; repeated ones are refused. Items without a token are counted and hold nothing."""
+    """The index of (id, tokens) under ``path``. Ids are unique; repeated ones are refused. Items without a token are counted and hold nothing.
+
+    Texts are tokenised once: ``path``/words has what they give while the index is written.
+    """
     spark = tokens.sparkSession
-    if tokens.groupBy("id").count().where("count > 1").limit(1).count():
+    kind = tokens.schema["id"].dataType.simpleString()
+    given = tokens.select("id", F.size("tokens").cast("long").alias("dl"), "tokens").mapInArrow(_counted, f"kind int, id {kind}, dl long, term string, tf long")
+    given.write.mode("overwrite").parquet(f"{path}/words")
+    of = lambda k: spark.read.schema(given.schema).parquet(f"{path}/words").where(F.col("kind") == k)
+    if of(ITEM).groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError("ids repeat")
-    corpus_stats(tokens).write.mode("overwrite").parquet(f"{path}/stats")
-    average = spark.read.parquet(f"{path}/stats").select("avgdl")
-    sized = tokens.select("id", "tokens", F.size("tokens").cast("long").alias("dl")).where("dl > 0").withColumn("level", F.floor(4 * F.log2("dl")))
-    levels = sized.groupBy("level").agg(F.ceil(F.count("*") / size).alias("slices"))  # 125 rows at most: quarter powers of two
-    placed = sized.join(F.broadcast(levels), "level").withColumn("block", F.col("level") * 2**32 + F.pmod(F.xxhash64("id"), "slices"))
-    words = placed.select("block", "id", "dl", F.explode("tokens").alias("term")).repartition("block", "term")  # one shuffle for both groupings
-    per = words.groupBy("block", "term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).crossJoin(F.broadcast(average))  # one row
-    top = F.max(_impact(F.col("tf"), F.col("dl"), F.col("avgdl")))
-    blocks = per.groupBy("block", "term").agg(F.count("*").alias("n"), top.alias("top"), F.collect_list(F.struct("id", "tf", "dl")).alias("items"))
-    ranged = blocks.repartitionByRange(files, "term", "block").withColumn("range", F.spark_partition_id()).sortWithinPartitions("range", "term", "block")
+    of(ITEM).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+    tasks = -(-of(POSTING).count() // (files * SORTED)) or 1  # of a range
+    average = spark.read.parquet(f"{path}/stats").first()["avgdl"]
+    level = F.floor(4 * F.log2("dl")).alias("level")
+    levels = of(ITEM).where("dl > 0").groupBy(level).agg(F.ceil(F.count("*") / size).alias("slices"))  # 125 rows at most: quarter powers of two
+    block = F.col("level") * 2**32 + F.pmod(F.xxhash64("id"), "slices")
+    per = of(POSTING).select("*", level).join(F.broadcast(levels), "level").select("term", block.alias("block"), "id", "tf", "dl")
+    placed = per.repartitionByRange(files * tasks, "term", "block").sortWithinPartitions("term", "block")  # a block of a term is one task's
+    blocks = placed.mapInArrow(_gathered(average), f"term string, block long, n long, top double, items array<struct<id: {kind}, tf: long, dl: long>>")
+    ranged = blocks.withColumn("range", (F.spark_partition_id() / tasks).cast("int")).sortWithinPartitions("range", "term", "block")
     ranged.write.mode("overwrite").partitionBy("range").option("parquet.page.row.count.limit", 64).parquet(f"{path}/postings")
     spans = spark.read.schema(ranged.schema).parquet(f"{path}/postings").groupBy("range").agg(F.min("term").alias("first"), F.max("term").alias("last"))
     spans.coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
-    long = F.filter(F.array_distinct("tokens"), lambda t: F.length(t) > 3)
-    starts = F.flatten(F.transform(long, lambda t: F.transform(F.sequence(F.lit(4), F.least(F.length(t), F.lit(LONGEST))), lambda n: t.substr(F.lit(1), n))))
-    counted = tokens.select(F.explode(F.array_distinct(starts)).alias("start")).groupBy("start").agg(F.count("*").alias("n"))
-    counted.repartitionByRange(max(1, files // 8), "start").sortWithinPartitions("start").write.mode("overwrite").parquet(f"{path}/prefixes")
+    starts = of(PREFIX).groupBy(F.col("term").alias("start")).agg(F.sum("tf").alias("n"))
+    starts.repartitionByRange(max(1, files // 8) * tasks, "start").sortWithinPartitions("start").write.mode("overwrite").parquet(f"{path}/prefixes")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/words")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read(spark: SparkSession, path: str) -> Blocks:

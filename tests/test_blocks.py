@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import blocks as BL
 from tessera.operators import keyword as K
@@ -108,3 +109,26 @@ def test_search_over_a_stored_index_in_blocks(spark, tmp_path):
     finally:
         for t in ("items", "stats"):
             spark.sql(f"DROP TABLE IF EXISTS blocks_test_{t}")
+
+
+def test_texts_are_tokenised_once_and_large_ranges_have_many_tasks(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def split(text):
+        seen.add(1)
+        return text.split() + [None]
+
+    texts = [(i, " ".join(random.Random(i).choices(STEMS, k=1 + i % 9))) for i in range(300)]
+    tokens = spark.createDataFrame(texts, "id long, text string").select("id", F.udf(split, "array<string>")("text").alias("tokens"))
+    monkeypatch.setattr(BL, "SORTED", 100)
+    BL.write(tokens, str(tmp_path), files=2, size=16)
+    assert seen.value == 300
+    index = BL.read(spark, str(tmp_path))
+    assert index.ranges.count() == 2 and not (tmp_path / "words").exists()
+    held = K.postings(tokens).where("term is not null")
+    assert sorted(map(tuple, index.flat().collect())) == sorted(map(tuple, held.collect()))
+    assert index.postings.groupBy("term", "block").count().where("count > 1").count() == 0
+    starts = {(w[:n], i) for i, t in texts for w in t.split() for n in range(4, len(w) + 1)}
+    assert {(r["start"], r["n"]) for r in index.prefixes.collect()} == {(s, sum(1 for x in starts if x[0] == s)) for s, _ in starts}
+    for text in ("ring", "cold", "wide widg"):
+        assert top(BL.best(index, K.query_terms(text), 5), 5) == top(K.bm25(held, K.corpus_stats(tokens), K.query_terms(text)), 5)
