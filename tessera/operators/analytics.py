@@ -191,13 +191,19 @@ def attribute_map(attributes: DataFrame, highest: bool = False) -> DataFrame:
     return one.groupBy("image_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attributes"))
 
 
-def relations_resolved(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations with the entity ids of their subject and object labels; the first entity of a label wins."""
-    first = entities.groupBy("image_id", F.lower("label").alias("label")).agg(F.min("entity_id").alias("entity_id"))
+def relations_resolved(relations: DataFrame, entities: DataFrame, parts: int | None = None) -> DataFrame:
+    """Relations with the entity ids of their subject and object labels; the first entity of a label wins.
+
+    ``parts`` is the number of partitions of either side of the joins; None leaves it to the session.
+    """
+    spread = lambda rows, *keys: rows.repartition(parts, *keys) if parts else rows
+    labelled = spread(entities.select("image_id", F.lower("label").alias("label"), "entity_id"), "image_id", "label")
+    first = labelled.groupBy("image_id", "label").agg(F.min("entity_id").alias("entity_id"))
     s = first.select("image_id", F.col("label").alias("s"), F.col("entity_id").alias("subject_id"))
     o = first.select("image_id", F.col("label").alias("o"), F.col("entity_id").alias("object_id"))
     rows = relations.withColumn("s", F.lower("subject")).withColumn("o", F.lower("object"))
-    return rows.join(s, ["image_id", "s"], "left").join(o, ["image_id", "o"], "left").drop("s", "o")
+    named = spread(rows, "image_id", "s").join(s, ["image_id", "s"], "left")
+    return spread(named, "image_id", "o").join(o, ["image_id", "o"], "left").drop("s", "o")
 
 
 def entity_memory(images: DataFrame, entities: DataFrame, attributes: DataFrame, mentions: DataFrame, relations: DataFrame | None = None) -> DataFrame:

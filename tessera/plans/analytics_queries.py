@@ -222,11 +222,15 @@ def relation_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return _relations(load(spark, sf, "lineitem"))
 
 
+TASK = 1_000_000  # relations that a task joins, about
+
+
 def _relations(li: DataFrame) -> DataFrame:
     entities = li.select(F.col("l_orderkey").alias("image_id")).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8), F.lit(2))))
     entities = entities.select("image_id", F.concat(F.lit("E"), F.col("k").cast("string")).alias("label"), F.col("k").cast("long").alias("entity_id"))
     rel = li.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("e"), (F.col("l_suppkey") % 10).cast("string")).alias("subject"), F.lit("none").alias("object"))
-    return A.relations_resolved(rel, entities).select("image_id", "n", "subject_id")
+    parts = -(-li.count() // TASK)  # of a scan's footers
+    return A.relations_resolved(rel, entities, parts if parts > int(li.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None).select("image_id", "n", "subject_id")
 
 
 BIAS = "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events), c AS (SELECT user_id, event_type AS category, count(*) AS n FROM r WHERE rn <= 10 GROUP BY ALL), b AS (SELECT *, 1 + 0.5::DOUBLE * n / sum(n) OVER (PARTITION BY user_id) AS bias FROM c)"
