@@ -101,29 +101,42 @@ def bm25_batch(index: DataFrame, stats: DataFrame, queries: DataFrame, most: int
     return scored.where("found = asked").select("query_id", "id", "bm25")
 
 
-def bm25_table(index: DataFrame, stats: DataFrame, queries: DataFrame, keep=lambda df: df) -> DataFrame:
+def table_terms(text: str | Column) -> Column:
+    """The words of ``query_terms`` for a column of queries; their order says nothing."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))))
+
+
+def bm25_table(index: DataFrame, stats: DataFrame, queries: DataFrame, keep=lambda df: df, most: int = 1_000_000) -> DataFrame:
     """(query_id, id, bm25) of many queries (query_id, text): what ``bm25`` gives for ``query_terms`` of each.
 
     A term that is asked more than once is searched once. A word of the index meets the terms that it may start with by
     their first four letters, which is an equal join: a term of up to three letters is only matched whole, and every longer one
-    has four. Items of a query are looked for among those of its rarest term. ``keep`` may store the terms' postings, which are read three times.
+    has four. An item is one row with the frequencies of all asked terms that it holds, and meets the queries whose rarest term is among
+    them; whether it holds their other terms is then seen in the row, so that what doesn't hit is neither shuffled nor stored. ``keep`` may
+    store these rows, which are read twice. ``most`` bounds the queries' terms that are sent to every task; more are joined.
     """
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    asked = queries.select("query_id", F.explode(terms).alias("asked"))
+    asked = queries.select("query_id", F.explode(table_terms("text")).alias("asked"))
     wanted = asked.select("asked", F.substring("asked", 1, 4).alias("lead")).distinct()
     words = index.select("term").distinct().withColumn("lead", F.substring("term", 1, 4))
     starts = (F.col("term") == F.col("asked")) | ((F.length("asked") > 3) & F.col("term").startswith(F.col("asked")))
     matched = wanted.join(words, "lead").where(starts).select("asked", "term")
-    per = keep(index.join(matched, "term").groupBy("asked", "id").agg(F.sum("tf").alias("f"), F.first("dl").alias("dl")))
-    df = per.groupBy("asked").agg(F.count("*").alias("n"))
-    terms_of = asked.join(df, "asked", "left").groupBy("query_id").agg(F.min_by("asked", F.struct(F.coalesce("n", F.lit(0)), "asked")).alias("rarest"), F.count("*").alias("terms"), F.collect_list(F.struct("asked", F.coalesce("n", F.lit(0)).alias("n"))).alias("all"))
-    first = terms_of.where(F.forall("all", lambda t: t["n"] > 0))
-    seeds = per.select(F.col("asked").alias("rarest"), "id").join(first, "rarest").select("query_id", "id", "terms", F.inline("all"))
-    rows = seeds.join(per, ["asked", "id"]).crossJoin(F.broadcast(stats))  # one row
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = rows.groupBy("query_id", "id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("found"), F.first("terms").alias("terms"))
-    return scored.where("found = terms").select("query_id", "id", "bm25")
+    found = index.join(matched, "term").repartition("id").groupBy("asked", "id").agg(F.sum("tf").alias("f"), F.first("dl").alias("dl"))
+    per = keep(found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("asked", "f"))).alias("held"), F.first("dl").alias("dl")))
+    df = per.select(F.explode(F.map_keys("held")).alias("asked")).groupBy("asked").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    all_ = F.array_sort(F.collect_list(F.struct("asked", n.alias("n"))))
+    first = asked.join(df, "asked", "left").groupBy("query_id").agg(F.min_by("asked", F.struct(n, "asked")).alias("rarest"), all_.alias("all"))
+    first = first.where(F.forall("all", lambda t: t["n"] > 0)).crossJoin(F.broadcast(stats))  # one row
+    small = asked.limit(most + 1).count() <= most
+    seeds = per.where("id is not null").select("*", F.explode(F.map_keys("held")).alias("rarest")).join(F.broadcast(first) if small else first, "rarest")
+    hits = seeds.where(F.forall("all", lambda t: F.map_contains_key("held", t["asked"])))
+
+    def part(t: Column) -> Column:
+        f = F.element_at("held", t["asked"])
+        idf = F.greatest(F.log((F.col("n_docs") - t["n"] + 0.5) / (t["n"] + 0.5)), F.lit(FLOOR))
+        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+    return hits.select("query_id", "id", (-F.aggregate("all", F.lit(0.0), lambda s, t: s + part(t))).alias("bm25"))
 
 
 def _measure(stem: str) -> int:

@@ -48,14 +48,20 @@ def planned(queries: DataFrame, k: int, people: bool = True) -> DataFrame:
 
 
 def keywords(index: Index, queries: DataFrame, depth: int) -> DataFrame:
-    """(query_id, id, score, rank): the first ``depth`` of each query by BM25, latest update and id."""
-    hits = K.bm25_table(index.postings, index.stats, queries, kept)
+    """(query_id, id, score, rank): the first ``depth`` of each query by BM25, latest update and id.
+
+    Queries of the same words, in whatever order, are searched once, and each gets the list of all.
+    """
+    terms = queries.select("query_id", K.table_terms("text").alias("terms"))
+    asked = terms.groupBy("terms").agg(F.min("query_id").alias("first"))
+    hits = K.bm25_table(index.postings, index.stats, asked.select(F.col("first").alias("query_id"), F.array_join("terms", " ").alias("text")), kept)
     order = [F.col("bm25")]
     if "updated_at" in index.items.columns:
         hits = hits.join(index.items.select("id", "updated_at"), "id", "left")
         order.append(F.desc_nulls_last("updated_at"))
     best = hits.withColumn("rank", F.row_number().over(by_query().orderBy(*order, "id")).cast("long")).where(F.col("rank") <= depth)
-    return best.select("query_id", "id", K.lexical_score(F.col("bm25")).alias("score"), "rank")
+    best = best.select(F.col("query_id").alias("first"), "id", K.lexical_score(F.col("bm25")).alias("score"), "rank")
+    return terms.join(asked, "terms").select("query_id", "first").join(best, "first").select("query_id", "id", "score", "rank")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
